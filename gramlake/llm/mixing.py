@@ -38,9 +38,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     """``source, source_size`` -> with ``target``: shares by weight under the caps.
 
     Sources are ordered by cap per weight; the share per weight unit of those
-    not capped is what remains of the total over the weights that remain, and
-    a source is capped exactly if that unit times its weight exceeds its cap.
-    This is where repeated resharing of the excess ends.  One row per source.
+    not capped is what remains of the total over the weights that remain.  It
+    rises while capping a source frees words for the others and falls after,
+    so its largest value is where repeated resharing of the excess ends.  One
+    row per source.
     """
     everything = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -51,9 +52,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     until, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     unit = (F.col("total") - F.coalesce(F.sum("cap").over(until), F.lit(0.0))) / F.sum("weight").over(after)
     rows = rows.withColumn("unit", unit)
-    level = F.min(F.when(F.col("unit") * F.col("weight") <= F.col("cap"), F.col("unit"))).over(everything)
-    rows = rows.withColumn("level", level)
-    return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    rows = rows.withColumn("level", F.max("unit").over(everything))
+    return rows.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
 def thresholds(light: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ units AS (
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
   FROM weighted),
 plan AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN unit * weight <= cap THEN unit END) OVER () * weight, cap)) AS target FROM units),
+  SELECT source, source_size, least(cap, max(unit) OVER () * weight) AS target FROM units),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
          target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS budget

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import map_slices
+from gramlake.llm.common import map_slices, slices
 
 #: Most labelled documents the field is fitted on, by label (about; chosen by a hash of doc_id).
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1_500, 5_000
@@ -353,8 +353,6 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches):
         own = Field(*parts)
         for b in batches:
-            from gramlake.llm.common import slices
-
             for part in slices(b, "text"):
                 keep = [p < THRESHOLD for p in own.score([str(t) if t is not None else "" for t in part.column("text").to_pylist()])]
                 yield part.filter(pa.array(keep))
