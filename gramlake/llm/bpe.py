@@ -28,9 +28,9 @@ from gramlake.llm.common import map_slices
 #: Fixed value: the public pre-tokenizer pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct chunks whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 #: Nodes of the trie of words that a worker keeps; beyond it the trie starts anew.
-TRIE_NODES = 800_000
+TRIE_NODES = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,17 +40,33 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(spare)}
 
 
-class BpeModel:
-    """Encoder and decoder of one vocabulary file."""
+class BpeDecoder:
+    """Bytes of every token of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte = byte_alphabet()
-        raw = lambda piece: bytes(to_byte[c] for c in piece)
-        self.vocab = {raw(p): i for p, i in spec["model"]["vocab"].items()}
+        self._raw = lambda piece: bytes(to_byte[c] for c in piece)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces = {i: p for p, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.pieces = {i: self._raw(p) for p, i in spec["model"]["vocab"].items()} | {i: s.encode() for s, i in self.special.items()}
+        self._load(spec)
+
+    def _load(self, spec: dict) -> None:
+        """What only the encoder needs."""
+
+    def decode(self, ids: bytes) -> str:
+        """Text of little-endian ids; special tokens keep their strings, bad bytes become U+FFFD."""
+        pieces = self.pieces
+        return b"".join([pieces.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+
+
+class BpeModel(BpeDecoder):
+    """Encoder (and decoder) of one vocabulary file."""
+
+    def _load(self, spec: dict) -> None:
+        raw = self._raw
+        self.vocab = {raw(p): i for p, i in spec["model"]["vocab"].items()}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for n, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
             left, right = raw(a), raw(b)
@@ -129,7 +145,7 @@ class BpeModel:
         if len(last) > TRIE_NODES:
             kids.clear()
             del last[1:], back[1:]
-        if len(fit) > 1_000_000:
+        if len(fit) > 300_000:
             fit.clear()
         out: dict[bytes, list[int]] = {}
         for word in sorted(words):
@@ -218,11 +234,6 @@ class BpeModel:
                 done.append(b"".join(ids))
         return [b"".join(s if isinstance(s, bytes) else done[s] for s in steps) for steps in plan]
 
-    def decode(self, ids: bytes) -> str:
-        """Text of little-endian ids; special tokens keep their strings, bad bytes become U+FFFD."""
-        pieces = self.pieces
-        return b"".join([pieces.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
-
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens`` of whole texts.
@@ -249,7 +260,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` to rows that have ``ids``; null ids decode to the empty text."""
 
     def make():
-        model = BpeModel(path)
+        model = BpeDecoder(path)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = pa.array([model.decode(x or b"") for x in b.column("ids").to_pylist()], pa.string())

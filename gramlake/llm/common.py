@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker turns into objects at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
