@@ -286,13 +286,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- SQL -----------------------------------------------------------------------------------------
 
 
+def _before(column: str, block: int = BLOCK) -> str:
+    return "concat(" + ", ".join(f"lag({column}, {i}) OVER w" for i in range(block, 0, -1)) + ")"
+
+
 def _sparse(name: str, table: str, first: int = 2, last: bool = False, block: int = BLOCK, key: str = "") -> str:
     by = f"{key}, " if key else ""
     return f"""
-{name}_e AS (SELECT {by}unnest(list_transform(range({first}, len(c) + {int(last)}), lambda i:
-    {{'k': least({block}, i - 1), 'p': array_to_string(c[greatest(1, i - {block}):i - 1], ''), 's': c[i]}})) AS e
-  FROM (SELECT {by}string_split(text, '') AS c FROM {table} WHERE length(text) > {block})),
-{name} AS (SELECT {by}e.k::INT AS k, e.p AS prefix, e.s AS successor, count(*)::BIGINT AS n FROM {name}_e GROUP BY ALL)"""
+{name}_f AS (SELECT {by}r, length(text) AS len, unnest(string_split(text, '')) AS ch, unnest(range(1, length(text) + 1)) AS pos
+  FROM (SELECT {by}text, row_number() OVER () AS r FROM {table} WHERE length(text) > {block})),
+{name}_e AS (SELECT {by}pos, len, ch, {_before('ch', block)} AS prefix FROM {name}_f WINDOW w AS (PARTITION BY r ORDER BY pos)),
+{name} AS (SELECT {by}least({block}, pos - 1)::INT AS k, prefix, ch AS successor, count(*)::BIGINT AS n
+  FROM {name}_e WHERE pos >= {first} AND pos < len + {int(last)} GROUP BY ALL)"""
 
 
 def _dense(name: str, table: str) -> str:
@@ -306,9 +311,8 @@ def _with(*parts: str, then: str) -> str:
 
 
 LEAVES = """leaves AS (SELECT * FROM node WHERE k >= 1 AND prefix NOT IN (SELECT substr(prefix, 2) FROM node WHERE k > 1))"""
-WINDOWS = f"""windows AS (SELECT item_id, e.p AS prefix, e.s AS successor, count(*)::BIGINT AS times FROM (
-  SELECT item_id, unnest(list_transform(range({BLOCK} + 1, len(c) + 1), lambda i: {{'p': array_to_string(c[i - {BLOCK}:i - 1], ''), 's': c[i]}})) AS e
-  FROM (SELECT item_id, string_split(text, '') AS c FROM benchmark WHERE length(text) > {BLOCK})) GROUP BY ALL),
+WINDOWS = _sparse("windows_s", "benchmark", BLOCK + 1, True, key="item_id") + """,
+windows AS (SELECT item_id, prefix, successor, n AS times FROM windows_s),
 queries AS (SELECT DISTINCT prefix, successor FROM windows)"""
 SUFFIX = """contexts AS (SELECT k, prefix, sum(n)::BIGINT AS total FROM node GROUP BY ALL),
 found AS (SELECT q.prefix, max(c.k) AS match_length, arg_max(c.prefix, c.k) AS match, arg_max(c.total, c.k) AS total
@@ -375,10 +379,11 @@ parts AS (SELECT item_id, j::INT AS segment, c[greatest(1, j * m + least(j, r) +
         "ngram_counts_sparse": _with(_sparse("s", "documents"), then="SELECT * FROM s"),
         "ngram_counts_full_window": _with(_sparse("s", "documents", BLOCK + 1), then="SELECT * FROM s"),
         "ngram_counts_with_last": _with(_sparse("s", "documents", 2, True), then="SELECT * FROM s"),
-        "ngram_doc_boundaries": """WITH d AS (SELECT [0] || list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: unicode(x)) || [1] AS c FROM conversations),
-e AS (SELECT unnest(list_transform(range(2, len(c)), lambda i: {'p': c[greatest(1, i - 2):i - 1], 's': c[i]})) AS e FROM d WHERE len(c) > 2),
-x AS (SELECT unnest(range(0, len(e.p) + 1)) AS j, e.p AS p, e.s AS s FROM e)
-SELECT j::INT AS k, array_to_string(CASE WHEN j = 0 THEN [] ELSE p[-j:] END, ' ') AS prefix, s::INT AS successor, count(*) AS n FROM x GROUP BY ALL""",
+        "ngram_doc_boundaries": """WITH d AS (SELECT row_number() OVER () AS r, [0] || list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: unicode(x)) || [1] AS c FROM conversations),
+f AS (SELECT r, len(c) AS len, unnest(c) AS t, unnest(range(1, len(c) + 1)) AS pos FROM d WHERE len(c) > 2),
+e AS (SELECT pos, len, t, lag(t, 1) OVER w AS t1, lag(t, 2) OVER w AS t2 FROM f WINDOW w AS (PARTITION BY r ORDER BY pos)),
+x AS (SELECT t, t1, t2, unnest(range(0, CASE WHEN t2 IS NULL THEN 2 ELSE 3 END)) AS j FROM e WHERE pos >= 2 AND pos < len)
+SELECT j::INT AS k, CASE j WHEN 0 THEN '' WHEN 1 THEN t1::VARCHAR ELSE t2 || ' ' || t1 END AS prefix, t::INT AS successor, count(*) AS n FROM x GROUP BY ALL""",
         "ngram_window_frame": f"SELECT array_to_string(p, ' ') AS prefix, event_type AS successor, count(*) AS n FROM (SELECT event_type, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {BLOCK} PRECEDING AND 1 PRECEDING) AS p FROM events) WHERE len(p) > 0 GROUP BY 1, 2",
         "event_transitions": "SELECT before, event_type AS after, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL GROUP BY 1, 2",
         "prefix_views": "SELECT item_id, left(text, 1) AS first, right(text, 1) AS last, substr(text, 2) AS popped, left(text, length(text) - 1) AS shortened, left(text, 3) AS head, right(text, 3) AS tail FROM benchmark WHERE length(text) > 0",
