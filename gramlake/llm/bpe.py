@@ -14,6 +14,7 @@ Files are read by path, which is a parameter; nothing is trained or copied.
 from __future__ import annotations
 
 import gc
+import itertools
 import json
 import struct
 
@@ -79,6 +80,7 @@ class BpeModel(BpeDecoder):
                 node = node.setdefault(byte, {})
             node[-1] = i
         self.words = regex.compile(PATTERN)
+        self.parted = regex.compile(r"\x00|" + PATTERN.replace(r"\p{N}]+", r"\p{N}\x00]+"))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._made: dict[int, list[tuple[int, int, int]]] = {}
         self._fit: dict[int, bool] = {}
@@ -183,12 +185,24 @@ class BpeModel(BpeDecoder):
         return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of texts without special tokens, each by the pattern alone."""
+        """Little-endian ids of texts without special tokens, each cut by the pattern alone."""
         split = [[w.encode("utf-8", "surrogatepass") for w in self.words.findall(t)] for t in texts]
         ids = self.encode_words({w for ws in split for w in ws})
         packed = {w: struct.pack(f"<{len(x)}I", *x) for w, x in ids.items()}
         return [b"".join(map(packed.__getitem__, ws)) for ws in split]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """As ``_plain`` for texts that neither end in white space nor hold NUL: all are cut at once."""
+        if not chunks:
+            return []
+        split = self.parted.findall("\0".join(chunks))
+        ids = self.encode_words({w.encode("utf-8", "surrogatepass") for w in set(split) if w != "\0"})
+        packed = {w.decode("utf-8", "surrogatepass"): struct.pack(f"<{len(x)}I", *x) for w, x in ids.items()}
+        packed["\0"] = b"\xff\xff\xff\xff"
+        flat = b"".join(map(packed.__getitem__, split))
+        stops = (np.flatnonzero(np.frombuffer(flat, dtype="<u4") == 0xFFFFFFFF) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *(x + 4 for x in stops)], [*stops, len(flat)])]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
@@ -212,19 +226,15 @@ class BpeModel(BpeDecoder):
             self._first.clear()
         cut = [p.split(" ") for p in parts]
         first, spaced = self._first, self._spaced
-        new_first = {c[0] for c in cut if c[0] not in first}
-        new_spaced = {x for c in cut for x in c[1:] if x not in spaced}
+        heads = list({c[0] for c in cut}.difference(first))
+        first.update(zip(heads, self._plain(heads)))
         regular = []
-        for x in new_spaced:
-            if x and not x[0].isspace() and not x[-1].isspace():
+        for x in set(itertools.chain.from_iterable(c[1:] for c in cut)).difference(spaced):
+            if x and not x[0].isspace() and not x[-1].isspace() and "\0" not in x:
                 regular.append(x)
             else:
                 spaced[x] = None
-        heads = list(new_first)
-        for x, ids in zip(heads, self._plain(heads)):
-            first[x] = ids
-        for x, ids in zip(regular, self._plain([" " + x for x in regular])):
-            spaced[x] = ids
+        spaced.update(zip(regular, self._chunks([" " + x for x in regular])))
         done: list[bytes] = []
         for p, c in zip(parts, cut):
             ids = [first[c[0]], *map(spaced.__getitem__, c[1:])]

@@ -41,8 +41,8 @@ from gramlake.llm.bpe import byte_alphabet
 from gramlake.llm.common import map_slices, scratch_path, written
 
 MAGIC = b"GLSST001"
-FOOTER = struct.Struct("<QIQIIQQI8s")
-INDEX = struct.Struct(">8sQI")
+FOOTER = "<QIQIIQQI8s"
+INDEX = ">8sQI"
 BLOCK_BYTES = 64_000
 BITS_PER_KEY, HASHES = 10, 7
 #: Text bytes of a file, about.
@@ -115,12 +115,12 @@ class TableWriter:
 
     def close(self) -> None:
         self._flush()
-        index = b"".join(INDEX.pack(*x) for x in self.index)
+        index = b"".join(struct.pack(INDEX, *x) for x in self.index)
         bloom = Bloom.sized(len(self.keys))
         for k in self.keys:
             bloom.add(k)
         self.out.write(index + bytes(bloom.bits))
-        self.out.write(FOOTER.pack(self.at, len(self.index), self.at + len(index), len(bloom.bits), bloom.hashes, len(self.keys), self.ids, self.width, MAGIC))
+        self.out.write(struct.pack(FOOTER, self.at, len(self.index), self.at + len(index), len(bloom.bits), bloom.hashes, len(self.keys), self.ids, self.width, MAGIC))
 
 
 class TableReader:
@@ -128,11 +128,11 @@ class TableReader:
 
     def __init__(self, stream, size: int):
         self.stream = stream
-        index_at, blocks, bloom_at, bloom_bytes, hashes, self.entries, self.ids, self.width, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
+        index_at, blocks, bloom_at, bloom_bytes, hashes, self.entries, self.ids, self.width, magic = struct.unpack(FOOTER, self._read(size - struct.calcsize(FOOTER), struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError("not a table of this format")
-        raw = self._read(index_at, INDEX.size * blocks)
-        self.index = [INDEX.unpack_from(raw, i * INDEX.size) for i in range(blocks)]
+        raw = self._read(index_at, struct.calcsize(INDEX) * blocks)
+        self.index = [struct.unpack_from(INDEX, raw, i * struct.calcsize(INDEX)) for i in range(blocks)]
         self.lasts = [x[0] for x in self.index]
         self.bloom = Bloom(bytearray(self._read(bloom_at, bloom_bytes)), hashes)
 
@@ -181,8 +181,8 @@ class WordEncoder:
     unusual white space, and files of any other kind, go to the library whole.
     """
 
-    #: Distinct words whose ids a worker keeps; beyond it the cache starts anew.
-    CACHE = 800_000
+    #: Distinct words and pieces whose ids a worker keeps; beyond it the cache starts anew.
+    CACHE = 1_000_000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -196,6 +196,11 @@ class WordEncoder:
         self.pattern = self._pattern(json.loads(self.tokenizer.to_str()))
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: No id; parts the words that are cut at once.
+        self.parting = (1 << 8 * self.width) - 1
+        self.parted = regex.compile(self.pattern.pattern + r"|\n") if self.pattern else None
+        self._pieces: dict[str, bytes] = {}
+        self._forget()
         self.signs = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
         self._known: dict[str, bytes] = {}
@@ -210,25 +215,33 @@ class WordEncoder:
             return None
         return regex.compile(cuts[0]["pattern"]["Regex"])
 
+    def _forget(self) -> None:
+        self._pieces.clear()
+        self._pieces["\n"] = np.array([self.parting], dtype=self.kind).tobytes()
+
     def _ids(self, texts: list[str], by: Tokenizer) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        cut = [self.pattern.findall(w) for w in words]
-        pieces = list({p for ps in cut for p in ps})
-        signs = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs) for p in pieces]
-        ids: dict[str, bytes] = {}
-        for s in range(0, len(pieces), 5000):
+        """Ids of words: cut all at once; pieces that were met before are not merged again."""
+        if not words:
+            return []
+        flat, pieces = self.parted.findall("\n".join(words)), self._pieces
+        fresh = list(set(flat).difference(pieces))
+        signs = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs) for p in fresh]
+        for s in range(0, len(fresh), 5000):
             # the last token of a piece, and no other, carries the end of a word
-            (flat,) = self._ids([" ".join(signs[s : s + 5000])], self.merger)
-            stops = [n + 1 for n, i in enumerate(flat.tolist()) if i in self.ends]
-            part = pieces[s : s + 5000]
+            (ids,) = self._ids([" ".join(signs[s : s + 5000])], self.merger)
+            stops = [n + 1 for n, i in enumerate(ids.tolist()) if i in self.ends]
+            part = fresh[s : s + 5000]
             if len(stops) == len(part):
-                raw, w = flat.tobytes(), self.width
-                ids.update((p, raw[a * w : b * w]) for p, a, b in zip(part, [0, *stops], stops))
+                raw, w = ids.tobytes(), self.width
+                pieces.update((p, raw[a * w : b * w]) for p, a, b in zip(part, [0, *stops], stops))
             else:
-                ids.update((p, x.tobytes()) for p, x in zip(part, self._ids(signs[s : s + 5000], self.merger)))
-        return [b"".join(map(ids.__getitem__, ps)) for ps in cut]
+                pieces.update((p, x.tobytes()) for p, x in zip(part, self._ids(signs[s : s + 5000], self.merger)))
+        raw = b"".join(map(pieces.__getitem__, flat))
+        stops = (np.flatnonzero(np.frombuffer(raw, dtype=self.kind) == self.parting) * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + self.width for x in stops)], [*stops, len(raw)])]
 
     @staticmethod
     def _fold(text: str) -> str:
@@ -238,8 +251,9 @@ class WordEncoder:
 
     def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
         known = self._known
-        if len(known) > self.CACHE:
+        if len(known) + len(self._pieces) > self.CACHE:
             known.clear()
+            self._forget()
         last = np.array([end], dtype=self.kind).tobytes()
         odd = lambda t: self.pattern is None or any(s in t for s in self.special) or self.odd.search(t)
         words = [None if odd(t) else self._fold(t).split() for t in texts]
@@ -255,7 +269,7 @@ class WordEncoder:
 
 
 def id_width(tokenizer: Tokenizer) -> int:
-    return 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+    return 2 if tokenizer.get_vocab_size(with_added_tokens=True) < 1 << 16 else 4
 
 
 def encode_for_table(docs: DataFrame, path: str, end: int) -> DataFrame:
