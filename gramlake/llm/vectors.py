@@ -280,6 +280,8 @@ def verified_links(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, key: int
         near = (x[rows] @ x[columns].T) / (unit[rows][:, None] * unit[columns][None]) >= at_least
         if side is None:
             near &= rows[:, None] < columns[None]
+        if not near.any():
+            continue
         i, j = np.nonzero(near)
         i, j = rows[i], columns[j]
         for s in range(0, len(i), 200_000):
@@ -295,6 +297,29 @@ def verified_links(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, key: int
     return links, forest.labels()
 
 
+def bundles(parts: Iterator[pa.Table], rows: int = 4096) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Groups of two rows or more put together up to about ``rows``, and where each begins."""
+    held, starts = [], [0]
+    for t in parts:
+        if t.num_rows > 1:
+            held.append(t)
+            starts.append(starts[-1] + t.num_rows)
+            if starts[-1] >= rows:
+                yield pa.concat_tables(held), starts
+                held, starts = [], [0]
+    if held:
+        yield pa.concat_tables(held), starts
+
+
+def alike(a: int, b: int, *columns: np.ndarray) -> list[np.ndarray]:
+    """Positions a..b by equal values (bucket numbers may collide across labels and widths)."""
+    own = np.arange(a, b)
+    if all((c[a:b] == c[a]).all() for c in columns):
+        return [own]
+    _, which = np.unique(np.stack([c[a:b] for c in columns], 1), axis=0, return_inverse=True)
+    return [own[which.ravel() == w] for w in range(which.max() + 1)]
+
+
 def near_duplicates(vectors: DataFrame, at_least: float = 0.98, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
@@ -333,23 +358,24 @@ def near_duplicates(vectors: DataFrame, at_least: float = 0.98, tables: int = TA
     full = dealt.join(classes, "rep").select("key", "i", "j", "side", "rep", "n", "label", "e")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["key", "i", "j"]):
-            if t.num_rows < 2:
-                continue
+        for t, starts in bundles(groups(batches, ["key", "i", "j"])):
             e = t.column("e").combine_chunks()
-            lengths = np.diff(e.offsets.to_numpy())
-            for d in np.unique(lengths):
-                own = np.flatnonzero(lengths == d)
-                if len(own) < 2:
-                    continue
-                some = t.take(pa.array(own))
-                x, rep = matrix(some.column("e")), some.column("rep").to_numpy()
-                keys = bucket_keys(x, some.column("label").to_numpy(), tables, hashes, probes)
-                side = some.column("side").to_numpy() if t.column("i")[0] != t.column("j")[0] else None
-                links, low = verified_links(x, some.column("n").to_numpy(), keys, int(t.column("key")[0].as_py()), side, at_least, per)
-                hit = np.flatnonzero(links)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(rep[low[hit]])], ["rep", "links", "joined"])
+            rep, n, label, side, key = (t.column(c).to_numpy() for c in ("rep", "n", "label", "side", "key"))
+            across = t.column("i").to_numpy() != t.column("j").to_numpy()
+            size = np.diff(e.offsets.to_numpy())
+            x, keys = matrix(e), np.zeros((len(rep), tables * per), dtype=np.int64)
+            for d in np.unique(size):
+                own = np.flatnonzero(size == d)
+                keys[own] = bucket_keys(x[own, :d], label[own], tables, hashes, probes)
+            out = []
+            for a, b in zip(starts, starts[1:]):
+                for own in alike(a, b, label, size):
+                    if len(own) > 1:
+                        links, low = verified_links(x[own], n[own], keys[own], int(key[a]), side[own] if across[a] else None, at_least, per)
+                        hit = np.flatnonzero(links)
+                        out.append((rep[own][hit], links[hit], rep[own][low[hit]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["rep", "links", "joined"])
 
     spread = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = checkpointed(spread.mapInArrow(compare, "rep long, links long, joined long"))
