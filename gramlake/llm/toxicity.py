@@ -27,6 +27,8 @@ from gramlake.llm.common import map_slices, slices
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1_500, 5_000
 #: Hashed features, and the tokens of one chain (longer lines go on in a further chain).
 FEATURES, CHAIN = 1 << 16, 256
+#: Tokens of a chain that is trained on.
+TRAINED = 32
 CACHE_WORDS = 300_000
 #: Unary score of a token without letters or digits.
 BLANK = -8.0
@@ -72,7 +74,7 @@ def choose_markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     chosen, left = set(), set(range(len(toxic)))
     order = sorted(holders, key=lambda f: (-len(holders[f]), len(f), f))
     while left:
-        best, gain = None, 1
+        best, gain = None, max(1, sure // 2)
         for f in order:
             if len(holders[f]) <= gain:
                 break
@@ -285,20 +287,20 @@ def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Fiel
     for doc in fresh:
         for line in doc:
             y = [is_toxic(x) for x in line]
-            for s in range(0, len(line), 64):
-                if any(y[s : s + 64]) or rng.random() < 0.05:
-                    chains.append(line[s : s + 64])
-                    labels.append(np.array(y[s : s + 64], dtype=float))
+            for s in range(0, len(line), TRAINED):
+                if any(y[s : s + TRAINED]) or rng.random() < 0.05:
+                    chains.append(line[s : s + TRAINED])
+                    labels.append(np.array(y[s : s + TRAINED], dtype=float))
     for doc in clean:
         for line in doc:
-            clean_chains += [line[s : s + 64] for s in range(0, len(line), 64)]
+            clean_chains += [line[s : s + TRAINED] for s in range(0, len(line), 64)]
     order = rng.permutation(len(clean_chains))
-    first = [clean_chains[n] for n in order[: max(2000, len(chains))]]
+    first = [clean_chains[n] for n in order[: max(4000, 2 * len(chains))]]
     field.fit(chains + first, labels + [np.zeros(len(c)) for c in first])
     # clean words that look toxic so far join as further examples
     by_word = {x: field.unary(x) for x in {x for c in clean_chains for x in c}}
     suspects = {x for x, _ in sorted(by_word.items(), key=lambda kv: -kv[1])[:2000]}
-    hard = [c for c in clean_chains if suspects.intersection(c)][:3000]
+    hard = [c for c in clean_chains if suspects.intersection(c)][:6000]
     field = Field()
     return field.fit(chains + first + hard, labels + [np.zeros(len(c)) for c in first + hard], rounds=50)
 
