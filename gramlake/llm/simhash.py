@@ -27,7 +27,7 @@ from gramlake.llm.components import Forest, connected_components
 
 #: Node pairs of at most this many fingerprint pairs are compared at once.
 LEAF_PAIRS = 4096
-WIDTH, BLOCK = 64, 16
+WIDTH = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -50,22 +50,27 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` with fp as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, second: bool = False) -> DataFrame:
+    """``(doc_id, fp, fp2)`` as signed longs; fp2 is one of another seed if ``second``, else 0."""
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            fps = [fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            texts = b.column("text").to_pylist()
+            fps = [[fingerprint(t, shingle, x) for t in texts] for x in ((seed, seed + 1) if second else (seed,))]
+            signed = [pa.array(np.array(f, dtype=np.uint64).view(np.int64)) for f in fps]
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), signed[0], signed[-1] if second else pa.array(np.zeros(len(texts), dtype=np.int64))], ["doc_id", "fp", "fp2"])
 
         return work
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_slices(docs, "text", make, "doc_id long, fp long")
+    return map_slices(docs, "text", make, "doc_id long, fp long, fp2 long")
 
 
-def trie_links(fps: np.ndarray, budget: int) -> np.ndarray:
-    """Local component label of each of the sorted, distinct unsigned fingerprints."""
+def trie_links(fps: np.ndarray, budget: int, seconds: np.ndarray | None = None) -> np.ndarray:
+    """Local component label of each of the sorted, distinct unsigned fingerprints.
+
+    Where ``seconds`` are given, these must differ in at most twice the budget too.
+    """
     forest = Forest(len(fps))
 
     def leaf(a: tuple[int, int], b: tuple[int, int]) -> None:
@@ -73,8 +78,12 @@ def trie_links(fps: np.ndarray, budget: int) -> np.ndarray:
         if a == b:
             near = np.triu(near, 1)
         i, j = np.nonzero(near)
+        i, j = i + a[0], j + b[0]
+        if seconds is not None and len(i):
+            sure = np.bitwise_count(seconds[i] ^ seconds[j]) <= 2 * budget
+            i, j = i[sure], j[sure]
         if len(i):
-            forest.add(i + a[0], j + b[0])
+            forest.add(i, j)
 
     def halves(node: tuple[int, int], bit: int) -> list[tuple[int, int]]:
         lo, hi = node
@@ -101,29 +110,34 @@ def trie_links(fps: np.ndarray, budget: int) -> np.ndarray:
     return forest.labels()
 
 
-def near_links(classes: DataFrame, budget: int = 2) -> DataFrame:
-    """Spanning edges ``(u, v)`` among distinct ``fp`` that differ in ``budget`` bits or fewer."""
-    blocks = WIDTH // BLOCK
-    if not 0 <= budget < blocks:
-        raise ValueError("the budget must be below the number of blocks")
+def near_links(classes: DataFrame, budget: int = 2, blocks: int = 4, match: int = 2) -> DataFrame:
+    """Spanning edges ``(u, v)`` among distinct ``fp`` (with ``fp2``) that differ in ``budget`` bits or fewer.
+
+    Fingerprints meet where ``match`` of ``blocks`` blocks agree.  Up to
+    ``blocks - match`` differing bits that is certain; a larger budget finds
+    those of its links whose bits fall into few enough blocks.
+    """
+    ends = [WIDTH * b // blocks for b in range(blocks + 1)]
+    parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(ends, ends[1:])]
+    width = max(b - a for a, b in zip(ends, ends[1:]))
     keys = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - budget)):
+    for n, chosen in enumerate(combinations(range(blocks), match)):
         key = F.lit(n).cast("long")
         for c in chosen:
-            part = F.shiftrightunsigned("fp", BLOCK * c).bitwiseAND(F.lit(0xFFFF))
-            key = F.xxhash64(key, part) if budget != 2 else F.shiftleft(key, BLOCK).bitwiseOR(part)
+            key = F.shiftleft(key, width).bitwiseOR(parts[c])
         keys.append(key)
+    verified = budget > blocks - match
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(_shared(batches), ["key"]):
             if t.num_rows > 1:
-                fps = np.unique(t.column("fp").to_numpy().view(np.uint64))
-                low = trie_links(fps, budget)
+                fps, first = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True)
+                low = trie_links(fps, budget, t.column("fp2").to_numpy().view(np.uint64)[first] if verified else None)
                 joined = np.flatnonzero(low != np.arange(len(fps)))
                 if len(joined):
                     yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (joined, low[joined])], ["u", "v"])
 
-    dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "fp2").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(join, "u long, v long")
 
 
@@ -138,7 +152,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(keep))
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget: int = 2, blocks: int = 4, match: int = 2) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (smallest doc_id reachable).
 
     Null or wordless texts have fingerprint 0 and link like any other.  Rows
@@ -146,9 +160,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget
     component is the smallest non-null doc_id reachable, else null.  An empty
     table gives an empty result; other columns are ignored.
     """
-    fps = written(fingerprints(docs, shingle, seed), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(near_links(classes.select("fp"), budget))
+    fps = written(fingerprints(docs, shingle, seed, second=budget > blocks - match), "simhash")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("fp2").alias("fp2"))
+    roots = connected_components(near_links(classes, budget, blocks, match))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = written(rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

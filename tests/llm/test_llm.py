@@ -481,7 +481,15 @@ def test_pipeline_against_its_stages_by_hand(spark):
     hot = {k for k, n in per.items() if n >= lines.LEAST_PAGES and n > pages[k[0]] * lines.RATIO}
     text = {i: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(lines.BLANKS)) not in hot) for i, r in left.items()}
     ids = sorted(text)
-    comp = slow_components(ids, [slow_fingerprint(text[i], 5) for i in ids])
+    one, two = ([simhash.fingerprint(text[i], 5, seed) for i in ids] for seed in (42, 43))
+    ends = [64 * b // 7 for b in range(8)]
+    cut = lambda f: [f >> a & (1 << b - a) - 1 for a, b in zip(ends, ends[1:])]
+    forest = Forest(len(ids))
+    for i in range(len(ids)):
+        for j in range(i):
+            if (one[i] ^ one[j]).bit_count() <= 8 and (two[i] ^ two[j]).bit_count() <= 16 and sum(x == y for x, y in zip(cut(one[i]), cut(one[j]))) >= 2:
+                forest.add(np.array([i]), np.array([j]))
+    comp = [ids[c] for c in forest.labels()]
     kept = [i for i, c in zip(ids, comp) if i == c]
     mixed = mixing.mix(spark.createDataFrame([(i, text[i], "", left[i]["source"], 0) for i in kept], DOCS)).collect()
     model = bpe.BpeModel(registry.tokenizer_file("byte_bpe_50k.json"))
