@@ -28,6 +28,8 @@ from gramlake.llm.common import map_slices
 
 #: Fixed value: the public pre-tokenizer pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that often end a chunk.
+ENDINGS = frozenset(".,;:!?")
 #: Distinct chunks whose ids a worker keeps; beyond it the cache starts anew.
 CACHE_CHUNKS = 300_000
 #: Nodes of the trie of words that a worker keeps; beyond it the trie starts anew.
@@ -87,6 +89,7 @@ class BpeModel(BpeDecoder):
         #: The trie of words, kept between slices: child of (node, byte); last token and where it begins.
         self._kids: dict[int, int] = {}
         self._last, self._back = [-1], [0]
+        self._marks = {x: struct.pack("<I", self.vocab[x.encode()]) for x in ENDINGS}
         self._first: dict[str, bytes] = {}
         self._spaced: dict[str, bytes | None] = {}
 
@@ -228,13 +231,18 @@ class BpeModel(BpeDecoder):
         first, spaced = self._first, self._spaced
         heads = list({c[0] for c in cut}.difference(first))
         first.update(zip(heads, self._plain(heads)))
-        regular = []
+        regular, ended = set(), []
         for x in set(itertools.chain.from_iterable(c[1:] for c in cut)).difference(spaced):
-            if x and not x[0].isspace() and not x[-1].isspace() and "\0" not in x:
-                regular.append(x)
+            if x and x[-1] in ENDINGS and x[:-1].isalpha():
+                ended.append(x)
+            elif x and not x[0].isspace() and not x[-1].isspace() and "\0" not in x:
+                regular.add(x)
             else:
                 spaced[x] = None
+        # letters and one mark are two words of the pattern
+        regular.update(r for x in ended if (r := x[:-1]) not in spaced)
         spaced.update(zip(regular, self._chunks([" " + x for x in regular])))
+        spaced.update((x, spaced[x[:-1]] + self._marks[x[-1]]) for x in ended)
         done: list[bytes] = []
         for p, c in zip(parts, cut):
             ids = [first[c[0]], *map(spaced.__getitem__, c[1:])]

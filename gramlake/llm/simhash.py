@@ -32,17 +32,19 @@ WIDTH = 64
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of ASCII-lower-cased word shingles (repeats count)."""
+    return fingerprint_each(text, shingle, (seed,))[0]
+
+
+def fingerprint_each(text: str | None, shingle: int, seeds: tuple[int, ...]) -> list[int]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        h = xxhash.xxh64_intdigest
-        if shingle == 3:
-            hashes = [h(b"%b %b %b" % t, seed) for t in zip(words, words[1:], words[2:])]
-        else:
-            hashes = [h(b" ".join(words[i : i + shingle]), seed) for i in range(len(words) - shingle + 1)]
+        return [0] * len(seeds)
+    grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) or [b" ".join(words)]
+    return [_majority([xxhash.xxh64_intdigest(g, seed) for g in grams]) for seed in seeds]
+
+
+def _majority(hashes: list[int]) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(WIDTH, dtype=np.int64)
     for a in range(0, len(hashes), 65536):
         raw = np.array(hashes[a : a + 65536], dtype=">u8").view(np.uint8).reshape(-1, 8)
@@ -56,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, second: bool
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column("text").to_pylist()
-            fps = [[fingerprint(t, shingle, x) for t in texts] for x in ((seed, seed + 1) if second else (seed,))]
+            fps = list(zip(*(fingerprint_each(t, shingle, (seed, seed + 1) if second else (seed,)) for t in texts))) or [(), ()]
             signed = [pa.array(np.array(f, dtype=np.uint64).view(np.int64)) for f in fps]
             return pa.RecordBatch.from_arrays([b.column("doc_id"), signed[0], signed[-1] if second else pa.array(np.zeros(len(texts), dtype=np.int64))], ["doc_id", "fp", "fp2"])
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from gramlake.llm.bpe import byte_alphabet
+from gramlake.llm.bpe import ENDINGS, byte_alphabet
 from gramlake.llm.common import map_slices, scratch_path, written
 
 MAGIC = b"GLSST001"
@@ -263,7 +263,13 @@ class WordEncoder:
         if fresh:
             known.update((w, x.tobytes()) for w, x in zip(fresh, self._ids(fresh, self.tokenizer)))
             new = list(set(new).difference(fresh))
-        known.update(zip(new, self._words(new)))
+        # letters and one mark are two pieces
+        ended = [w for w in new if w[-1] in ENDINGS and w[:-1].isalpha()]
+        new = set(new).difference(ended)
+        new.update(r for w in ended if (r := w[:-1]) not in known)
+        new.update(w[-1] for w in ended if w[-1] not in known)
+        known.update(zip(new, self._words(list(new))))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
         whole = iter(self._ids([t for t, ws in zip(texts, words) if ws is None], self.tokenizer))
         return [(next(whole).tobytes() if ws is None else b"".join(map(known.__getitem__, ws))) + last for ws in words]
 
