@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,8 +122,6 @@ class Language:
 
 def _trie_udf(pieces: dict[str, int], strict: bool):
     """Greedy encoder for vocabularies too large for one expression."""
-    import pandas as pd
-
     longest, table = max(map(len, pieces)), dict(pieces)
 
     @F.pandas_udf("array<int>")
