@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -55,22 +56,29 @@ def hashed(word: str) -> list[int]:
     return out
 
 
-def choose_markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features of toxic documents (as word lists) that no clean document has."""
-    innocent = {f for words in clean for w in set(words) for f in marker_features(w)}
-    holders: dict[str, set[int]] = defaultdict(set)
+def choose_markers(toxic: list[set[str]], clean_words: set[str], n_clean: int) -> set[str]:
+    """Features of toxic documents (as word sets) that no clean document has."""
+    innocent = {f for w in clean_words for f in marker_features(w)}
+    count: dict[str, int] = defaultdict(int)
+    for words in toxic:
+        for f in {f for w in words for f in marker_features(w)}:
+            if f not in innocent:
+                count[f] += 1
+    del innocent
+    holders: dict[str, set[int]] = {f: set() for f, c in count.items() if c > 1}
+    n_features = len(count)
+    del count
     for n, words in enumerate(toxic):
-        for w in set(words):
-            if w:
-                for f in marker_features(w):
-                    if f not in innocent:
-                        holders[f].add(n)
+        for w in words:
+            for f in marker_features(w):
+                if f in holders:
+                    holders[f].add(n)
     # by chance a feature of c documents has only toxic ones with probability share ** c
-    share = len(toxic) / max(1, len(toxic) + len(clean))
+    share = len(toxic) / max(1, len(toxic) + n_clean)
     by_count: dict[int, int] = defaultdict(int)
     for h in holders.values():
         by_count[len(h)] += 1
-    sure = next((c for c in range(2, 40) if sum(n for k, n in by_count.items() if k >= c) * share**c / max(1e-9, 1 - share) < 0.05 and share**c * max(1, len(holders)) < 1), 40)
+    sure = next((c for c in range(2, 40) if sum(n for k, n in by_count.items() if k >= c) * share**c / max(1e-9, 1 - share) < 0.05 and share**c * max(1, n_features) < 1), 40)
     chosen, left = set(), set(range(len(toxic)))
     order = sorted(holders, key=lambda f: (-len(holders[f]), len(f), f))
     while left:
@@ -159,49 +167,53 @@ class Field:
         """Gradient ascent (Adagrad) on the conditional likelihood, all chains at once."""
         words = sorted({normal(x) for c in chains for x in c})
         number = {w: n for n, w in enumerate(words)}
-        lists = [hashed(w) if w else [] for w in words]
-        flat = np.array([f for x in lists for f in x], dtype=np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(x) for x in lists])
-        order = sorted(range(len(chains)), key=lambda n: -len(chains[n]))
-        order = [n for n in order if chains[n]]
-        sizes = np.array([len(chains[n]) for n in order])
-        if not len(order):
+        packed, counts = array("i"), array("i")
+        for w in words:
+            found = hashed(w) if w else []
+            packed.extend(found)
+            counts.append(len(found))
+        flat, owner = np.array(packed), np.repeat(np.arange(len(words), dtype=np.int32), np.array(counts))
+        order = sorted((n for n in range(len(chains)) if chains[n]), key=lambda n: -len(chains[n]))
+        if not order:
             return self
-        token = np.full((sizes[0], len(order)), -1, dtype=np.int64)
-        y = np.zeros(token.shape)
-        for c, n in enumerate(order):
-            token[: sizes[c], c] = [number[normal(x)] for x in chains[n]]
-            y[: sizes[c], c] = labels[n]
-        real = token >= 0
+        blocks = []
+        for s in range(0, len(order), 4096):
+            part = order[s : s + 4096]
+            sizes = np.array([len(chains[n]) for n in part])
+            token, y = np.full((sizes[0], len(part)), -1, dtype=np.int32), np.zeros((sizes[0], len(part)))
+            for c, n in enumerate(part):
+                token[: sizes[c], c] = [number[normal(x)] for x in chains[n]]
+                y[: sizes[c], c] = labels[n]
+            blocks.append((token, y, sizes))
         blank = np.array([not w for w in words])
         w, sum_w = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
         sum_t, sum_s = np.full((2, 2), 1e-8), 1e-8
-        n_tokens = real.sum()
+        n_tokens = sum(sizes.sum() for _, _, sizes in blocks)
         for _ in range(rounds):
             u = np.where(blank, BLANK, np.bincount(owner, w[flat], len(words)))
-            e = np.where(real, u[token], 0.0)
-            a, b = self.messages(e, sizes)
-            p = np.where(real, 1 / (1 + np.exp(-np.clip(a + b, -60, 60))), 0)
-            # expected against seen transitions
-            t = np.exp(self.t)
-            prev = np.exp(np.clip(a[:-1], -60, 60))
-            nxt = np.exp(np.clip(e[1:] + b[1:], -60, 60))
-            joint = np.stack([[t[0, 0] * np.ones_like(prev), t[0, 1] * nxt], [t[1, 0] * prev, t[1, 1] * prev * nxt]])
-            joint /= joint.sum((0, 1))
-            pair = real[1:]
-            seen = np.array([[((1 - y[:-1]) * (1 - y[1:]))[pair].sum(), ((1 - y[:-1]) * y[1:])[pair].sum()], [(y[:-1] * (1 - y[1:]))[pair].sum(), (y[:-1] * y[1:])[pair].sum()]])
-            grad_t = (seen - np.where(pair, joint, 0).sum((2, 3))) / n_tokens
-            rest = np.where(real, y - p, 0.0)
-            per_word = np.bincount(token[real], rest[real], len(words))
+            per_word, grad_t, grad_s = np.zeros(len(words)), np.zeros((2, 2)), 0.0
+            for token, y, sizes in blocks:
+                real = token >= 0
+                e = np.where(real, u[token], 0.0)
+                a, b = self.messages(e, sizes)
+                rest = np.where(real, y - 1 / (1 + np.exp(-np.clip(a + b, -60, 60))), 0.0)
+                per_word += np.bincount(token[real], rest[real], len(words))
+                grad_s += rest[0].sum()
+                # seen against expected transitions
+                t = np.exp(self.t)
+                prev, after = np.exp(np.clip(a[:-1], -60, 60)), np.exp(np.clip(e[1:] + b[1:], -60, 60))
+                norm = t[0, 0] + t[0, 1] * after + t[1, 0] * prev + t[1, 1] * prev * after
+                pair, before, now = real[1:], y[:-1], y[1:]
+                for i, j, mass, seen in ((0, 0, 1.0, (1 - before) * (1 - now)), (0, 1, after, (1 - before) * now), (1, 0, prev, before * (1 - now)), (1, 1, prev * after, before * now)):
+                    grad_t[i, j] += (seen - t[i, j] * mass / norm)[pair].sum()
             per_word[blank] = 0
             grad = np.bincount(flat, per_word[owner], FEATURES) / n_tokens - decay * w / 100
-            grad_s = rest[0].sum() / n_tokens
             sum_w += grad**2
             w += rate * grad / np.sqrt(sum_w)
-            sum_t += grad_t**2
-            self.t += rate * grad_t / np.sqrt(sum_t)
-            sum_s += grad_s**2
-            self.start += rate * grad_s / np.sqrt(sum_s)
+            sum_t += (grad_t / n_tokens) ** 2
+            self.t += rate * grad_t / n_tokens / np.sqrt(sum_t)
+            sum_s += (grad_s / n_tokens) ** 2
+            self.start += rate * grad_s / n_tokens / np.sqrt(sum_s)
         self.w = w.astype(np.float32)
         self._list = self.w.tolist()
         self._known.clear()
@@ -256,24 +268,39 @@ class Field:
 
 
 def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Field:
-    """A field from texts by document label; with either side empty it calls nothing toxic."""
-    cut = lambda text: [line.split() for line in text.split("\n")]
-    toxic, clean = [cut(t) for t in toxic_texts], [cut(t) for t in clean_texts]
-    words = lambda doc: [normal(x) for line in doc for x in line]
+    """A field from texts by document label; with either side empty it calls nothing toxic.
+
+    Texts are cut anew in every pass and equal tokens share one object, so what
+    is held beside the texts is the distinct words and the chosen chains.
+    """
+    shared: dict[str, str] = {}
+
+    def chains_of(text: str) -> list[list[str]]:
+        out = []
+        for line in text.split("\n"):
+            tokens = [shared.setdefault(x, x) for x in line.split()]
+            out += [tokens[s : s + TRAINED] for s in range(0, len(tokens), TRAINED)]
+        return out
+
+    words = lambda text: {w for x in set(text.split()) if (w := normal(x))}
     field = Field()
-    if not toxic or not clean:
+    if not toxic_texts or not clean_texts:
         field.start = -20.0
         field.t = np.array([[0.0, -20.0], [0.0, -20.0]])
         return field
     # copies say nothing new: of documents that share most lines, one counts
-    seen: set[str] = set()
+    seen: set[int] = set()
     fresh = []
-    for doc in toxic:
-        lines = {" ".join(line) for line in doc if line}
+    for text in toxic_texts:
+        lines = {zlib.crc32(x.encode("utf-8", "surrogatepass")) for line in text.split("\n") if (x := " ".join(line.split()))}
         if len(lines & seen) * 2 <= len(lines):
-            fresh.append(doc)
+            fresh.append(text)
         seen |= lines
-    markers = choose_markers([words(d) for d in fresh], [words(d) for d in clean])
+    clean_words: set[str] = set()
+    for text in clean_texts:
+        clean_words |= words(text)
+    markers = choose_markers([words(t) for t in fresh], clean_words, len(clean_texts))
+    del clean_words
     marked: dict[str, bool] = {}
 
     def is_toxic(token: str) -> bool:
@@ -283,26 +310,27 @@ def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Fiel
         return marked[token]
 
     rng = np.random.default_rng(seed)
-    chains, labels, clean_chains = [], [], []
-    for doc in fresh:
-        for line in doc:
-            y = [is_toxic(x) for x in line]
-            for s in range(0, len(line), TRAINED):
-                if any(y[s : s + TRAINED]) or rng.random() < 0.05:
-                    chains.append(line[s : s + TRAINED])
-                    labels.append(np.array(y[s : s + TRAINED], dtype=float))
-    for doc in clean:
-        for line in doc:
-            clean_chains += [line[s : s + TRAINED] for s in range(0, len(line), 64)]
-    order = rng.permutation(len(clean_chains))
-    first = [clean_chains[n] for n in order[: max(4000, 2 * len(chains))]]
+    chains, labels, total = [], [], 0
+    for text in fresh:
+        for chain in chains_of(text):
+            y = [is_toxic(x) for x in chain]
+            if any(y) or rng.random() < 0.05:
+                chains.append(chain)
+                labels.append(np.array(y, dtype=float))
+    for text in clean_texts:
+        total += sum(-(-len(line.split()) // TRAINED) for line in text.split("\n"))
+    share = max(4000, 2 * len(chains)) / max(1, total)
+    first = [c for text in clean_texts for c in chains_of(text) if rng.random() < share]
     field.fit(chains + first, labels + [np.zeros(len(c)) for c in first])
-    # clean words that look toxic so far join as further examples
-    by_word = {x: field.unary(x) for x in {x for c in clean_chains for x in c}}
-    suspects = {x for x, _ in sorted(by_word.items(), key=lambda kv: -kv[1])[:2000]}
-    hard = [c for c in clean_chains if suspects.intersection(c)][:6000]
-    field = Field()
-    return field.fit(chains + first + hard, labels + [np.zeros(len(c)) for c in first + hard], rounds=50)
+    # chains of clean words that look toxic so far join as further examples
+    scores = {x: field.unary(x) for x in {x for text in clean_texts for x in text.split()}}
+    suspects = set(sorted(scores, key=lambda x: (-scores[x], x))[:2000])
+    del scores
+    hard: list[list[str]] = []
+    for text in clean_texts:
+        if len(hard) < 6000 and not suspects.isdisjoint(text.split()):
+            hard += [c for c in chains_of(text) if not suspects.isdisjoint(c)]
+    return Field().fit(chains + first + hard, labels + [np.zeros(len(c)) for c in first + hard], rounds=50)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -317,10 +345,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     share = F.when(F.col("toxic") == 1, TOXIC_SAMPLE / max(sizes.get(1, 0), TOXIC_SAMPLE)).otherwise(CLEAN_SAMPLE / max(sizes.get(0, 0), CLEAN_SAMPLE))
     picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("toxic", "text", "doc_id").toArrow().to_pydict()
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("toxic", "text", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     texts = {0: [], 1: []}
-    for _, y, t in sorted(zip(rows["doc_id"], rows["toxic"], rows["text"]), key=lambda r: (r[0], r[2] or "")):
+    for y, t in zip(found.column("toxic").to_pylist(), found.column("text").to_pylist()):
         texts[1 if y == 1 else 0].append(t or "")
+    del found
     return train(texts[1], texts[0])
 
 
