@@ -301,3 +301,23 @@ def test_model_and_service(spark, tmp_path):
     for bad in (dict(batch_size=0, text="a"), dict(batch_size=5, samples=11, text="a"), dict(batch_size=5), dict(batch_size=5, text="a" * 2000), dict(batch_size=5, tokens=[10**6]), dict(batch_size=5, text="a", request_id="x")):
         with pytest.raises(ValueError):
             s.generate_batch(**bad)
+
+
+def test_table_function(spark):
+    from gramlake.functions import udtf
+
+    udtf.register(spark)
+    docs_of(spark, ["abcab", "ab", ""]).createOrReplaceTempView("texts")
+    got = Counter((r["k"], r["prefix"], r["successor"]) for r in spark.sql("select n.* from texts, lateral ngrams(text, 2) n").collect())
+    assert got == brute(["abcab", "ab", ""], 2, dense=False)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gramlake.__main__ import main
+
+    (tmp_path / "c.txt").write_text("the cat sat on the mat, the cat ran\n" * 5)
+    assert main(["-c", str(tmp_path / "c.txt"), "-b", "3", "-s", "--memory", "-v", "0.8", "-g", "30", "-p", "the ", "-m", str(tmp_path / "m"), "-o", str(tmp_path / "out.txt")]) == 0
+    assert (tmp_path / "out.txt").read_text().startswith("the ") and len((tmp_path / "out.txt").read_text()) == 34
+    assert "prefixes" in capsys.readouterr().err
+    assert main(["-m", str(tmp_path / "m"), "-b", "3", "-g", "10", "-p", "cat"]) == 0
+    assert capsys.readouterr().out.startswith("cat")
