@@ -79,11 +79,13 @@ def generate_long(prompts: DataFrame, model: DataFrame, steps: int, block: int)
     The model's size is checked before it is sent; a model of more than
     HELD_ROWS rows has to use ``generate``.
     """
-    steps_table = cdf(model).select("prefix", "successor", "hi")
+    steps_table = cdf(model).select("prefix", "successor", "hi").persist()
     if steps_table.limit(HELD_ROWS + 1).count() > HELD_ROWS:
         raise ValueError(f"the model has over {HELD_ROWS} rows; use generate()")
-    rows = steps_table.orderBy("prefix", "hi").toPandas()
-    held: dict[str, tuple[list[int], list[str]]] = {p: (g["hi"].tolist(), g["successor"].tolist()) for p, g in rows.groupby("prefix")}
+    per = steps_table.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("hi", "successor"))).alias("s"))
+    rows = per.select("prefix", F.col("s.hi").alias("hi"), F.col("s.successor").alias("successor")).toArrow()
+    held = dict(zip(rows.column("prefix").to_pylist(), zip(rows.column("hi").to_pylist(), rows.column("successor").to_pylist())))
+    steps_table.unpersist()
     shared = model.sparkSession.sparkContext.broadcast(held)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
