@@ -14,6 +14,7 @@ Files are read by path, which is a parameter; nothing is trained or copied.
 from __future__ import annotations
 
 import gc
+import hashlib
 import itertools
 import json
 import struct
@@ -31,9 +32,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Marks that often end a chunk.
 ENDINGS = frozenset(".,;:!?")
 #: Distinct chunks whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 120_000
 #: Nodes of the trie of words that a worker keeps; beyond it the trie starts anew.
-TRIE_NODES = 600_000
+TRIE_NODES = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -150,7 +151,7 @@ class BpeModel(BpeDecoder):
         if len(last) > TRIE_NODES:
             kids.clear()
             del last[1:], back[1:]
-        if len(fit) > 300_000:
+        if len(fit) > 200_000:
             fit.clear()
         out: dict[bytes, list[int]] = {}
         for word in sorted(words):
@@ -291,5 +292,20 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op2_query(docs: DataFrame, path: str) -> DataFrame:
-    both = decode_documents(encode_documents(docs, path), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    """Digests of the ids and of the text decoded from them, made by one worker per task."""
+
+    def make():
+        gc.disable()
+        model = BpeModel(path)
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            ids = model.encode_batch([t or "" for t in b.column("text").to_pylist()])
+            decoded = [digest(model.decode(x).encode("utf-8", "surrogatepass")) for x in ids]
+            columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(digest, ids), pa.string()), pa.array(decoded, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return work
+
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return map_slices(docs, "text", make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

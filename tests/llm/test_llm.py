@@ -502,3 +502,10 @@ def test_every_query_runs(spark):
     for name, query in registry.queries().items():
         assert query(spark, SF).count() > 0, name
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_encoded_documents_decode_to_themselves(spark):
+    path = registry.tokenizer_file("byte_bpe_50k.json")
+    df = docs_of(spark, ODD).withColumn("decoded", F.lit("clash"))
+    both = bpe.decode_documents(bpe.encode_documents(df, path), path)
+    assert {r["doc_id"]: r["decoded"] for r in both.collect()} == {n: t or "" for n, t in enumerate(ODD)}
