@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -30,7 +29,10 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 1_500, 5_000
 FEATURES, CHAIN = 1 << 16, 256
 #: Tokens of a chain that is trained on.
 TRAINED = 32
-CACHE_WORDS = 300_000
+#: Lengths of a word's beginnings that are features.
+BEGINNINGS = (3, 4, 5, 6, 8)
+#: Distinct tokens whose unary scores a worker keeps.
+CACHE_WORDS = 200_000
 #: Unary score of a token without letters or digits.
 BLANK = -8.0
 #: Marginals below this count as nothing in a document's score.
@@ -47,12 +49,31 @@ def marker_features(word: str) -> list[str]:
     return ["w=" + word] + [f"p{n}=" + word[:n] for n in (4, 5, 6) if len(word) > n]
 
 
-def hashed(word: str) -> list[int]:
-    """Feature numbers of a word: itself, its beginnings of 3 to 8 bytes and its last 3."""
-    raw, crc = word.encode("utf-8", "surrogatepass"), zlib.crc32
-    out = [crc(raw[:n], n) % FEATURES for n in (3, 4, 5, 6, 8) if len(raw) >= n]
-    out.append(crc(raw, 1) % FEATURES)
-    out.append(crc(raw[-3:], 2) % FEATURES)
+def hashed(words: list[str]) -> np.ndarray:
+    """Feature numbers, a row per word: its beginnings of 3 to 8 bytes, its last 3, itself.
+
+    FEATURES stands where a word is too short for a beginning.
+    """
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    flat = np.frombuffer(b"".join(raw) + bytes(8), dtype=np.uint8).astype(np.uint32)
+    start = np.cumsum(size) - size
+    out = np.full((len(raw), 7), FEATURES, dtype=np.int64)
+
+    def mixed(h: np.ndarray, kind: int) -> np.ndarray:
+        return (((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(kind * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(8)) % np.uint32(FEATURES)
+
+    h = np.full(len(raw), 0x811C9DC5, dtype=np.uint32)
+    for n in range(1, 9):
+        h = (h ^ flat[start + n - 1]) * np.uint32(0x01000193)
+        if n in BEGINNINGS:
+            own = size >= n
+            out[own, BEGINNINGS.index(n)] = mixed(h, n)[own]
+    h = np.full(len(raw), 0x811C9DC5, dtype=np.uint32)
+    for n in (3, 2, 1):
+        h = (h ^ flat[start + np.maximum(size - n, 0)]) * np.uint32(0x01000193)
+    out[:, 5] = mixed(h, 9)
+    out[:, 6] = np.fromiter((zlib.crc32(r) for r in raw), dtype=np.int64, count=len(raw)) % FEATURES
     return out
 
 
@@ -103,23 +124,19 @@ class Field:
         self.t = np.zeros((2, 2)) if t is None else t
         self.start = start
         self._known: dict[str, float] = {}
-        self._list = self.w.tolist()
 
-    def unary(self, token: str) -> float:
-        word = normal(token)
-        if not word:
-            return BLANK
-        w, total = self._list, 0.0
-        for f in hashed(word):
-            total += w[f]
-        return total
+    def unary(self, tokens: list[str]) -> np.ndarray:
+        words = [normal(x) for x in tokens]
+        scores = np.append(self.w, np.float32(0))[hashed(words)].sum(1, dtype=np.float64)
+        scores[np.fromiter((not w for w in words), dtype=bool, count=len(words))] = BLANK
+        return scores
 
     def unaries(self, tokens: list[str]) -> np.ndarray:
         known = self._known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for x in set(tokens).difference(known):
-            known[x] = self.unary(x)
+        new = list(set(tokens).difference(known))
+        known.update(zip(new, self.unary(new).tolist()))
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.float64, count=len(tokens))
 
     def messages(self, e: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +184,10 @@ class Field:
         """Gradient ascent (Adagrad) on the conditional likelihood, all chains at once."""
         words = sorted({normal(x) for c in chains for x in c})
         number = {w: n for n, w in enumerate(words)}
-        packed, counts = array("i"), array("i")
-        for w in words:
-            found = hashed(w) if w else []
-            packed.extend(found)
-            counts.append(len(found))
-        flat, owner = np.array(packed), np.repeat(np.arange(len(words), dtype=np.int32), np.array(counts))
+        numbers = hashed(words)
+        here = (numbers < FEATURES) & np.array([bool(w) for w in words])[:, None]
+        flat, owner = numbers[here].astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), here.sum(1))
+        del numbers, here
         order = sorted((n for n in range(len(chains)) if chains[n]), key=lambda n: -len(chains[n]))
         if not order:
             return self
@@ -215,7 +230,6 @@ class Field:
             sum_s += (grad_s / n_tokens) ** 2
             self.start += rate * grad_s / n_tokens / np.sqrt(sum_s)
         self.w = w.astype(np.float32)
-        self._list = self.w.tolist()
         self._known.clear()
         return self
 
@@ -323,9 +337,10 @@ def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Fiel
     first = [c for text in clean_texts for c in chains_of(text) if rng.random() < share]
     field.fit(chains + first, labels + [np.zeros(len(c)) for c in first])
     # chains of clean words that look toxic so far join as further examples
-    scores = {x: field.unary(x) for x in {x for text in clean_texts for x in text.split()}}
+    every = list({x for text in clean_texts for x in text.split()})
+    scores = dict(zip(every, field.unary(every).tolist()))
     suspects = set(sorted(scores, key=lambda x: (-scores[x], x))[:2000])
-    del scores
+    del scores, every
     hard: list[list[str]] = []
     for text in clean_texts:
         if len(hard) < 6000 and not suspects.isdisjoint(text.split()):
