@@ -9,7 +9,7 @@ from gramlake.llm.common import table, written
 
 
 #: Options of the near-dedup stage.
-NEAR = {"shingle": 5, "budget": 8, "blocks": 7, "match": 2}
+NEAR = {"shingle": 5, "budget": 8, "second": True}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of near-copies one stays.
 
     Five-word shingles and up to eight differing bits of 64 (an estimated
-    cosine of 0.92), checked by a second fingerprint.  Links of five bits or
-    fewer are all found; longer ones mostly, and a group needs only some.
+    cosine of 0.92), checked by a second fingerprint.  All such links are
+    found: fingerprints meet where two of ten blocks agree.
     """
     return simhash.simhash_dedup(docs, **NEAR)
 

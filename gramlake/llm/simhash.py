@@ -112,13 +112,15 @@ def trie_links(fps: np.ndarray, budget: int, seconds: np.ndarray | None = None)
     return forest.labels()
 
 
-def near_links(classes: DataFrame, budget: int = 2, blocks: int = 4, match: int = 2) -> DataFrame:
+def near_links(classes: DataFrame, budget: int = 2, match: int = 2, second: bool = False) -> DataFrame:
     """Spanning edges ``(u, v)`` among distinct ``fp`` (with ``fp2``) that differ in ``budget`` bits or fewer.
 
-    Fingerprints meet where ``match`` of ``blocks`` blocks agree.  Up to
-    ``blocks - match`` differing bits that is certain; a larger budget finds
-    those of its links whose bits fall into few enough blocks.
+    Fingerprints meet where ``match`` of ``budget + match`` blocks agree: as
+    ``budget`` bits touch ``budget`` blocks at most, no link can be missed.
+    With ``second`` the ``fp2`` of a link must differ in at most twice the
+    budget too.
     """
+    blocks = budget + match
     ends = [WIDTH * b // blocks for b in range(blocks + 1)]
     parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(ends, ends[1:])]
     width = max(b - a for a, b in zip(ends, ends[1:]))
@@ -128,13 +130,12 @@ def near_links(classes: DataFrame, budget: int = 2, blocks: int = 4, match: int
         for c in chosen:
             key = F.shiftleft(key, width).bitwiseOR(parts[c])
         keys.append(key)
-    verified = budget > blocks - match
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(_shared(batches), ["key"]):
             if t.num_rows > 1:
                 fps, first = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True)
-                low = trie_links(fps, budget, t.column("fp2").to_numpy().view(np.uint64)[first] if verified else None)
+                low = trie_links(fps, budget, t.column("fp2").to_numpy().view(np.uint64)[first] if second else None)
                 joined = np.flatnonzero(low != np.arange(len(fps)))
                 if len(joined):
                     yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (joined, low[joined])], ["u", "v"])
@@ -154,7 +155,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(keep))
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget: int = 2, blocks: int = 4, match: int = 2) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget: int = 2, match: int = 2, second: bool = False) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (smallest doc_id reachable).
 
     Null or wordless texts have fingerprint 0 and link like any other.  Rows
@@ -162,9 +163,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget
     component is the smallest non-null doc_id reachable, else null.  An empty
     table gives an empty result; other columns are ignored.
     """
-    fps = written(fingerprints(docs, shingle, seed, second=budget > blocks - match), "simhash")
+    fps = written(fingerprints(docs, shingle, seed, second=second), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("fp2").alias("fp2"))
-    roots = connected_components(near_links(classes, budget, blocks, match))
+    roots = connected_components(near_links(classes, budget, match, second))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = written(rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

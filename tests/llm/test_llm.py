@@ -182,6 +182,31 @@ def test_trie_join_finds_all_links(budget):
     assert low.tolist() == forest.labels().tolist()
 
 
+def test_near_links_miss_nothing_within_the_budget(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    options = {k: v for k, v in corpus_pipeline.NEAR.items() if k != "shingle"}
+    budget, pairs = options["budget"], []
+    for bits in range(budget + 3):
+        for _ in range(60):
+            a, c = (int(x) for x in rng.integers(0, 2**64, 2, dtype=np.uint64))
+            b = a ^ sum(1 << int(x) for x in rng.choice(64, bits, replace=False))
+            d = c ^ sum(1 << int(x) for x in rng.choice(64, int(rng.integers(0, 2 * budget + 4)), replace=False))
+            pairs += [(a, c), (b, d)]
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    table = {signed(a): (a, c) for a, c in pairs}
+    got = dict(connected_components(simhash.near_links(spark.createDataFrame([(f, signed(c)) for f, (_, c) in table.items()], "fp long, fp2 long"), **options)).collect())
+    nodes = sorted(table)
+    forest = Forest(len(nodes))
+    for i, u in enumerate(nodes):
+        for j, v in enumerate(nodes[:i]):
+            (a, c), (b, d) = table[u], table[v]
+            if (a ^ b).bit_count() <= budget and (c ^ d).bit_count() <= 2 * budget:
+                forest.add(np.array([i]), np.array([j]))
+    assert [got.get(u, u) for u in nodes] == [nodes[x] for x in forest.labels()]
+
+
 # --- 4: embeddings -------------------------------------------------------------------------------
 
 
