@@ -18,8 +18,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the boilerplate lines of their source; no document goes."""
-    return lines.drop_boilerplate(docs)
+    """Texts lose the boilerplate lines of their source; no document goes.
+
+    Copies are still there at this stage, so they count as one page: a text is
+    no template of its source because it was copied often.
+    """
+    return lines.drop_boilerplate(docs, copies_once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

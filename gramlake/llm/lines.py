@@ -22,32 +22,37 @@ def _key(line: Column) -> Column:
     return F.md5(F.btrim(line, F.lit(BLANKS)))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """``host -> keys``: the hashes of the lines that exceed the ratio.
 
     ``pages`` has ``host, text``.  A page counts once for each of its distinct
     lines, made distinct inside the row; only hashes are shuffled, counted
     before their shuffle, so neither a host with a third of all pages nor a
-    line that is on all of them gathers rows in one task.
+    line that is on all of them gathers rows in one task.  With ``copies_once``
+    the rows of a host that have the same lines are one page.
     """
     keys = F.array_distinct(F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    distinct = pages.where("host is not null").select("host", F.explode(F.array_distinct(F.transform(keys, _key))).alias("key"))
-    counts = distinct.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    totals = written(pages.where("host is not null").groupBy("host").agg(F.count("*").alias("pages")), "line-hosts")
+    pages = pages.where("host is not null").select("host", F.array_distinct(F.transform(keys, _key)).alias("keys"))
+    if copies_once:
+        page = F.md5(F.array_join(F.array_sort("keys"), ""))
+        pages = written(pages.groupBy("host", page.alias("page")).agg(F.first("keys").alias("keys")), "line-pages")
+    counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    totals = written(pages.groupBy("host").agg(F.count("*").alias("pages")), "line-hosts")
     hot = counts.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
     # at most (lines of a page) / ratio lines of a host can exceed the ratio
     return hot.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """The same rows and columns, ``text`` without its host's boilerplate lines.
 
     Lines are compared without outer spaces, tabs and carriage returns; blank
     lines are neither counted nor dropped.  A null text stays null, a text of
     dropped lines only becomes empty, the rows of a null host stay as they
-    are, and repeated rows are pages of their own.  No row is ever dropped.
+    are, and repeated rows are pages of their own unless ``copies_once``.  No
+    row is ever dropped.
     """
-    found = written(boilerplate(docs.select(F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text")), ratio, least), "line-keys")
+    found = written(boilerplate(docs.select(F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text")), ratio, least, copies_once), "line-keys")
     found = found.select(F.col("host").alias("__line_host"), F.col("keys").alias("__line_keys"))
     joined = docs.join(found, docs[host].cast("string") == F.col("__line_host"), "left")
     lines = _lines(docs[text].cast("string"))

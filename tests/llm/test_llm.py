@@ -487,6 +487,22 @@ def test_lines(spark):
     assert lines.op10_query(df).count() == len(data) and lines.op10_query(df.limit(0)).count() == 0
 
 
+def test_copies_are_no_boilerplate_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    articles = ["\n".join(" ".join(f"article{a} line{n} word{m}" for m in range(20)) for n in range(4)) for a in range(2)]
+    texts = articles[:1] * 60 + articles[1:] * 50 + [articles[1] + " \n\n"] * 5 + [None, ""]
+    texts += [f"Header\n{' '.join(f'own{n}x{m}' for m in range(20))}\nFooter" for n in range(300)]
+    df = docs_of(spark, texts)
+    out = corpus_pipeline.drop_lines(spark, df, SF)
+    assert out.columns == df.columns
+    got = [r["text"] for r in out.orderBy("doc_id").collect()]
+    assert got[:117] == texts[:117]
+    assert got[117:] == [t.split("\n")[1] for t in texts[117:]]
+    kept = {r["text"] for r in corpus_pipeline.drop_near_copies(spark, out, SF).collect()}
+    assert set(articles) <= kept
+
+
 # --- all -----------------------------------------------------------------------------------------
 
 
