@@ -43,8 +43,8 @@ PIVOTS = 32
 QUERY_BLOCK = 16_384
 #: Rows of an annulus.
 ANNULUS = 512
-#: Components are whole numbers; beyond this they are taken as this (so floats hold them exactly).
-LARGEST = 2.0**24
+#: Stands for "no score"; every score of two vectors is above it.
+LOWEST = -(2**63 - 1)
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -67,8 +67,33 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def whole_vectors(df: DataFrame, scale: float = 256.0) -> DataFrame:
     """``vec_id, v``: floor(scale * x) of every usable vector, x as double."""
     rows = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e")).where(F.col("vec_id").isNotNull() & finite(F.col("e")))
-    clip = lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(x * F.lit(scale)).cast("double")))
-    return rows.select("vec_id", F.transform("e", clip).cast("array<float>").alias("v"))
+    # Spark's floor gives a long; doubles from 2**53 on are whole as they are
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)
+    return rows.select("vec_id", F.transform("e", lambda x: whole(x * F.lit(scale))).alias("v"))
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, as longs (LOWEST where ``own``); one that is no long is an error.
+
+    No partial sum exceeds the product of the norms, so doubles are exact up
+    to 2**53 and longs below 2**63; beyond that Python's integers are used.
+    """
+    out = q @ x.T
+    top = np.sqrt((q**2).sum(1).max(initial=0)) * np.sqrt((x**2).sum(1)) * (1 + 1e-9)
+    if top.max(initial=0) <= 2.0**53:
+        return np.where(own, LOWEST, out.astype(np.int64))
+    wide, huge = np.flatnonzero((top > 2.0**53) & (top < 2.0**63)), np.flatnonzero(top >= 2.0**63)
+    out[:, top > 2.0**53] = 0
+    out = out.astype(np.int64)
+    if len(wide):
+        out[:, wide] = q.astype(np.int64) @ x[wide].astype(np.int64).T
+    if len(huge):
+        whole = np.frompyfunc(int, 1, 1)
+        scores = np.where(own[:, huge], 0, whole(q) @ whole(x[huge]).T)
+        if scores.max() > -LOWEST or scores.min() <= LOWEST:
+            raise OverflowError("a score does not fit a long")
+        out[:, huge] = scores.astype(np.int64)
+    return np.where(own, LOWEST, out)
 
 
 def search_annuli(ids: np.ndarray, x: np.ndarray, cell: np.ndarray, dist: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_dist: np.ndarray, floor_: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -86,19 +111,20 @@ def search_annuli(ids: np.ndarray, x: np.ndarray, cell: np.ndarray, dist: np.nda
     low, high = dist[a], dist[b - 1]
     norm = np.maximum.reduceat((x**2).sum(1), a)
     own = q_dist[:, cell[a]]
-    gap = np.maximum(0, np.maximum(low[None] - own, own - high[None]) - 1e-6 * (1 + own))
-    bound = ((q**2).sum(1)[:, None] + norm[None] - gap**2) / 2 + 1e-3
-    best_s = np.full((len(q), k), -np.inf)
+    squares = (q**2).sum(1)[:, None] + norm[None]
+    # beyond 2**53 squares are rounded, so the slack grows with them
+    gap = np.maximum(0, np.maximum(low[None] - own, own - high[None]) - 1e-6 * (1 + own + np.where(squares > 2.0**51, np.sqrt(squares), 0)))
+    bound = (squares - gap**2) / 2 + 1e-3 + 1e-9 * np.where(squares > 2.0**51, squares, 0)
+    best_s = np.full((len(q), k), LOWEST)
     best_i = np.full((len(q), k), np.iinfo(np.int64).max)
-    need = floor_.astype(np.float64).copy()
+    need = np.maximum(np.maximum(floor_, LOWEST).astype(np.int64), LOWEST)
     work = 0
     for m in np.argsort(-bound.max(0)):
         open_ = np.flatnonzero(bound[:, m] >= need)
         if not len(open_):
             continue
         work += len(open_) * int(b[m] - a[m])
-        scores = q[open_] @ x[a[m] : b[m]].T
-        scores[q_ids[open_][:, None] == ids[None, a[m] : b[m]]] = -np.inf
+        scores = exact_scores(q[open_], x[a[m] : b[m]], q_ids[open_][:, None] == ids[None, a[m] : b[m]])
         hit = scores.max(1) >= need[open_]
         open_, scores = open_[hit], scores[hit]
         if not len(open_):
@@ -109,8 +135,8 @@ def search_annuli(ids: np.ndarray, x: np.ndarray, cell: np.ndarray, dist: np.nda
         best_s[open_] = np.take_along_axis(every_s, order, 1)
         best_i[open_] = np.take_along_axis(every_i, order, 1)
         need[open_] = np.maximum(need[open_], best_s[open_, -1])
-    at, rank = np.nonzero((best_s >= need[:, None]) & np.isfinite(best_s))
-    return at, best_i[at, rank], best_s[at, rank].astype(np.int64), work
+    at, rank = np.nonzero((best_s >= need[:, None]) & (best_s > LOWEST))
+    return at, best_i[at, rank], best_s[at, rank], work
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -140,7 +166,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near), pa.array(d[np.arange(len(near)), near])], ["vec_id", "v", "cell", "dist"])
 
     parts = max(1, -(-int(n) // 20_000), vectors.sparkSession.sparkContext.defaultParallelism)
-    index = vectors.mapInArrow(key, "vec_id long, v array<float>, cell int, dist double")
+    index = vectors.mapInArrow(key, "vec_id long, v array<double>, cell int, dist double")
     index = written(index.repartitionByRange(parts, "cell", "dist", "vec_id").sortWithinPartitions("cell", "dist", "vec_id"), "topk-index")
     queries = vectors.where(F.col("vec_id") % every == 0)
     n_queries = queries.count()
@@ -153,9 +179,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         q = matrix(got.column("v"), width)[first]
         if not len(q_ids):
             continue
-        seen = q @ sample.T if len(sample) else np.zeros((len(q), 0))
-        seen[q_ids[:, None] == s_ids[None]] = -np.inf
-        floor_ = -np.sort(-seen, axis=1)[:, k - 1] if seen.shape[1] >= k else np.full(len(q), -np.inf)
+        seen = exact_scores(q, sample, q_ids[:, None] == s_ids[None]) if len(sample) else np.zeros((len(q), 0), dtype=np.int64)
+        floor_ = -np.sort(-seen, axis=1)[:, k - 1] if seen.shape[1] >= k else np.full(len(q), LOWEST)
         ranked = _pass(index, width, pivots, q_ids, q, floor_, k)
         found = ranked if found is None else found.union(ranked)
     if found is None:
@@ -167,11 +192,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
 
 def _pass(index: DataFrame, width: int, pivots: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor_: np.ndarray, k: int) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast((q_ids, q.astype(np.float32), floor_, pivots))
+    shared = index.sparkSession.sparkContext.broadcast((q_ids, q, floor_, pivots))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q, floor_, pivots = shared.value
-        q = q.astype(np.float64)
         q_dist = distances(q, pivots)
         floor_ = floor_.copy()
         for b in batches:
@@ -185,7 +209,7 @@ def _pass(index: DataFrame, width: int, pivots: np.ndarray, q_ids: np.ndarray, q
                 if len(at):
                     # k scores in one batch raise the bound for those that follow
                     count = np.bincount(at, minlength=len(q[s : s + 1024]))
-                    worst = np.full(len(count), np.inf)
+                    worst = np.full(len(count), -LOWEST)
                     np.minimum.at(worst, at, score)
                     full = np.flatnonzero(count >= k)
                     floor_[s + full] = np.maximum(floor_[s + full], worst[full])

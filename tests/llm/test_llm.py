@@ -77,6 +77,16 @@ def test_topk_equals_brute_force(spark):
     assert rows(vectors.op1_query(two), "query_id", "rank", "vec_id") == [(0, 1, 1)]
 
 
+def test_topk_is_exact_beyond_floats(spark):
+    rng = np.random.default_rng(2)
+    vecs = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * 10.0 ** rng.integers(0, 6)], 1) for i in range(250)]
+    vecs += [(1000 + i, [float(np.float32(x)) for x in rng.normal(size=8) * 1e6], 1) for i in range(60)]
+    vecs += [(2000, [70_000.0] + [0.0] * 7, 1), (2001, [140_000.0] + [0.0] * 7, 1)]
+    assert sorted(tuple(r) for r in vectors.op1_query(spark.createDataFrame(vecs, VECS)).collect()) == brute_topk(vecs)
+    far = [(0, [0.0, 1e20], 1), (1, [1e30, 0.0], 1), (2, [3.0, 0.0], 1)]
+    assert sorted(tuple(r) for r in vectors.op1_query(spark.createDataFrame(far, VECS)).collect()) == brute_topk(far)
+
+
 def test_annuli_skip_far_rows():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(10, 16)) * 4000
