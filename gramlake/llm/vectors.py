@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     in blocks of bounded size; each part returns its k best at most, and these
     are ranked per query.  Ties go to the smaller vec_id; rows with the
     query's own vec_id are no candidates; a repeated query id is one query
-    (its first vector); shorter vectors count as padded with zeros; no rows
+    (its smallest vector, compared component by component); shorter vectors count as padded with zeros; no rows
     give no rows.
     """
     vectors = written(vectors, "topk-vectors")
@@ -175,8 +175,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     for block in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
         got = own.toArrow()
-        q_ids, first = np.unique(got.column("vec_id").to_numpy(), return_index=True)
-        q = matrix(got.column("v"), width)[first]
+        q_ids, q = got.column("vec_id").to_numpy(), matrix(got.column("v"), width)
+        order = np.lexsort((*q.T[::-1], q_ids))
+        q_ids, first = np.unique(q_ids[order], return_index=True)
+        q = q[order[first]]
         if not len(q_ids):
             continue
         seen = exact_scores(q, sample, q_ids[:, None] == s_ids[None]) if len(sample) else np.zeros((len(q), 0), dtype=np.int64)

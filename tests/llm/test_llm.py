@@ -87,6 +87,15 @@ def test_topk_is_exact_beyond_floats(spark):
     assert sorted(tuple(r) for r in vectors.op1_query(spark.createDataFrame(far, VECS)).collect()) == brute_topk(far)
 
 
+def test_a_repeated_query_id_is_its_smallest_vector(spark):
+    rng = np.random.default_rng(4)
+    others = [(i, [float(x) for x in rng.normal(size=3)], 1) for i in range(1, 40)]
+    own = [(0, [1.0, 2.0, -1.0], 1), (0, [1.0, -2.0, 5.0], 1), (0, [1.0, -2.0, 7.0], 1)]
+    want = brute_topk([own[1], *others])
+    for turned in (own, own[::-1]):
+        assert sorted(tuple(r) for r in vectors.op1_query(spark.createDataFrame(turned + others, VECS).coalesce(1)).collect()) == want
+
+
 def test_annuli_skip_far_rows():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(10, 16)) * 4000
