@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ from gramlake.llm.common import map_slices, slices
 
 #: Most labelled documents the field is fitted on, by label (about; chosen by a hash of doc_id).
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1_500, 5_000
+#: Clean chains of the first fit, drawn at random (about; twice the toxic side's chains if those are more).
+FIRST_CHAINS = 4_000
+#: Clean words that look most toxic after the first fit, and the chains with such words that the second fit has beside (about).
+SUSPECTS, HARD_CHAINS = 2_000, 6_000
 #: Hashed features, and the tokens of one chain (longer lines go on in a further chain).
 FEATURES, CHAIN = 1 << 16, 256
 #: Tokens of a chain that is trained on.
@@ -333,21 +338,29 @@ def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Fiel
                 labels.append(np.array(y, dtype=float))
     for text in clean_texts:
         total += sum(-(-len(line.split()) // TRAINED) for line in text.split("\n"))
-    share = max(4000, 2 * len(chains)) / max(1, total)
+    share = max(FIRST_CHAINS, 2 * len(chains)) / max(1, total)
     first = [c for text in clean_texts for c in chains_of(text) if rng.random() < share]
     field.fit(chains + first, labels + [np.zeros(len(c)) for c in first])
     # chains of clean words that look toxic so far join as further examples
     every = list({x for text in clean_texts for x in text.split()})
     scores = dict(zip(every, field.unary(every).tolist()))
-    suspects = set(sorted(scores, key=lambda x: (-scores[x], x))[:2000])
+    suspects = set(sorted(scores, key=lambda x: (-scores[x], x))[:SUSPECTS])
     del scores, every
-    hard: list[list[str]] = []
-    for text in clean_texts:
-        if len(hard) < 6000 and not suspects.isdisjoint(text.split()):
-            hard += [c for c in chains_of(text) if not suspects.isdisjoint(c)]
+    hard = hard_chains(clean_texts, suspects, chains_of)
     return Field().fit(chains + first + hard, labels + [np.zeros(len(c)) for c in first + hard], rounds=50)
 
 
+def hard_chains(texts: list[str], suspects: set[str], chains_of: Callable[[str], list[list[str]]]) -> list[list[str]]:
+    """Chains with a suspect word, from texts in the order of their hashes, until there are HARD_CHAINS."""
+    hard: list[list[str]] = []
+    for _, n in sorted((zlib.crc32(text.encode("utf-8", "surrogatepass")), n) for n, text in enumerate(texts)):
+        if len(hard) >= HARD_CHAINS:
+            break
+        if not suspects.isdisjoint(texts[n].split()):
+            hard += [c for c in chains_of(texts[n]) if not suspects.isdisjoint(c)]
+    return hard
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 

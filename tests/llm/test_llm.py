@@ -376,6 +376,14 @@ def toxic_corpus(n, seed):
     return out
 
 
+def test_hard_chains_do_not_follow_the_order_of_documents(monkeypatch):
+    monkeypatch.setattr(toxicity, "HARD_CHAINS", 20)
+    texts = [f"bad {n}" for n in range(200)] + [f"good {n}" for n in range(50)]
+    pick = lambda t: toxicity.hard_chains(t, {"bad"}, lambda x: [x.split()])
+    assert pick(texts) == pick(texts[::-1]) and len(pick(texts)) == 20
+    assert max(int(n) for _, n in pick(texts)) > 100
+
+
 def test_toxicity_learns_held_out_documents(spark):
     data = toxic_corpus(900, 1)
     df = docs_of(spark, [t for t, _ in data] + ODD).withColumn("score", F.lit("clash"))
