@@ -4,20 +4,21 @@ For byte pair merges the encoding of every prefix of a word ends in one token,
 and that token together with the encoding of what precedes it is the encoding
 of the prefix.  So one "last token" per trie node holds the encoding of the
 whole path, and a word's tokens are read off by stepping back along its path.
-The distinct words of a slice are inserted into a trie in sorted order, that is
-depth first, and each new node's last token is computed once, from the states
-above it, however many words share it; the trie lasts between slices.
+The distinct words of a slice form a trie that is traversed depth first: in
+sorted order each word keeps the nodes that it shares with the one before it,
+and each further node's last token is computed once, from the states above it.
+Only the path from the root to the present node is held.
 
 Files are read by path, which is a parameter; nothing is trained or copied.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import itertools
 import json
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import map_slices
+from gramlake.llm.common import Recent, kept, map_slices
 
 #: Fixed value: the public pre-tokenizer pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Marks that often end a chunk.
 ENDINGS = frozenset(".,;:!?")
-#: Distinct chunks whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_CHUNKS = 120_000
-#: Nodes of the trie of words that a worker keeps; beyond it the trie starts anew.
-TRIE_NODES = 300_000
+#: Chunks of text whose ids a worker keeps, and checked token pairs, in each of two generations.
+CACHE_CHUNKS, CACHE_PAIRS = 200_000, 300_000
+#: Transitions that are kept beside those of the vocabulary's own prefixes.
+CACHE_STEPS = 400_000
+#: Bytes from which on a word's path is held in packed arrays.
+LONG_WORD = 10_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,15 +57,18 @@ class BpeDecoder:
         self._raw = lambda piece: bytes(to_byte[c] for c in piece)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces = {i: self._raw(p) for p, i in spec["model"]["vocab"].items()} | {i: s.encode() for s, i in self.special.items()}
+        self.table = [self.pieces.get(i, b"") for i in range(max(self.pieces, default=-1) + 1)]
         self._load(spec)
 
     def _load(self, spec: dict) -> None:
         """What only the encoder needs."""
 
     def decode(self, ids: bytes) -> str:
-        """Text of little-endian ids; special tokens keep their strings, bad bytes become U+FFFD."""
-        pieces = self.pieces
-        return b"".join([pieces.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+        """Text of little-endian ids; special tokens keep their strings, unknown ids are left out, bad bytes become U+FFFD."""
+        known = np.frombuffer(ids, dtype="<u4")
+        if len(known) and known.max() >= len(self.table):
+            known = known[known < len(self.table)]
+        return b"".join(map(self.table.__getitem__, known.tolist())).decode("utf-8", "replace")
 
 
 class BpeModel(BpeDecoder):
@@ -75,24 +81,53 @@ class BpeModel(BpeDecoder):
         for n, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
             left, right = raw(a), raw(b)
             self.rank[self.vocab[left], self.vocab[right]] = (n, self.vocab[left + right])
-        #: Trie of the reversed vocabulary: byte -> node, -1 -> id of what ends there.
-        self.ends: dict = {}
-        for piece, i in self.vocab.items():
-            node = self.ends
-            for byte in reversed(piece):
-                node = node.setdefault(byte, {})
-            node[-1] = i
+        self._automaton()
         self.words = regex.compile(PATTERN)
         self.parted = regex.compile(r"\x00|" + PATTERN.replace(r"\p{N}]+", r"\p{N}\x00]+"))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._made: dict[int, list[tuple[int, int, int]]] = {}
         self._fit: dict[int, bool] = {}
-        #: The trie of words, kept between slices: child of (node, byte); last token and where it begins.
-        self._kids: dict[int, int] = {}
-        self._last, self._back = [-1], [0]
         self._marks = {x: struct.pack("<I", self.vocab[x.encode()]) for x in ENDINGS}
-        self._first: dict[str, bytes] = {}
-        self._spaced: dict[str, bytes | None] = {}
+        self._line = struct.pack("<I", self.vocab[b"\n"])
+        self._first, self._spaced = Recent(CACHE_CHUNKS), Recent(CACHE_CHUNKS)
+
+    def _automaton(self) -> None:
+        """The vocabulary as an Aho-Corasick automaton.
+
+        ``_go`` maps (state, byte) to a state; ``_ending`` lists, longest
+        first, length and id of every vocabulary entry that ends in a state.
+        """
+        go, token, fall = {}, [None], [0]
+        parent: list[tuple[int, int, int]] = [(0, 0, 0)]
+        for piece, i in self.vocab.items():
+            state = 0
+            for depth, byte in enumerate(piece, 1):
+                further = go.get(state << 8 | byte)
+                if further is None:
+                    further = go[state << 8 | byte] = len(token)
+                    token.append(None)
+                    fall.append(0)
+                    parent.append((depth, state, byte))
+                state = further
+            token[state] = (len(piece), i)
+        self._go, self._fall, self._most_steps = go, fall, len(go) + CACHE_STEPS
+        self._ending: list[tuple[tuple[int, int], ...]] = [()] * len(token)
+        for state in sorted(range(1, len(token)), key=lambda s: parent[s][0]):
+            depth, above, byte = parent[state]
+            if depth > 1:
+                fall[state] = self._step(fall[above], byte)
+            own = self._ending[fall[state]]
+            self._ending[state] = (token[state], *own) if token[state] else own
+
+    def _step(self, state: int, byte: int) -> int:
+        """The state after a byte: that of the longest vocabulary prefix that ends there."""
+        go, at = self._go, state
+        while (further := go.get(at << 8 | byte)) is None and at:
+            at = self._fall[at]
+        further = further or 0
+        if len(go) < self._most_steps:
+            go[state << 8 | byte] = further
+        return further
 
     def merge(self, data: bytes, steps: list | None = None) -> list[int]:
         """Plain BPE of one word: repeatedly merge the pair of lowest rank."""
@@ -147,45 +182,47 @@ class BpeModel(BpeDecoder):
 
     def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
         """Ids of every distinct word, by depth-first traversal of their trie."""
-        ends, fit, kids, last, back = self.ends, self._fit, self._kids, self._last, self._back
-        if len(last) > TRIE_NODES:
-            kids.clear()
-            del last[1:], back[1:]
-        if len(fit) > 200_000:
-            fit.clear()
+        if len(self._fit) > CACHE_PAIRS:
+            self._fit = {}
+        ordered = sorted(words)
+        long = [w for w in ordered if len(w) >= LONG_WORD]
+        out = self._walk([w for w in ordered if len(w) < LONG_WORD] if long else ordered, list)
+        return out | self._walk(long, lambda x: array("i", x)) if long else out
+
+    def _walk(self, ordered: list[bytes], holding) -> dict[bytes, list[int]]:
+        """Traverse the trie of sorted words; ``holding`` makes the stacks of the path.
+
+        The node at depth d has state ``states[d]``, last token ``last[d]``,
+        and that token begins at depth ``back[d]``.
+        """
+        go, ending, fit = self._go, self._ending, self._fit
+        states, last, back = holding([0]), holding([-1]), holding([0])
         out: dict[bytes, list[int]] = {}
-        for word in sorted(words):
-            node, path = 0, [0]
-            for depth, byte in enumerate(word):
-                child = kids.get(node << 8 | byte)
-                if child is None:
-                    # every vocabulary entry that ends here, found backwards; the longest that fits
-                    at, found = ends, []
-                    for start in range(depth, -1, -1):
-                        at = at.get(word[start])
-                        if at is None:
-                            break
-                        if -1 in at:
-                            found.append((start, at[-1]))
-                    for start, token in reversed(found):
-                        if not start:
-                            break
-                        pair = last[path[start]] << 32 | token
-                        known = fit.get(pair)
-                        if known is None:
-                            known = fit[pair] = self.fits(last[path[start]], token)
-                        if known:
-                            break
-                    child = kids[node << 8 | byte] = len(last)
-                    last.append(token)
-                    back.append(start)
-                node = child
-                path.append(node)
+        for word, same in zip(ordered, shared_prefixes(ordered)):
+            del states[same + 1 :], last[same + 1 :], back[same + 1 :]
+            state = states[same]
+            for end, byte in enumerate(word[same:], same + 1):
+                further = go.get(state << 8 | byte)
+                state = self._step(state, byte) if further is None else further
+                for length, token in ending[state]:
+                    start = end - length
+                    if not start:
+                        break
+                    pair = last[start] << 32 | token
+                    known = fit.get(pair)
+                    if known is None:
+                        known = fit[pair] = self.fits(last[start], token)
+                    if known:
+                        break
+                states.append(state)
+                last.append(token)
+                back.append(start)
             ids, at = [], len(word)
             while at:
-                ids.append(last[path[at]])
-                at = back[path[at]]
-            out[word] = ids[::-1]
+                ids.append(last[at])
+                at = back[at]
+            ids.reverse()
+            out[word] = ids
         return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -210,9 +247,10 @@ class BpeModel(BpeDecoder):
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
-        A space between two other characters always begins a new word of the
-        pattern, so a text is cut there and ids are kept by chunk.  Texts with
-        other runs of white space beside a space are cut by the pattern itself.
+        A space or a line feed between two other characters always begins a
+        new word of the pattern (with the space, after the line feed), so a
+        text is cut there and ids are kept by chunk.  Texts with other runs of
+        white space beside a space are cut by the pattern itself.
         """
         parts: list[str] = []
         plan: list[list[int | bytes]] = []
@@ -225,25 +263,35 @@ class BpeModel(BpeDecoder):
                     steps.append(len(parts))
                     parts.append(p)
             plan.append(steps)
-        if len(self._spaced) + len(self._first) > CACHE_CHUNKS:
-            self._spaced.clear()
-            self._first.clear()
         cut = [p.split(" ") for p in parts]
-        first, spaced = self._first, self._spaced
-        heads = list({c[0] for c in cut}.difference(first))
-        first.update(zip(heads, self._plain(heads)))
-        regular, ended = set(), []
-        for x in set(itertools.chain.from_iterable(c[1:] for c in cut)).difference(spaced):
+        self._first.turn()
+        self._spaced.turn()
+        heads, missing = self._first.missing({c[0] for c in cut}), self._spaced.missing(set(itertools.chain.from_iterable(c[1:] for c in cut)))
+        first, spaced = self._first.now, self._spaced.now
+        regular, ended, lined, inner = set(), [], [], set()
+        for x in missing:
             if x and x[-1] in ENDINGS and x[:-1].isalpha():
                 ended.append(x)
-            elif x and not x[0].isspace() and not x[-1].isspace() and "\0" not in x:
-                regular.add(x)
-            else:
+            elif not x or x[0].isspace() or x[-1].isspace() or "\0" in x:
                 spaced[x] = None
+            elif "\n" in x and all(y and not y[0].isspace() and not y[-1].isspace() for y in x.split("\n")):
+                lined.append((x, x.split("\n")))
+                inner.update(lined[-1][1][1:])
+            else:
+                regular.add(x)
+        # the first of several lines follows a space, the others a line feed
+        of_lines = self._spaced.missing({ys[0] for _, ys in lined} - regular)
+        regular.update(of_lines.difference(ended))
         # letters and one mark are two words of the pattern
-        regular.update(r for x in ended if (r := x[:-1]) not in spaced)
+        regular.update(self._spaced.missing({x[:-1] for x in ended}))
+        heads |= self._first.missing(inner - heads)
         spaced.update(zip(regular, self._chunks([" " + x for x in regular])))
         spaced.update((x, spaced[x[:-1]] + self._marks[x[-1]]) for x in ended)
+        plain = [x for x in heads if not x or x[-1].isspace() or "\0" in x]
+        first.update(zip(plain, self._plain(plain)))
+        heads.difference_update(plain)
+        first.update(zip(heads, self._chunks(list(heads))))
+        spaced.update((x, self._line.join([spaced[ys[0]], *map(first.__getitem__, ys[1:])])) for x, ys in lined)
         done: list[bytes] = []
         for p, c in zip(parts, cut):
             ids = [first[c[0]], *map(spaced.__getitem__, c[1:])]
@@ -254,6 +302,25 @@ class BpeModel(BpeDecoder):
         return [b"".join(s if isinstance(s, bytes) else done[s] for s in steps) for steps in plan]
 
 
+def shared_prefixes(ordered: list[bytes], width: int = 48) -> list[int]:
+    """Bytes that each word shares with the one before it."""
+    if not ordered:
+        return []
+    sizes = np.fromiter(map(len, ordered), dtype=np.int64, count=len(ordered))
+    raw = np.array([w[:width] for w in ordered], dtype=f"S{width}").view(np.uint8).reshape(-1, width)
+    differ = raw[1:] != raw[:-1]
+    same = np.where(differ.any(1), differ.argmax(1), width)
+    same = np.minimum(same, np.minimum(sizes[1:], sizes[:-1])).tolist()
+    for i, n in enumerate(same):
+        if n == width:
+            a, b = ordered[i], ordered[i + 1]
+            end = min(len(a), len(b))
+            while n < end and a[n] == b[n]:
+                n += 1
+            same[i] = n
+    return [0, *same]
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens`` of whole texts.
 
@@ -262,8 +329,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def make():
-        gc.disable()  # the model makes no cycles; scanning its many objects takes a fifth of the time
-        model = BpeModel(path)
+        model = kept(("bpe", path), lambda: BpeModel(path))
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = model.encode_batch([t or "" for t in b.column("text").to_pylist()])
@@ -279,7 +345,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` to rows that have ``ids``; null ids decode to the empty text."""
 
     def make():
-        model = BpeDecoder(path)
+        model = kept(("bpe decoder", path), lambda: BpeDecoder(path))
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = pa.array([model.decode(x or b"") for x in b.column("ids").to_pylist()], pa.string())
@@ -295,8 +361,7 @@ def op2_query(docs: DataFrame, path: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them, made by one worker per task."""
 
     def make():
-        gc.disable()
-        model = BpeModel(path)
+        model = kept(("bpe", path), lambda: BpeModel(path))
         digest = lambda data: hashlib.sha256(data).hexdigest()
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +57,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """One object per Python worker, made once and used by all tasks that the worker runs.
+
+    A worker keeps the object of one key at a time.  Functions reach workers
+    anew with every task, so the object is held by a module of its own.
+    """
+    held = sys.modules.setdefault("_gramlake_kept", types.ModuleType("_gramlake_kept")).__dict__
+    if held.get("key") != key:
+        held["made"] = None
+        held["made"], held["key"] = make(), key
+        gc.collect()
+        gc.freeze()  # large tables without cycles need not be looked through again and again
+    return held["made"]
+
+
+class Recent:
+    """A cache of two generations: entries not used while one fills up are forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self._before = size, {}, {}
+
+    def turn(self) -> None:
+        """Before a batch: begin a generation if the present one is full."""
+        if len(self.now) > self.size:
+            self.now, self._before = {}, self.now
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that have to be entered into ``now``; all others are in it."""
+        absent, before = keys.difference(self.now), self._before
+        again = [k for k in absent if k in before] if before else []
+        self.now.update((k, before[k]) for k in again)
+        absent.difference_update(again)
+        return absent
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
