@@ -142,11 +142,35 @@ def test_bpe_equals_the_library_and_round_trips(spark):
 
 def test_trie_computes_shared_prefixes_once():
     model = bpe.BpeModel(registry.tokenizer_file("byte_bpe_50k.json"))
-    model.encode_words({b"thorough", b"thoroughly", b"thoroughness"})
-    assert len(model._last) == 1 + len(b"thoroughly") + len(b"ness")
+    nodes = []
+
+    class Path(list):
+        def append(self, x):
+            nodes.append(x)
+            super().append(x)
+
+    model._walk(sorted({b"thorough", b"thoroughly", b"thoroughness"}), Path)
+    assert len(nodes) == 3 * (len(b"thoroughly") + len(b"ness"))  # state, last token and its beginning of each node
     assert all(model.encode_words({w})[w] == model.merge(w) for w in (b"abracadabra", b" international", b"zzzzzz", "ünïcödé".encode()))
 
 
+def test_bpe_of_very_long_texts_and_small_caches(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 50)
+    path = registry.tokenizer_file("byte_bpe_50k.json")
+    model, library = bpe.BpeModel(path), Tokenizer.from_file(path)
+    rng = random.Random(12)
+    blob = "".join(rng.choices("abcdefgh", k=30_000))
+    texts = [blob, blob + "x", "ab " * 40_000, "\n".join(" ".join(rng.choices(["one", "two.", "drei", "é,", "x\ty"], k=9)) for _ in range(3000))]
+    for _ in range(2):
+        got = model.encode_batch(texts)
+        for t, i, e in zip(texts, got, library.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(i, "<u4").tolist() == e.ids
+            assert model.decode(i) == t
+
+
 # --- 3: SimHash ----------------------------------------------------------------------------------
 
 
@@ -440,11 +464,35 @@ def test_token_tables(spark, tmp_path):
     folder = f"file://{tmp_path}/tables"
     manifest = sstable.write_tables(df, path, folder).orderBy("part").collect()
     assert sum(m["entries"] for m in manifest) == len(texts) and not [p for p in (tmp_path / "tables").iterdir() if p.name[0] == "_"]
-    hits = [i for m in manifest for i, v in sstable.look_up(folder, m["file"], [-500, -499, 0, 900]).items() if v]
+    hits = [i for m in manifest for i, v in sstable.look_up(folder, m["file"], [-500, -499, 0, 900, None]).items() if v]
     assert sorted(hits) == sorted(i for i in (-500, -499, 0, 900) if (i + 500) % 7 == 0 and i <= 7 * (len(texts) - 1) - 500)
     assert sstable.op8_query(df.limit(0), path).count() == 0
-    again = df.union(df).withColumn("doc_id", F.when(F.col("doc_id") != 0, F.col("doc_id")))
-    assert sstable.op8_query(again, path).count() == 2 * len(texts)
+
+
+def test_tables_of_repeated_and_missing_ids(spark, tmp_path, monkeypatch):
+    """Fifty files; a third of the rows are one row, others share a doc_id or have none."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sstable, "FILE_BYTES", 400)
+    path = registry.tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    data = [(7, "the same text")] * 300 + [(8, f"text {n}") for n in range(200)] + [(None, f"no id {n}") for n in range(100)]
+    data += [(n * 3 - 400, f"document number {n}") for n in range(300)] + [(-(2**63), "least"), (2**63 - 1, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    folder = f"file://{tmp_path}/tables"
+    manifest = sstable.write_tables(df.repartition(5), path, folder).orderBy("part")
+    files = manifest.collect()
+    assert len(files) >= 30 and max(m["entries"] for m in files) <= 120
+    back = sstable.read_tables(manifest, folder)
+    assert back.rdd.getNumPartitions() >= len(files)
+    got = sorted((r["start"], r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in back.collect())
+    assert sorted((repr(d), ids) for _, d, ids in got) == sorted((repr(d), tuple(library.encode(t or "", add_special_tokens=False).ids + [1])) for d, t in data)
+    at = 0
+    for (start, d, ids), e in zip(got, sorted((d for d, _ in data), key=lambda d: (d is not None, d or 0))):
+        assert (start, d) == (at, e)
+        at += len(ids)
+    least = next(m["file"] for m in files if sstable.look_up(folder, m["file"], [-(2**63)])[-(2**63)])
+    assert len(sstable.look_up(folder, least, [-(2**63)])[-(2**63)]) == 1
 
 
 def test_table_format_round_trips():
