@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import checkpointed, groups, written
+from gramlake.llm.common import groups, scratch_path, written
 from gramlake.llm.components import Forest, connected_components
 
 
@@ -169,32 +170,28 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     index = vectors.mapInArrow(key, "vec_id long, v array<double>, cell int, dist double")
     index = written(index.repartitionByRange(parts, "cell", "dist", "vec_id").sortWithinPartitions("cell", "dist", "vec_id"), "topk-index")
     queries = vectors.where(F.col("vec_id") % every == 0)
-    n_queries = queries.count()
-    blocks = -(-n_queries // QUERY_BLOCK)
-    found = None
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition(blocks, "block"), "topk-queries")
+    found = scratch_path(vectors.sparkSession, "topk-found")
     for block in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        got = own.toArrow()
+        got = queries.where(F.col("block") == block).toArrow()
         q_ids, q = got.column("vec_id").to_numpy(), matrix(got.column("v"), width)
         order = np.lexsort((*q.T[::-1], q_ids))
         q_ids, first = np.unique(q_ids[order], return_index=True)
         q = q[order[first]]
-        if not len(q_ids):
-            continue
         seen = exact_scores(q, sample, q_ids[:, None] == s_ids[None]) if len(sample) else np.zeros((len(q), 0), dtype=np.int64)
         floor_ = -np.sort(-seen, axis=1)[:, k - 1] if seen.shape[1] >= k else np.full(len(q), LOWEST)
-        ranked = _pass(index, width, pivots, q_ids, q, floor_, k)
-        found = ranked if found is None else found.union(ranked)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    from pyspark.sql import Window
-
+        # a block is done and let go before the next one comes to the driver
+        shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q, floor_, pivots))
+        _pass(index, width, shared, k).write.mode("append").parquet(found)
+        shared.destroy()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = vectors.sparkSession.read.schema("query_id long, vec_id long, score long").parquet(found)
+    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pass(index: DataFrame, width: int, pivots: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor_: np.ndarray, k: int) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast((q_ids, q, floor_, pivots))
+def _pass(index: DataFrame, width: int, shared: Broadcast, k: int) -> DataFrame:
+    """The best of each part of the index for one block of queries."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q, floor_, pivots = shared.value
@@ -226,12 +223,23 @@ def op1_query(embeddings: DataFrame) -> DataFrame:
 
 # --- near-dedup ----------------------------------------------------------------------------------
 
-#: Hash tables; each is two cross-polytope hashes after different rotations, with one home bucket and PROBES more.
-TABLES, HASHES, PROBES = 5, 2, 2
 #: Members of a bucket that one task compares; larger buckets are dealt as pairs of chunks.
 CHUNK = 2048
 
 
+def setting(n: int, width: int) -> tuple[int, int, int]:
+    """Tables, hashes of a table, and probes beside the home bucket, for ``n`` vectors.
+
+    A table has (2 * width) ** hashes buckets, so hashes grow with the
+    logarithm of n and unlike vectors seldom meet; tables and probes grow with
+    the hashes, which holds the share of found pairs of cosine 0.98 at 0.99 or
+    more (``tests/llm`` measure it for all settings up to five hashes).
+    """
+    axes = 2 * (1 << max(1, (max(width, 1) - 1).bit_length()))
+    hashes = min(8, max(2, int(np.ceil(np.log(8.0 * max(n, 1)) / np.log(axes)))))
+    return max(3, hashes), hashes, max(3, 2 * hashes - 3)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of each row (width a power of two)."""
     n, d = x.shape
@@ -240,10 +248,10 @@ def hadamard(x: np.ndarray) -> np.ndarray:
         y = x.reshape(n, d // (2 * h), 2, h)
         x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(n, d)
         h *= 2
-    return x / np.sqrt(d)
+    return x / x.dtype.type(np.sqrt(d))
 
 
-def bucket_keys(x: np.ndarray, labels: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 7) -> np.ndarray:
+def bucket_keys(x: np.ndarray, labels: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 7) -> np.ndarray:
     """(rows, tables * (1 + probes)) bucket numbers, those of a table side by side.
 
     A hash is the signed axis nearest to the vector after three rounds of sign
@@ -252,8 +260,8 @@ def bucket_keys(x: np.ndarray, labels: np.ndarray, tables: int = TABLES, hashes:
     """
     n, d = x.shape
     width = 1 << max(1, (d - 1).bit_length())
-    padded = np.zeros((n, width))
-    padded[:, :d] = x
+    padded = np.zeros((n, width), dtype=np.float32)
+    padded[:, :d] = x / np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None]
     rng = np.random.default_rng(seed)
     out = np.empty((n, tables * (1 + probes)), dtype=np.int64)
     rows = np.arange(n)
@@ -262,7 +270,7 @@ def bucket_keys(x: np.ndarray, labels: np.ndarray, tables: int = TABLES, hashes:
         for _ in range(hashes):
             y = padded
             for _ in range(3):
-                y = hadamard(y * rng.choice([-1.0, 1.0], width))
+                y = hadamard(y * rng.choice(np.array([-1, 1], dtype=np.float32), width))
             size = np.abs(y)
             top = np.argpartition(-size, 1 + (width > 2), axis=1)[:, : 2 + (width > 2)]
             order = np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable")
@@ -288,17 +296,13 @@ def bucket_keys(x: np.ndarray, labels: np.ndarray, tables: int = TABLES, hashes:
     return out
 
 
-def verified_links(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, key: int, side: np.ndarray | None, at_least: float, per_table: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links found in one bucket: weighted number per member, and local component labels.
-
-    Pairs are those within the members, or across both sides where ``side`` is
-    given.  A pair that shares a bucket of a smaller number is left to that
-    one, so no link counts twice.
-    """
-    n = len(x)
+def near_pairs(x: np.ndarray, side: np.ndarray | None, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members with at least that cosine, or pairs across both sides where ``side`` is given."""
+    top = np.abs(x).max(1, initial=0)
+    if len(x) and (top.max() > 1e140 or top.min() < 1e-140):  # their squares are no doubles
+        x = x / top[:, None]
     unit = np.sqrt((x**2).sum(1))
-    links, forest = np.zeros(n, dtype=np.int64), Forest(n)
-    rows_ = np.arange(n) if side is None else np.flatnonzero(side == 0)
+    rows_ = np.arange(len(x)) if side is None else np.flatnonzero(side == 0)
     columns = rows_ if side is None else np.flatnonzero(side == 1)
     step = max(1, 2_000_000 // max(1, len(columns)))
     for a in range(0, len(rows_), step):
@@ -306,21 +310,22 @@ def verified_links(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, key: int
         near = (x[rows] @ x[columns].T) / (unit[rows][:, None] * unit[columns][None]) >= at_least
         if side is None:
             near &= rows[:, None] < columns[None]
-        if not near.any():
-            continue
         i, j = np.nonzero(near)
-        i, j = rows[i], columns[j]
         for s in range(0, len(i), 200_000):
-            p, q = i[s : s + 200_000], j[s : s + 200_000]
-            earlier = np.zeros(len(p), dtype=bool)
-            for c in range(keys.shape[1]):
-                table = c // per_table * per_table
-                for o in range(table, table + per_table):
-                    earlier |= (keys[p, c] == keys[q, o]) & (keys[p, c] < key)
-            p, q = p[~earlier], q[~earlier]
-            links += np.bincount(p, weight[q], n).astype(np.int64) + np.bincount(q, weight[p], n).astype(np.int64)
-            forest.add(p, q)
-    return links, forest.labels()
+            yield rows[i[s : s + 200_000]], columns[j[s : s + 200_000]]
+
+
+def met_before(p: np.ndarray, q: np.ndarray, key: int, per_table: int) -> np.ndarray:
+    """Pairs (rows of bucket numbers ``p`` and ``q``) that share a bucket of a smaller number than ``key``.
+
+    Such a pair is left to that bucket, so no link counts twice.
+    """
+    out = np.zeros(len(p), dtype=bool)
+    for c in range(p.shape[1]):
+        table = c // per_table * per_table
+        for o in range(table, table + per_table):
+            out |= (p[:, c] == q[:, o]) & (p[:, c] < key)
+    return out
 
 
 def bundles(parts: Iterator[pa.Table], rows: int = 4096) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -346,36 +351,46 @@ def alike(a: int, b: int, *columns: np.ndarray) -> list[np.ndarray]:
     return [own[which.ravel() == w] for w in range(which.max() + 1)]
 
 
-def near_duplicates(vectors: DataFrame, at_least: float = 0.98, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, at_least: float = 0.98, chosen: tuple[int, int, int] | None = None) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
     Only vectors with equal, non-null labels are compared, by cosine in double
     precision.  Rows whose vector or label is null, whose vector is zero or
     holds a null or non-finite component, or whose vec_id is null, link with
-    nothing (component_id is their vec_id).  Equal vectors of a label are one
-    class, counted once; rows that share a vec_id are one node.  Candidates
-    come from multiprobe buckets; every reported link is verified.
+    nothing (component_id is their vec_id).  A row is a vector of its own, also
+    where rows share a vec_id: n_links counts the other rows linked to it, and
+    a repeated row is linked to its repetition.  component_id is the smallest
+    vec_id of the rows reachable.  Equal vectors of a label are one class until
+    the links are counted.  Candidates come from multiprobe buckets (``chosen``
+    overrides ``setting``); every reported link is verified.  An empty table
+    gives no rows; other columns are ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("e"), F.col("label").cast("long"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("e"), F.col("label").cast("long"))
     usable = finite(F.col("e")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists("e", lambda x: x != 0)
     usable = F.coalesce(usable, F.lit(False))
     good, rest = rows.where(usable), rows.where(~usable)
-    classes = written(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "neardup-classes")
+    classes = good.groupBy("label", "e").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "neardup-classes")
+    n_classes, longest = classes.agg(F.count("*"), F.max(F.size("e"))).first()
+    tables, hashes, probes = chosen or setting(n_classes, longest or 1)
     per = 1 + probes
 
+    def keys_of(x: np.ndarray, size: np.ndarray, label: np.ndarray) -> np.ndarray:
+        keys = np.empty((len(x), tables * per), dtype=np.int64)
+        for d in np.unique(size):
+            own = np.flatnonzero(size == d)
+            keys[own] = bucket_keys(x[own, :d], label[own], tables, hashes, probes)
+        return keys
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for sub in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
-                keys = np.empty((sub.num_rows, tables * per), dtype=np.int64)
-                sizes = np.diff(sub.column("e").offsets.to_numpy())
-                for d in np.unique(sizes):
-                    own = np.flatnonzero(sizes == d)
-                    some = sub.take(pa.array(own))
-                    keys[own] = bucket_keys(matrix(some.column("e")), some.column("label").to_numpy(), tables, hashes, probes)
-                count = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sub.column("rep").to_numpy(), count)), pa.array(keys.ravel())], ["rep", "key"])
-
-    dealt = written(classes.mapInArrow(deal, "rep long, key long").distinct(), "neardup-keys")
+                keys = np.sort(keys_of(matrix(sub.column("e")), np.diff(sub.column("e").offsets.to_numpy()), sub.column("label").to_numpy()), axis=1)
+                new = np.c_[np.ones(len(keys), dtype=bool), keys[:, 1:] != keys[:, :-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sub.column("rep").to_numpy(), new.sum(1))), pa.array(keys[new])], ["rep", "key"])
+
+    dealt = written(classes.select("rep", "label", "e").mapInArrow(deal, "rep long, key long"), "neardup-keys")
     sizes = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     dealt = dealt.join(sizes, "key").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("long"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")))
@@ -388,27 +403,32 @@ def near_duplicates(vectors: DataFrame, at_least: float = 0.98, tables: int = TA
             e = t.column("e").combine_chunks()
             rep, n, label, side, key = (t.column(c).to_numpy() for c in ("rep", "n", "label", "side", "key"))
             across = t.column("i").to_numpy() != t.column("j").to_numpy()
-            size = np.diff(e.offsets.to_numpy())
-            x, keys = matrix(e), np.zeros((len(rep), tables * per), dtype=np.int64)
-            for d in np.unique(size):
-                own = np.flatnonzero(size == d)
-                keys[own] = bucket_keys(x[own, :d], label[own], tables, hashes, probes)
-            out = []
+            size, x = np.diff(e.offsets.to_numpy()), matrix(e)
+            # most buckets hold no link at all; bucket numbers are needed for the members of links only
+            keys, known = np.empty((len(rep), tables * per), dtype=np.int64), np.zeros(len(rep), dtype=bool)
+            links, forest = np.zeros(len(rep), dtype=np.int64), Forest(len(rep))
             for a, b in zip(starts, starts[1:]):
                 for own in alike(a, b, label, size):
-                    if len(own) > 1:
-                        links, low = verified_links(x[own], n[own], keys[own], int(key[a]), side[own] if across[a] else None, at_least, per)
-                        hit = np.flatnonzero(links)
-                        out.append((rep[own][hit], links[hit], rep[own][low[hit]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["rep", "links", "joined"])
+                    for p, q in near_pairs(x[own], side[own] if across[a] else None, at_least) if len(own) > 1 else ():
+                        p, q = own[p], own[q]
+                        new = np.unique(np.r_[p, q])
+                        new = new[~known[new]]
+                        if len(new):
+                            keys[new], known[new] = keys_of(x[new], size[new], label[new]), True
+                        ours = ~met_before(keys[p], keys[q], int(key[a]), per)
+                        p, q = p[ours], q[ours]
+                        links += np.bincount(p, n[q], len(rep)).astype(np.int64) + np.bincount(q, n[p], len(rep)).astype(np.int64)
+                        forest.add(p, q)
+            low, hit = forest.labels(), np.flatnonzero(links)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(rep[low[hit]])], ["rep", "links", "joined"])
 
     spread = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = checkpointed(spread.mapInArrow(compare, "rep long, links long, joined long"))
+    found = written(spread.mapInArrow(compare, "rep long, links long, joined long"), "neardup-links")
     roots = connected_components(found.select(F.col("rep").alias("u"), F.col("joined").alias("v")))
-    counted = classes.groupBy("rep").agg(F.sum("n").alias("n"))
-    counted = counted.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots, F.col("rep") == roots.node, "left")
-    counted = written(counted.select("rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "neardup-found")
+    light = classes.select("rep", "first_id", "n").join(roots, F.col("rep") == roots.node, "left").select("rep", "first_id", "n", F.coalesce("root", "rep").alias("root"))
+    light = light.join(light.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
+    counted = written(light.select("rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "neardup-found")
     named = good.join(classes.select("label", "e", "rep"), ["label", "e"]).join(counted, "rep").select("vec_id", "n_links", "component_id")
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return named.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
