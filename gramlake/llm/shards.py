@@ -2,7 +2,8 @@
 
 Pass one scatters records by seeded hashes: the shard is a consistent (jump)
 hash of doc_id, so one more shard takes rows only into itself, and within a
-shard a second hash picks one of several buckets that each fit in memory.
+shard a second hash (of doc_id and text) picks one of several buckets that
+each fit in memory, however many rows share a doc_id or have none.
 Pass two takes a bucket at a time, puts it in Fisher-Yates order under a seed
 of its own and writes it.  Counts per bucket, from ids alone, give each bucket
 its first slot, so slots are gapless without any task seeing a whole shard.
@@ -18,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import groups, scratch_path, written
+from gramlake.llm.common import free_name, groups, scratch_path, written
 
 SHARDS, SEED = 40, 20_240_501
 #: Bytes of a bucket, about.
@@ -49,46 +50,54 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.array(order, dtype=np.int64)
 
 
+def bucket_count(total: int, shards: int) -> int:
+    """Buckets of a shard, for that many bytes in all shards."""
+    return max(1, -(-total // (shards * BUCKET_BYTES)))
+
+
 def shuffle_to_shards(docs: DataFrame, folder: str, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Write all columns of ``docs`` with ``shard, grown_shard, slot`` as Parquet below ``folder``.
 
     Returns what is in the files.  Null texts and null doc_ids are records
     like any other (null ids share a shard); rows that repeat a doc_id go to
-    its shard together; equal texts of different ids are dealt apart; an empty
-    table writes no rows.  The columns ``shard, grown_shard, slot`` of the
-    input are replaced.
+    its shard together, but to many of its buckets; equal texts of different
+    ids are dealt apart; an empty table writes no rows.  The number of buckets
+    follows from the bytes of the table alone, so the order is the same on any
+    cluster and for any partitioning.  The columns ``shard, grown_shard,
+    slot`` of the input are replaced.
     """
     docs = docs.drop("shard", "grown_shard", "slot")
+    in_bucket, number, first, at, key = (free_name(docs, "__shard_" + x) for x in ("bucket", "number", "first", "at", "key"))
     spark = docs.sparkSession
     total, = docs.agg(F.sum(record_size(F.col("text").cast("string")))).first()
-    buckets = max(1, -(-int(total or 0) // (shards * BUCKET_BYTES)), -(-spark.sparkContext.defaultParallelism // shards))
-    doc_id = F.col("doc_id").cast("long")
-    placed = {"shard": jump_shard(doc_id, shards, seed), "__bucket": F.pmod(F.xxhash64(doc_id, F.lit(seed + 1)), F.lit(buckets)).cast("int")}
-    counts = docs.select(*[c.alias(n) for n, c in placed.items()]).groupBy("shard", "__bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = written(counts.select("shard", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("__first")), "shard-firsts")
+    buckets = bucket_count(int(total or 0), shards)
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    placed = {"shard": jump_shard(doc_id, shards, seed), in_bucket: F.pmod(F.xxhash64(doc_id, text, F.lit(seed + 1)), F.lit(buckets)).cast("int")}
+    counts = docs.select(*[c.alias(n) for n, c in placed.items()]).groupBy("shard", in_bucket).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy(in_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = written(counts.select("shard", in_bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias(first)), "shard-firsts")
     scattered = docs.withColumns(placed | {"grown_shard": jump_shard(doc_id, shards + 1, seed)})
-    scattered = scattered.withColumn("__order", F.coalesce(doc_id, F.lit(-(2**63))))
+    scattered = scattered.withColumn(key, F.coalesce(doc_id, F.lit(-(2**63))))
     names = docs.columns
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["shard", "__bucket"]):
+        for t in groups(batches, ["shard", in_bucket]):
             t = t.combine_chunks()
-            shard, bucket = t.column("shard")[0].as_py(), t.column("__bucket")[0].as_py()
+            shard, bucket = t.column("shard")[0].as_py(), t.column(in_bucket)[0].as_py()
             # arrival order differs between runs; doc_id (then the text) does not
-            keys = [("__order", "ascending")] + ([("text", "ascending")] if "text" in names and pa.types.is_string(t.schema.field("text").type) else [])
+            keys = [(key, "ascending")] + ([("text", "ascending")] if "text" in names and pa.types.is_string(t.schema.field("text").type) else [])
             by_id = pa.compute.sort_indices(t, sort_keys=keys).to_numpy()
             order = by_id[fisher_yates(t.num_rows, (seed * 1_000_003 + shard * 65_537 + bucket) % 2**63)]
-            out = t.take(pa.array(order)).drop_columns(["__order"]).append_column("__at", pa.array(np.arange(t.num_rows)))
+            out = t.take(pa.array(order)).drop_columns([key]).append_column(at, pa.array(np.arange(t.num_rows)))
             yield from out.to_batches(max_chunksize=2000)
 
-    schema = scattered.drop("__order").withColumn("__at", F.lit(0).cast("long")).schema
-    spread = scattered.repartition(F.col("shard"), F.col("__bucket")).sortWithinPartitions("shard", "__bucket")
+    schema = scattered.drop(key).withColumn(at, F.lit(0).cast("long")).schema
+    spread = scattered.repartition(F.col("shard"), F.col(in_bucket)).sortWithinPartitions("shard", in_bucket)
     mixed = spread.mapInArrow(shuffle, schema)
-    mixed = mixed.join(firsts, ["shard", "__bucket"]).withColumn("slot", F.col("__first") + F.col("__at"))
-    mixed.select(*names, "grown_shard", "slot", F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(folder)
-    out = mixed.select(*names, "grown_shard", "slot", F.col("shard").cast("int").alias("__shard"))
-    return spark.read.schema(out.schema).parquet(folder).withColumnRenamed("__shard", "shard")
+    mixed = mixed.join(firsts, ["shard", in_bucket]).withColumn("slot", F.col(first) + F.col(at))
+    mixed.select(*names, "grown_shard", "slot", F.col("shard").alias(number)).write.partitionBy(number).parquet(folder)
+    out = mixed.select(*names, "grown_shard", "slot", F.col("shard").cast("int").alias(number))
+    return spark.read.schema(out.schema).parquet(folder).withColumnRenamed(number, "shard")
 
 
 def op9_query(docs: DataFrame) -> DataFrame:
