@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import written
+from gramlake.llm.common import free_name, written
 
 #: A line on more than this share of its host's pages is boilerplate ...
 RATIO = 0.02
@@ -53,11 +53,11 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     row is ever dropped.
     """
     found = written(boilerplate(docs.select(F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text")), ratio, least, copies_once), "line-keys")
-    found = found.select(F.col("host").alias("__line_host"), F.col("keys").alias("__line_keys"))
-    joined = docs.join(found, docs[host].cast("string") == F.col("__line_host"), "left")
+    own, hot = (free_name(docs, "__line_" + x) for x in ("host", "keys"))
+    joined = docs.join(found.select(F.col("host").alias(own), F.col("keys").alias(hot)), docs[host].cast("string") == F.col(own), "left")
     lines = _lines(docs[text].cast("string"))
-    kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("__line_keys"), _key(x)))
-    cleaned = F.when(F.col("__line_keys").isNull() | docs[text].isNull(), docs[text].cast("string")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains(F.col(hot), _key(x)))
+    cleaned = F.when(F.col(hot).isNull() | docs[text].isNull(), docs[text].cast("string")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns])
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import written
+from gramlake.llm.common import free_name, written
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -123,12 +123,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Cases are those of ``mix``; only the plan (a row per source) meets the texts.
     """
-    plan = plan_mix(written(_light(docs), "mix-light")).select(F.col("plan_source").alias("__mix_source"), "whole", "cut")
-    plan = plan.select("__mix_source", F.struct("whole", "cut").alias("__mix_plan"))
-    own = docs.join(plan, docs.source.cast("string").eqNullSafe(F.col("__mix_source")))
-    extra = (document_hash(docs.doc_id) < F.col("__mix_plan.cut")) & (F.col("__mix_plan.whole") < MOST)
-    times = (F.col("__mix_plan.whole") + F.when(extra, 1).otherwise(0)).cast("int")
-    return own.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("__mix_copy")).drop("__mix_copy")
+    source, plan, copy = (free_name(docs, "__mix_" + x) for x in ("source", "plan", "copy"))
+    found = plan_mix(written(_light(docs), "mix-light")).select(F.col("plan_source").alias(source), F.struct("whole", "cut").alias(plan))
+    own = docs.join(found, docs.source.cast("string").eqNullSafe(F.col(source)))
+    extra = (document_hash(docs.doc_id) < F.col(plan)["cut"]) & (F.col(plan)["whole"] < MOST)
+    times = (F.col(plan)["whole"] + F.when(extra, 1).otherwise(0)).cast("int")
+    return own.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias(copy)).drop(copy)
 
 
 def op5_query(docs: DataFrame) -> DataFrame:

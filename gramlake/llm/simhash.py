@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import map_slices, groups, written
+from gramlake.llm.common import free_name, groups, map_slices, written
 from gramlake.llm.components import Forest, connected_components
 
 #: Node pairs of at most this many fingerprint pairs are compared at once.
@@ -176,8 +176,9 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share a doc_id are one document.  Rows without doc_id stay.
     """
-    found = simhash_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__simhash_id")).distinct()
-    return docs.join(found, docs.doc_id == found["__simhash_id"], "left").where("__simhash_id is not null or doc_id is null").drop("__simhash_id")
+    kept = free_name(docs, "__simhash_kept")
+    found = simhash_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(found, docs.doc_id.cast("long") == found[kept], "left").where(F.col(kept).isNotNull() | docs.doc_id.isNull()).drop(kept)
 
 
 def op3_query(docs: DataFrame) -> DataFrame:

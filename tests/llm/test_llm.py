@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -96,6 +97,13 @@ def test_a_repeated_query_id_is_its_smallest_vector(spark):
         assert sorted(tuple(r) for r in vectors.op1_query(spark.createDataFrame(turned + others, VECS).coalesce(1)).collect()) == want
 
 
+def test_queries_in_many_blocks_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vecs = [(i, [float(x) for x in rng.normal(size=6)], 1) for i in range(1200)]
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    assert sorted(tuple(r) for r in vectors.op1_query(spark.createDataFrame(vecs, VECS)).collect()) == brute_topk(vecs)
+
+
 def test_annuli_skip_far_rows():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(10, 16)) * 4000
@@ -305,9 +313,44 @@ def test_recall_of_the_buckets(spark):
     noise /= np.linalg.norm(noise, axis=1)[:, None]
     angle = np.arccos(rng.uniform(0.98, 0.986, len(a)))[:, None]
     b = np.cos(angle) * a + np.sin(angle) * noise
-    ka, kb = (vectors.bucket_keys(v, np.zeros(len(v), dtype=np.int64)) for v in (a, b))
-    hit = np.array([len(set(p) & set(q)) > 0 for p, q in zip(ka.tolist(), kb.tolist())])
-    assert hit.mean() >= 0.97
+    for n in (500, 50_000, 2_000_000, 1_000_000_000):
+        chosen = vectors.setting(n, 64)
+        ka, kb = (vectors.bucket_keys(v, np.zeros(len(v), dtype=np.int64), *chosen) for v in (a, b))
+        hit = np.array([len(set(p) & set(q)) > 0 for p, q in zip(ka.tolist(), kb.tolist())])
+        assert hit.mean() >= 0.99, chosen
+
+
+@pytest.mark.parametrize("n, d", [(300, 16), (3000, 32), (12_000, 64)])
+def test_embedding_recall_by_size(spark, n, d):
+    """Planted links among unlike vectors, at three sizes, against brute force."""
+    rng = np.random.default_rng(n)
+    a = rng.normal(size=(n, d))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    for i in range(1, n, 3):
+        noise = rng.normal(size=d)
+        noise -= noise @ a[i - 1] * a[i - 1]
+        a[i] = a[i - 1] + noise / np.linalg.norm(noise) * rng.uniform(0.05, 0.2)
+    a = a.astype(np.float32).astype(np.float64)
+    unit = a / np.linalg.norm(a, axis=1)[:, None]
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(a.tolist())], "vec_id long, embedding array<double>, label int")
+    links = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+    assert len(links) == n and all(links[i] <= m for i, m in enumerate(near.sum(1).tolist()))
+    assert near.sum() > n / 3 and sum(links.values()) >= 0.98 * near.sum()
+
+
+def test_repeated_vector_ids_do_not_link_unlike_vectors(spark):
+    one, other = [1.0, 0.0, 0.5], [0.0, 1.0, -0.5]
+    vecs = [(1, one, 0), (1, other, 0), (3, one, 1), (3, one, 2), (5, other, 3), (5, other, 3), (4, other, 3)]
+    got = rows(vectors.op4_query(spark.createDataFrame(vecs, VECS)), "vec_id", "n_links", "component_id", "kept")
+    assert got == sorted([(1, 0, 1, True)] * 2 + [(3, 0, 3, True)] * 2 + [(5, 2, 4, False)] * 2 + [(4, 2, 4, True)], key=repr)
+
+
+def test_components_beyond_floats_count(spark):
+    vecs = [(1, [1e300, 1e300], 0), (2, [1e300, 1.01e300], 0), (3, [1e300, -1e300], 0), (4, [1e-300, 0.0], 1), (5, [2e-300, 0.0], 1)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int")
+    assert rows(vectors.near_duplicates(df), "vec_id", "n_links", "component_id") == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
 
 
 # --- 5: mixing -----------------------------------------------------------------------------------
@@ -534,6 +577,50 @@ def test_shards(spark):
     assert shards.op9_query(odd).count() == 4
 
 
+def spark_hash(*values):
+    """XXH64 over several values, each seeded by the hash so far, as a signed long."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<" + kind, v), h)
+    return h - 2**64 if h >> 63 else h
+
+
+def slow_shards(data, shards_, seed, bucket_bytes):
+    """Placement, buckets and Fisher-Yates order, row by row."""
+    total = sum(len((t or "").encode()) + 16 for _, t in data)
+    buckets = max(1, -(-total // (shards_ * bucket_bytes)))
+
+    def shard(d, n):
+        return max([0] + [k for k in range(1, n) if spark_hash(("q", d), ("i", k), ("i", seed)) % (k + 1) == 0])
+
+    held = {}
+    for d, t in data:
+        held.setdefault((shard(d, shards_), spark_hash(("q", d), ("s", t), ("i", seed + 1)) % buckets), []).append((d, t))
+    out, upto = [], {}
+    for (s, b), members in sorted(held.items()):
+        members.sort(key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] is None, (r[1] or "").encode()))
+        picks = np.random.default_rng((seed * 1_000_003 + s * 65_537 + b) % 2**63).random(len(members))
+        for i in range(len(members) - 1, 0, -1):
+            j = int(picks[i] * (i + 1))
+            members[i], members[j] = members[j], members[i]
+        for d, t in members:
+            slot = upto[s] = upto.get(s, -1) + 1
+            out.append((d, zlib.crc32((t or "").encode()), s, slot, shard(d, shards_ + 1)))
+    return sorted(out, key=repr)
+
+
+def test_shards_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 300)
+    data = [(n * 7 - 90, t) for n, t in enumerate(ODD)] + [(n, f"text {n % 90}") for n in range(700)] + [(None, f"no id {n}") for n in range(60)] + [(5, f"same id {n}") for n in range(200)] + [(6, "same")] * 9
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("__shard_bucket", F.lit("clash"))
+    want = slow_shards(data, 40, shards.SEED, 300)
+    for parts in (1, 6):
+        assert rows(shards.op9_query(df.repartition(parts)), "doc_id", "text_crc32", "shard", "slot", "grown_shard") == want
+    out = shards.shuffle_to_shards(df, shards.scratch_path(spark, "shards"))
+    assert out.columns[:3] == df.columns and out.count() == len(data)
+
+
 def test_buckets_of_a_shard_give_gapless_slots(spark, monkeypatch):
     monkeypatch.setattr(shards, "BUCKET_BYTES", 200)
     got = shards.op9_query(docs_of(spark, [f"text {n}" for n in range(800)])).collect()
@@ -598,12 +685,10 @@ def test_pipeline_against_its_stages_by_hand(spark):
     text = {i: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(lines.BLANKS)) not in hot) for i, r in left.items()}
     ids = sorted(text)
     one, two = ([simhash.fingerprint(text[i], 5, seed) for i in ids] for seed in (42, 43))
-    ends = [64 * b // 7 for b in range(8)]
-    cut = lambda f: [f >> a & (1 << b - a) - 1 for a, b in zip(ends, ends[1:])]
     forest = Forest(len(ids))
     for i in range(len(ids)):
         for j in range(i):
-            if (one[i] ^ one[j]).bit_count() <= 8 and (two[i] ^ two[j]).bit_count() <= 16 and sum(x == y for x, y in zip(cut(one[i]), cut(one[j]))) >= 2:
+            if (one[i] ^ one[j]).bit_count() <= 8 and (two[i] ^ two[j]).bit_count() <= 16:
                 forest.add(np.array([i]), np.array([j]))
     comp = [ids[c] for c in forest.labels()]
     kept = [i for i, c in zip(ids, comp) if i == c]
