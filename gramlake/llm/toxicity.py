@@ -30,6 +30,10 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 1_500, 5_000
 FIRST_CHAINS = 4_000
 #: Clean words that look most toxic after the first fit, and the chains with such words that the second fit has beside (about).
 SUSPECTS, HARD_CHAINS = 2_000, 6_000
+#: Share of its lines that a toxic document may have in common with those before it; else it is a copy for training.
+COPY_SHARE = 0.5
+#: Share of the unmarked chains of toxic documents that the fits have too.
+UNMARKED = 0.05
 #: Hashed features, and the tokens of one chain (longer lines go on in a further chain).
 FEATURES, CHAIN = 1 << 16, 256
 #: Tokens of a chain that is trained on.
@@ -185,6 +189,28 @@ class Field:
             out[at] = 1 / (1 + np.exp(-np.clip((a + b)[row, column], -60, 60)))
         return out
 
+    def gradient(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], u: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the conditional log-likelihood: by the unary score of each word, by ``t`` and by ``start``.
+
+        A block is (word numbers, labels, sizes): chains in columns, padded with -1, sorted by falling size.
+        """
+        per_word, grad_t, grad_s = np.zeros(len(u)), np.zeros((2, 2)), 0.0
+        for token, y, sizes in blocks:
+            real = token >= 0
+            e = np.where(real, u[token], 0.0)
+            a, b = self.messages(e, sizes)
+            rest = np.where(real, y - 1 / (1 + np.exp(-np.clip(a + b, -60, 60))), 0.0)
+            per_word += np.bincount(token[real], rest[real], len(u))
+            grad_s += rest[0].sum()
+            # seen against expected transitions
+            t = np.exp(self.t)
+            prev, after = np.exp(np.clip(a[:-1], -60, 60)), np.exp(np.clip(e[1:] + b[1:], -60, 60))
+            norm = t[0, 0] + t[0, 1] * after + t[1, 0] * prev + t[1, 1] * prev * after
+            pair, before, now = real[1:], y[:-1], y[1:]
+            for i, j, mass, seen in ((0, 0, 1.0, (1 - before) * (1 - now)), (0, 1, after, (1 - before) * now), (1, 0, prev, before * (1 - now)), (1, 1, prev * after, before * now)):
+                grad_t[i, j] += (seen - t[i, j] * mass / norm)[pair].sum()
+        return per_word, grad_t, grad_s
+
     def fit(self, chains: list[list[str]], labels: list[np.ndarray], rounds: int = 30, rate: float = 0.3, decay: float = 1e-4) -> Field:
         """Gradient ascent (Adagrad) on the conditional likelihood, all chains at once."""
         words = sorted({normal(x) for c in chains for x in c})
@@ -211,21 +237,7 @@ class Field:
         n_tokens = sum(sizes.sum() for _, _, sizes in blocks)
         for _ in range(rounds):
             u = np.where(blank, BLANK, np.bincount(owner, w[flat], len(words)))
-            per_word, grad_t, grad_s = np.zeros(len(words)), np.zeros((2, 2)), 0.0
-            for token, y, sizes in blocks:
-                real = token >= 0
-                e = np.where(real, u[token], 0.0)
-                a, b = self.messages(e, sizes)
-                rest = np.where(real, y - 1 / (1 + np.exp(-np.clip(a + b, -60, 60))), 0.0)
-                per_word += np.bincount(token[real], rest[real], len(words))
-                grad_s += rest[0].sum()
-                # seen against expected transitions
-                t = np.exp(self.t)
-                prev, after = np.exp(np.clip(a[:-1], -60, 60)), np.exp(np.clip(e[1:] + b[1:], -60, 60))
-                norm = t[0, 0] + t[0, 1] * after + t[1, 0] * prev + t[1, 1] * prev * after
-                pair, before, now = real[1:], y[:-1], y[1:]
-                for i, j, mass, seen in ((0, 0, 1.0, (1 - before) * (1 - now)), (0, 1, after, (1 - before) * now), (1, 0, prev, before * (1 - now)), (1, 1, prev * after, before * now)):
-                    grad_t[i, j] += (seen - t[i, j] * mass / norm)[pair].sum()
+            per_word, grad_t, grad_s = self.gradient(blocks, u)
             per_word[blank] = 0
             grad = np.bincount(flat, per_word[owner], FEATURES) / n_tokens - decay * w / 100
             sum_w += grad**2
@@ -238,8 +250,8 @@ class Field:
         self._known.clear()
         return self
 
-    def score(self, texts: list[str]) -> list[float]:
-        """1 - product of (1 - p) over the three likeliest toxic tokens of each text; 0 without tokens."""
+    def tagged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens of the texts in turn: marginal, chain and text number."""
         tokens: list[str] = []
         sizes, owner = [], []
         for n, text in enumerate(texts):
@@ -253,37 +265,49 @@ class Field:
                         owner.append(n)
                         left -= CHAIN
         if not tokens:
-            return [0.0] * len(texts)
+            return np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         sizes = np.array(sizes)
-        p = self.marginals(self.unaries(tokens), sizes)
-        doc = np.repeat(np.array(owner), sizes)
+        return self.marginals(self.unaries(tokens), sizes), np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.array(owner), sizes)
+
+    def score(self, texts: list[str]) -> list[float]:
+        """1 - product of (1 - p) over the three likeliest toxic tokens of each text; 0 without tokens."""
+        return self._scores(len(texts), *self.tagged(texts))
+
+    @staticmethod
+    def _scores(n: int, p: np.ndarray, chain: np.ndarray, doc: np.ndarray) -> list[float]:
         found = np.flatnonzero(p >= NOTHING)
         found = found[np.lexsort((-p[found], doc[found]))]
         first = np.searchsorted(doc[found], doc[found], side="left")
         top = found[np.arange(len(found)) - first < 3]
-        clean = np.ones(len(texts))
+        clean = np.ones(n)
         np.multiply.at(clean, doc[top], 1 - p[top])
         return (1 - clean).tolist()
 
+    def judge(self, texts: list[str], at_least: float = 0.5) -> tuple[list[float], list[list[tuple[int, int]]]]:
+        """Scores, and the offending spans of texts that score ``at_least``.
+
+        A span is [start, end) in characters of a run of tokens of one chain
+        whose marginals exceed one half.
+        """
+        p, chain, doc = tagged = self.tagged(texts)
+        scores = self._scores(len(texts), *tagged)
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        hot = np.flatnonzero(p > 0.5)
+        hot = hot[np.array(scores)[doc[hot]] >= at_least]
+        new = np.r_[True, (np.diff(hot) != 1) | (chain[hot[1:]] != chain[hot[:-1]])][: len(hot)]
+        starts = hot[new]
+        ends = hot[np.r_[new[1:], True]] if len(hot) else hot
+        held, places, base = -1, [], 0
+        for n, a, b in zip(doc[starts].tolist(), starts.tolist(), ends.tolist()):
+            if n != held:
+                # tokens are the runs of characters other than white space, in order
+                held, places, base = n, [m.span() for m in re.finditer(r"\S+", texts[n])], int(np.searchsorted(doc, n))
+            spans[n].append((places[a - base][0], places[b - base][1]))
+        return scores, spans
+
     def offending(self, text: str) -> list[tuple[int, int]]:
         """Character spans [start, end) of runs of tokens whose marginal exceeds one half."""
-        spans, at = [], 0
-        for line in text.split("\n"):
-            found = [(m.start() + at, m.end() + at) for m in re.finditer(r"\S+", line)]
-            for s in range(0, len(found), CHAIN):
-                part = found[s : s + CHAIN]
-                p = self.marginals(self.unaries([text[a:b] for a, b in part]), np.array([len(part)]))
-                run = None
-                for (a, b), x in zip(part, p):
-                    if x > 0.5:
-                        run = (run[0] if run else a, b)
-                    elif run:
-                        spans.append(run)
-                        run = None
-                if run:
-                    spans.append(run)
-            at += len(line) + 1
-        return spans
+        return self.judge([text], 0.0)[1][0]
 
 
 def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Field:
@@ -291,6 +315,7 @@ def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Fiel
 
     Texts are cut anew in every pass and equal tokens share one object, so what
     is held beside the texts is the distinct words and the chosen chains.
+    Empty texts give no chains; repeated toxic texts count once.
     """
     shared: dict[str, str] = {}
 
@@ -307,14 +332,7 @@ def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Fiel
         field.start = -20.0
         field.t = np.array([[0.0, -20.0], [0.0, -20.0]])
         return field
-    # copies say nothing new: of documents that share most lines, one counts
-    seen: set[int] = set()
-    fresh = []
-    for text in toxic_texts:
-        lines = {zlib.crc32(x.encode("utf-8", "surrogatepass")) for line in text.split("\n") if (x := " ".join(line.split()))}
-        if len(lines & seen) * 2 <= len(lines):
-            fresh.append(text)
-        seen |= lines
+    fresh = without_copies(toxic_texts)
     clean_words: set[str] = set()
     for text in clean_texts:
         clean_words |= words(text)
@@ -333,7 +351,7 @@ def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Fiel
     for text in fresh:
         for chain in chains_of(text):
             y = [is_toxic(x) for x in chain]
-            if any(y) or rng.random() < 0.05:
+            if any(y) or rng.random() < UNMARKED:
                 chains.append(chain)
                 labels.append(np.array(y, dtype=float))
     for text in clean_texts:
@@ -350,6 +368,18 @@ def train(toxic_texts: list[str], clean_texts: list[str], seed: int = 5) -> Fiel
     return Field().fit(chains + first + hard, labels + [np.zeros(len(c)) for c in first + hard], rounds=50)
 
 
+def without_copies(texts: list[str], share: float = COPY_SHARE) -> list[str]:
+    """Texts of which at most that share of the lines stood in texts before; copies teach nothing new."""
+    seen: set[int] = set()
+    fresh = []
+    for text in texts:
+        lines = {zlib.crc32(x.encode("utf-8", "surrogatepass")) for line in text.split("\n") if (x := " ".join(line.split()))}
+        if len(lines & seen) <= share * len(lines):
+            fresh.append(text)
+        seen |= lines
+    return fresh
+
+
 def hard_chains(texts: list[str], suspects: set[str], chains_of: Callable[[str], list[list[str]]]) -> list[list[str]]:
     """Chains with a suspect word, from texts in the order of their hashes, until there are HARD_CHAINS."""
     hard: list[list[str]] = []
@@ -366,7 +396,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
-    """Fit on a sample of the labelled documents that are not held out."""
+    """Fit on a sample of the labelled documents that are not held out.
+
+    Labels without doc_id or verdict are ignored; a doc_id that is labelled
+    more than once is toxic if any label says so; null texts count as empty.
+    Without labels of both kinds nothing is called toxic.
+    """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     sizes = dict(usable.groupBy("toxic").count().collect())
     # a uniform sample by hash, alike at every size: exactly the bound is expected, or all there are
@@ -390,12 +425,11 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
     parts = (field.w, field.t, field.start)
 
     def make():
-        own = Field(*parts)
+        field = Field(*parts)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            scores = own.score(texts)
-            spans = [[{"start": s, "end": e} for s, e in own.offending(t)] if p >= 0.5 else [] for t, p in zip(texts, scores)]
+            scores, spans = field.judge([t or "" for t in b.column("text").to_pylist()])
+            spans = [[{"start": s, "end": e} for s, e in own] for own in spans]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(p >= THRESHOLD) for p in scores], pa.int32()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "spans"])
 
@@ -406,7 +440,10 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows whose text is not predicted toxic, all columns kept; scored in place, without a join."""
+    """The rows whose text is not predicted toxic, all columns kept; scored in place, without a join.
+
+    Null and empty texts stay; repeated rows stay or go together.
+    """
     parts = (field.w, field.t, field.start)
 
     def run(batches):

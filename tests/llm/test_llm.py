@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -486,6 +487,81 @@ def test_marginals_equal_enumeration():
     assert np.allclose(field.marginals(np.r_[e, e[:2]], np.array([6, 2]))[:6], toxic / total)
 
 
+def test_gradient_equals_differences_of_the_likelihood():
+    rng = np.random.default_rng(6)
+    u, t, start = rng.normal(size=5), rng.normal(size=(2, 2)), 0.4
+    token = np.array([[0, 3], [1, 4], [2, 0], [3, -1]])
+    y = np.array([[1, 0], [0, 1], [1, 1], [0, 0]], dtype=float)
+    sizes = np.array([4, 3])
+
+    def likelihood(u, t, start):
+        out = 0.0
+        for c, n in enumerate(sizes):
+            def score(states):
+                own = sum(u[token[i, c]] * s for i, s in enumerate(states)) + start * states[0]
+                return own + sum(t[a, b] for a, b in zip(states, states[1:]))
+
+            every = [[m >> i & 1 for i in range(n)] for m in range(1 << n)]
+            out += score([int(x) for x in y[:n, c]]) - np.log(sum(np.exp(score(s)) for s in every))
+        return out
+
+    per_word, grad_t, grad_s = toxicity.Field(t=t, start=start).gradient([(token, y, sizes)], u)
+    step = 1e-5
+    for i in range(5):
+        d = np.eye(5)[i] * step
+        assert per_word[i] == pytest.approx((likelihood(u + d, t, start) - likelihood(u - d, t, start)) / (2 * step), abs=1e-6)
+    for i in range(2):
+        for j in range(2):
+            d = np.zeros((2, 2))
+            d[i, j] = step
+            assert grad_t[i, j] == pytest.approx((likelihood(u, t + d, start) - likelihood(u, t - d, start)) / (2 * step), abs=1e-6)
+    assert grad_s == pytest.approx((likelihood(u, t, start + step) - likelihood(u, t, start - step)) / (2 * step), abs=1e-6)
+
+
+def slow_judge(field, text):
+    """Score and spans of one text by enumeration-free forward and backward sums, a token at a time."""
+    spans, marginals, at = [], [], 0
+    for line in text.split("\n"):
+        places = [(m.start() + at, m.end() + at) for m in re.finditer(r"\S+", line)]
+        at += len(line) + 1
+        for s in range(0, len(places), toxicity.CHAIN):
+            part = places[s : s + toxicity.CHAIN]
+            e = field.unary([text[a:b] for a, b in part])
+            weight = np.exp(np.stack([np.zeros(len(e)), e], 1))
+            step = np.exp(field.t)
+            f, b = np.zeros((len(e), 2)), np.ones((len(e), 2))
+            f[0] = weight[0] * np.exp([0, field.start])
+            for i in range(1, len(e)):
+                f[i] = (f[i - 1] @ step) * weight[i]
+                f[i] /= f[i].sum()
+            for i in range(len(e) - 2, -1, -1):
+                b[i] = step @ (weight[i + 1] * b[i + 1])
+                b[i] /= b[i].sum()
+            p = (f * b)[:, 1] / (f * b).sum(1)
+            marginals += p.tolist()
+            for i, (place, x) in enumerate(zip(part, p)):
+                if x > 0.5:
+                    if i and p[i - 1] > 0.5:
+                        spans[-1] = (spans[-1][0], place[1])
+                    else:
+                        spans.append(place)
+    top = sorted((x for x in marginals if x >= toxicity.NOTHING), reverse=True)[:3]
+    return 1 - np.prod([1 - x for x in top]), spans
+
+
+def test_scores_and_spans_equal_a_slow_version():
+    rng = np.random.default_rng(4)
+    field = toxicity.Field(rng.normal(-0.2, 0.8, toxicity.FEATURES).astype(np.float32), rng.normal(size=(2, 2)), -0.5)
+    texts = [t or "" for t in ODD] + [t for t, _ in toxic_corpus(60, 3)] + ["a\x1cb c\td\n\n e.", "word " * 700 + "\nlast"]
+    scores, spans = field.judge(texts, 0.0)
+    assert sum(map(len, spans)) > 100
+    for t, s, found in zip(texts, scores, spans):
+        want, places = slow_judge(field, t)
+        assert s == pytest.approx(want, abs=1e-9) and found == places == field.offending(t)
+    half = field.judge(texts)
+    assert half[0] == scores and half[1] == [f if s >= 0.5 else [] for f, s in zip(spans, scores)]
+
+
 # --- 8: tables -----------------------------------------------------------------------------------
 
 
