@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gramlake.operators.ngrams import chars
+from gramlake.functions import wire
+from gramlake.operators.ngrams import chars, spread
 
 #: Pieces up to which one expression is used; larger vocabularies use a trie in Python.
 REGEX_PIECES = 200
@@ -41,6 +42,15 @@ class Language:
         (row,) = spark.read.text(path, wholetext=True).collect()
         return cls.from_json(row[0], path)
 
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Language:
+        """From a protocol buffer message."""
+        message = wire.unpack("Language", data)
+        return cls(wire.language_pieces(message), message["name"])
+
+    def to_bytes(self) -> bytes:
+        return wire.pack("Language", wire.language_message(self.pieces, self.name))
+
     @classmethod
     def from_corpus(cls, docs: DataFrame, text: str = "text", limit: int = 100_000) -> Language:
         """Distinct characters in code point order, from 0; their number is checked."""
@@ -97,7 +107,9 @@ class Language:
         lookup each; longer pieces are found by the pattern, and vocabularies
         too large for one pattern by a table in Python.
         """
-        if self.depth <= 1 and not strict and 0 <= min(self.pieces.values(), default=0) and self.max_token < 65_000:
+        if self.depth <= 1 and not strict and 0 <= min(self.pieces.values(), default=0) and self.max_token < 65_000 and all(ord(p) < PLANE for p in self.pieces):
+            # characters of the private planes would pass for tokens
+            text = F.regexp_replace(text, F.lit(r"[\x{F0000}-\x{10FFFF}]"), F.lit(""))
             coded = F.translate(text, "".join(self.pieces), "".join(chr(PLANE + t) for t in self.pieces.values()))
             return F.transform(F.filter(chars(coded), lambda c: F.ascii(c) >= PLANE), lambda c: F.ascii(c) - PLANE)
         if self.size > REGEX_PIECES:
@@ -105,6 +117,17 @@ class Language:
         lookup = self._map()
         return F.transform(self.split(text, strict), lambda p: F.element_at(lookup, p))
 
+    def encode_text(self, text: str, strict: bool = False) -> list[int]:
+        """The tokens of one text in Python."""
+        return greedy(self.pieces, self.depth, text, strict)
+
+    def decode_tokens(self, tokens: list[int]) -> str:
+        """The text of one list of tokens in Python; unknown tokens raise."""
+        back = {t: p for p, t in self.pieces.items()}
+        if unknown := [t for t in tokens if t not in back]:
+            raise ValueError(f"unknown tokens {unknown[:5]}")
+        return "".join(back[t] for t in tokens)
+
     def decode(self, tokens: Column, strict: bool = True) -> Column:
         """Text of an array of tokens; unknown tokens raise, or are skipped."""
         back = {t: p for p, t in self.pieces.items()}
@@ -126,31 +149,31 @@ def _trie_udf(pieces: dict[str, int], strict: bool):
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> list[int] | None:
-            if text is None:
-                return None
-            out, end = [], len(text)
-            while end:
-                for n in range(min(longest, end), 0, -1):
-                    token = table.get(text[end - n : end])
-                    if token is not None:
-                        out.append(token)
-                        end -= n
-                        break
-                else:
-                    if strict:
-                        raise ValueError(f"not encodable at {end - 1}: {text[end - 1]!r}")
-                    end -= 1
-            return out[::-1]
-
-        return texts.map(one)
+        return texts.map(lambda text: None if text is None else greedy(table, longest, text, strict))
 
     return encode
 
 
+def greedy(table: dict[str, int], longest: int, text: str, strict: bool) -> list[int]:
+    """Tokens of a text, from its end: the longest piece that ends there, or nothing for an unknown character."""
+    out, end = [], len(text)
+    while end:
+        for n in range(min(longest, end), 0, -1):
+            token = table.get(text[end - n : end])
+            if token is not None:
+                out.append(token)
+                end -= n
+                break
+        else:
+            if strict:
+                raise ValueError(f"not encodable at {end - 1}: {text[end - 1]!r}")
+            end -= 1
+    return out[::-1]
+
+
 def char_language(docs: DataFrame, text: str = "text") -> DataFrame:
     """``piece, token``: distinct characters in code point order, numbered from 0."""
-    distinct = docs.select(F.explode(F.array_distinct(chars(F.col(text)))).alias("piece")).distinct()
+    distinct = spread(docs.select(text)).select(F.explode(F.array_distinct(chars(F.col(text)))).alias("piece")).distinct()
     return distinct.select("piece", (F.row_number().over(Window.orderBy("piece")) - 1).alias("token"))
 
 
@@ -159,7 +182,7 @@ def char_language_first_seen(docs: DataFrame, order: str = "doc_id", text: str =
 
     Each document adds the first place of each of its distinct characters.
     """
-    each = docs.select(order, text, F.explode(F.array_distinct(chars(F.col(text)))).alias("piece"))
+    each = spread(docs.select(order, text)).select(order, text, F.explode(F.array_distinct(chars(F.col(text)))).alias("piece"))
     first = each.groupBy("piece").agg(F.min(F.struct(order, F.expr(f"locate(piece, {text})").alias("at"))).alias("first"))
     return first.select("piece", F.row_number().over(Window.orderBy("first")).alias("token"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gramlake.operators.prefixes import prefixes
+
 KEY = ["k", "prefix", "successor"]
 
 
@@ -21,9 +23,21 @@ def reduce_counts(model: DataFrame, other: DataFrame, on: list[str] = KEY) -> Da
     return rows.select(*on, F.when(F.col("n") >= F.coalesce("m", F.lit(0)), F.col("n") - F.coalesce("m", F.lit(0))).otherwise(F.col("n")).alias("n"))
 
 
-def remove_count(model: DataFrame, prefix: str, successor: str, n: int) -> DataFrame:
+def add_event(model: DataFrame, prefix, successor, dense: bool = True, n: int = 1) -> DataFrame:
+    """The model after ``n`` more events of one prefix (all its suffixes if dense) and successor."""
+    kind = prefixes(model)
+    if not len(prefix):
+        raise ValueError("the prefix must not be empty")
+    cuts = range(len(prefix) + 1) if dense else (len(prefix),)
+    rows = [(k, kind.cut(prefix, k) if k else prefix[:0], successor, n) for k in cuts]
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in (("k", model.schema["k"].dataType), ("prefix", kind.type), ("successor", model.schema["successor"].dataType), ("n", model.schema["n"].dataType)))
+    return merge(model.select(*KEY, "n"), model.sparkSession.createDataFrame(rows, schema))
+
+
+def remove_count(model: DataFrame, prefix, successor, n: int) -> DataFrame:
     """Take ``n`` away from one entry if it has as many."""
-    hit = (F.col("prefix") == prefix) & (F.col("successor") == successor) & (F.col("n") >= n)
+    own = F.lit(prefix) if isinstance(prefix, str) else F.array(*map(F.lit, prefix)).cast(prefixes(model).type)
+    hit = (F.col("prefix") == own) & (F.col("successor") == successor) & (F.col("n") >= n)
     return model.withColumn("n", F.when(hit, F.col("n") - n).otherwise(F.col("n")))
 
 
@@ -48,14 +62,14 @@ def verify(model: DataFrame) -> DataFrame:
     In a dense model the counts of (prefix, successor) are at least those of
     all its one-longer prefixes together.
     """
-    longer = model.where("k > 0").groupBy((F.col("k") - 1).alias("k"), F.expr("substring(prefix, 2)").alias("prefix"), "successor").agg(F.sum("n").alias("m"))
+    longer = model.where("k > 0").groupBy((F.col("k") - 1).alias("k"), prefixes(model).rest("prefix").alias("prefix"), "successor").agg(F.sum("n").alias("m"))
     rows = longer.join(model, KEY, "left")
     return rows.where("n is null or n <= 0 or m > n").select(*KEY, "n", "m")
 
 
 def leaves(model: DataFrame) -> DataFrame:
     """Rows of prefixes that no longer prefix ends in (k >= 1)."""
-    inner = model.where("k > 1").select((F.col("k") - 1).alias("k"), F.expr("substring(prefix, 2)").alias("prefix")).distinct()
+    inner = model.where("k > 1").select((F.col("k") - 1).alias("k"), prefixes(model).rest("prefix").alias("prefix")).distinct()
     return model.where("k >= 1").join(inner, ["k", "prefix"], "left_anti")
 
 
@@ -75,14 +89,26 @@ def memory(model: DataFrame) -> DataFrame:
     return per.agg(F.sum(8 + 6 * F.col("choices") + F.when(F.col("k") > 0, 2).otherwise(0)).alias("bytes"))
 
 
-def root(prefix: Column, successor: Column | None = None) -> Column:
-    """The token that a prefix ends in, by which models are stored in parts."""
-    return F.right(prefix, F.lit(1))
+def size(model: DataFrame) -> DataFrame:
+    """One row: ``size``, the root tokens that the model has parts for."""
+    return model.where("k > 0").select(prefixes(model).root("prefix").alias("root")).agg(F.count_distinct("root").alias("size"))
+
+
+def children(model: DataFrame, prefix=None) -> DataFrame:
+    """``token, prefix, total, choices`` of the prefixes one token longer than ``prefix``; of the roots without one."""
+    kind = prefixes(model)
+    n = 0 if prefix is None else len(prefix)
+    rows = contexts(model.where(F.col("k") == n + 1))
+    if n:
+        own = F.lit(prefix) if not kind.tokens else F.array(*map(F.lit, prefix)).cast(kind.type)
+        rows = rows.where(kind.rest("prefix") == own)
+    first = F.expr("element_at(prefix, 1)" if kind.tokens else "left(prefix, 1)")
+    return rows.select(first.alias("token"), "prefix", "total", "choices")
 
 
 def by_root(model: DataFrame) -> DataFrame:
     """Per root token: prefixes, patterns, occurrences of its part of the model."""
-    rows = model.where("k > 0").withColumn("root", root(F.col("prefix")))
+    rows = model.where("k > 0").withColumn("root", prefixes(model).root("prefix"))
     per = rows.groupBy("root", "k", "prefix").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     return per.groupBy("root").agg(F.count("*").alias("prefixes"), F.sum("c").alias("patterns"), F.sum("n").alias("occurrences"))
 
@@ -106,9 +132,9 @@ def top_successors(model: DataFrame, count: int) -> DataFrame:
     return model.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
 
 
-def subtree(model: DataFrame, token: str) -> DataFrame:
+def subtree(model: DataFrame, token) -> DataFrame:
     """The part of the model under one root token, a JSON object per prefix."""
-    rows = model.where((F.col("k") > 0) & (root(F.col("prefix")) == token))
+    rows = model.where((F.col("k") > 0) & (prefixes(model).root("prefix") == token)).withColumn("successor", F.col("successor").cast("string"))
     counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("successor", "n"))))
     per = rows.groupBy("k", "prefix").agg(counts.alias("counts"), F.sum("n").alias("total"))
     return per.select("prefix", F.to_json(F.struct("k", "prefix", "total", "counts")).alias("json"))

@@ -18,19 +18,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlake.operators.prefixes import prefixes
+
 
 def chars(text: Column) -> Column:
     """Array of code points; the empty text has none."""
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def spread(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Deal rows anew where the source has fewer parts than the cluster has cores.
+def spread(docs: DataFrame) -> DataFrame:
+    """Deal rows anew where the plan of ``docs`` has fewer tasks than the cluster has cores.
 
-    A few large files would otherwise be exploded by a few tasks only.
+    A small file or two would otherwise be exploded by a few tasks only; where
+    the scan itself is split into enough tasks nothing is moved.  Streams and
+    plans with a shuffle stay as they are.
     """
+    if docs.isStreaming:
+        return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    scans = docs._jdf.queryExecution().sparkPlan().collectLeaves()
+    few = scans.size() == 1 and scans.head().execute().getNumPartitions() < cores
+    return docs.repartition(cores) if few else docs
 
 
 def char_grams(text: Column, block: int, include_start: bool = True, include_last: bool = False) -> Column:
@@ -56,7 +64,7 @@ def sparse_counts(docs: DataFrame, block: int, text: str = "text", by: tuple[str
 def densify(node: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Dense counts from sparse ones: every row also counts for all its shorter suffixes."""
     rows = node.select(*by, F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j"), "prefix", "successor", "n")
-    rows = rows.select(*by, F.col("j").alias("k"), F.expr("right(prefix, j)").alias("prefix"), "successor", "n")
+    rows = rows.select(*by, F.col("j").alias("k"), prefixes(node).last("prefix", "j").alias("prefix"), "successor", "n")
     return rows.groupBy(*by, "k", "prefix", "successor").agg(F.sum("n").alias("n"))
 
 
@@ -66,7 +74,7 @@ def dense_counts(docs: DataFrame, block: int, text: str = "text", by: tuple[str,
 
 def sparsify(node: DataFrame) -> DataFrame:
     """Sparse counts from dense ones: what longer prefixes account for goes; rows of zero go."""
-    longer = node.where("k > 0").groupBy((F.col("k") - 1).alias("k"), F.expr("substring(prefix, 2)").alias("prefix"), "successor").agg(F.sum("n").alias("m"))
+    longer = node.where("k > 0").groupBy((F.col("k") - 1).alias("k"), prefixes(node).rest("prefix").alias("prefix"), "successor").agg(F.sum("n").alias("m"))
     left = node.join(longer, ["k", "prefix", "successor"], "left").withColumn("n", F.col("n") - F.coalesce("m", F.lit(0)))
     return left.where("n > 0").select("k", "prefix", "successor", "n")
 
@@ -84,11 +92,7 @@ def token_events(tokens: DataFrame, block: int, by: tuple[str, ...] = (), column
 def token_counts(tokens: DataFrame, block: int, by: tuple[str, ...] = (), dense: bool = True, **events) -> DataFrame:
     """Counts of token arrays; prefixes are arrays."""
     sparse = token_events(tokens, block, by, **events).groupBy(*by, "k", "prefix", "successor").agg(F.count("*").alias("n"))
-    if not dense:
-        return sparse
-    rows = sparse.select(*by, F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j"), "k", "prefix", "successor", "n")
-    rows = rows.select(*by, F.col("j").alias("k"), F.slice("prefix", F.col("k") - F.col("j") + 1, F.col("j")).alias("prefix"), "successor", "n")
-    return rows.groupBy(*by, "k", "prefix", "successor").agg(F.sum("n").alias("n"))
+    return densify(sparse, by) if dense else sparse
 
 
 def with_boundaries(tokens: DataFrame, start: int = 0, end: int = 1, column: str = "tokens") -> DataFrame:
@@ -101,16 +105,19 @@ def delimited_tokens(text: Column, delimiter: str = ",") -> Column:
     return F.transform(F.split(text, delimiter), lambda x: x.cast("int"))
 
 
-def split_segments(docs: DataFrame, segments: int, block: int, column: str = "tokens", by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def split_segments(docs: DataFrame, segments: int, block: int, column: str = "tokens", by: tuple[str, ...] = ("doc_id",), strict: bool = False) -> DataFrame:
     """Cut sequences into ``segments`` parts that differ by one in size at most.
 
     Each later part begins with the ``block`` tokens before it.  Sequences with
-    N div segments <= block cannot be cut so and give no rows; the reader can
-    tell them by their absence.
+    N div segments <= block cannot be cut so: they give no rows, or raise if
+    ``strict``.
     """
     n = F.size(column)
     share, rest = F.expr(f"size({column}) div {segments}"), n % segments
-    rows = docs.where(share > block).select(*by, column, F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
+    fits = share > block
+    if strict:
+        fits = F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit(f"a sequence is too short for {segments} segments")).cast("boolean"))
+    rows = docs.where(fits).select(*by, column, F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
     start = F.col("segment") * share + F.least(F.col("segment"), rest)
     size = share + (F.col("segment") < rest).cast("int")
     back = F.when(F.col("segment") > 0, F.lit(block)).otherwise(F.lit(0))
@@ -137,10 +144,7 @@ def segment_counts(parts: DataFrame, block: int, segments: int, by: tuple[str, .
         token_events(mid, block, by, "part", False, True),
         token_events(ends, block, by, "part", segments == 1, False),
     ]
-    rows = pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).groupBy("k", "prefix", "successor").agg(F.count("*").alias("n"))
-    rows = rows.select(F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j"), "k", "prefix", "successor", "n")
-    rows = rows.select(F.col("j").alias("k"), F.slice("prefix", F.col("k") - F.col("j") + 1, F.col("j")).alias("prefix"), "successor", "n")
-    return rows.groupBy("k", "prefix", "successor").agg(F.sum("n").alias("n"))
+    return densify(pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).groupBy("k", "prefix", "successor").agg(F.count("*").alias("n")))
 
 
 def front_and_rest(docs: DataFrame, fraction: float, block: int, column: str = "tokens") -> DataFrame:

@@ -1,8 +1,9 @@
 """Sampling and generation by inverse cumulative counts.
 
 Uniform numbers come from an integer generator, so any engine can repeat a
-draw.  Short generations run as a recursive query; long ones draw from a model
-held by each task, one row per sample.
+draw.  Short generations run as a recursive query.  Long ones draw from a model
+that each task holds, where the model is small; with larger models they run as
+recursive queries of a few steps each, between which the lineage is cut.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.operators.model import cdf, most_likely
+from gramlake.operators.prefixes import Prefixes, prefixes
 from gramlake.operators.score import longest_suffix
+from gramlake.sources.scratch import written
 
 #: Fixed values of the linear congruential generator.
 MULTIPLIER, INCREMENT, MODULUS = 1_103_515_245, 12_345, 2_147_483_648
-#: Rows of a model that long generation may hold per task.
-HELD_ROWS = 20_000_000
+#: Rows of a model that a task may hold (about 100 bytes each).
+HELD_ROWS = 1_000_000
+#: Steps of one recursive query.
+ROUND = 20
 
 
 def lcg(seed: Column) -> Column:
@@ -40,68 +45,92 @@ def sample_next(queries: DataFrame, model: DataFrame) -> DataFrame:
     return rows.where(hit).select(*queries.columns, "match_length", "successor")
 
 
-def generate_sql(prompts: str, table: str, steps: int, block: int, greedy: bool, spark: bool) -> str:
+def generate_sql(prompts: str, table: str, steps: int, block: int, greedy: bool, spark: bool, tokens: bool = False) -> str:
     """Recursive query for generation, in Spark's dialect or the common one.
 
-    ``prompts`` has ``sample, text``; ``table`` has ``prefix, successor`` (and
-    ``lo, hi, total`` unless greedy).  Each step looks up the longest of the
-    last ``block`` characters' suffixes; with draws the sample's number seeds them.
+    ``prompts`` has ``sample, r, text``; ``table`` has ``prefix, successor``
+    (and ``lo, hi, total`` unless greedy).  Each step looks up the longest of
+    the last ``block`` tokens' suffixes; ``r`` is the state of the generator,
+    which draws and moves on at each step.  ``text`` is a string, or an array
+    if ``tokens``.
     """
     alias = lambda k: f"m{k}"
+    size = f"{'size' if spark else 'len'}(s.text)" if tokens else "length(s.text)"
+    if not tokens:
+        last = lambda k: f"right(s.text, {k})"
+    elif spark:
+        last = lambda k: f"slice(s.text, greatest({size} - {k} + 1, 1), {k})"
+    else:
+        last = lambda k: f"s.text[{size} - {k} + 1:{size}]"
     hit = lambda k: "" if greedy else f" AND {alias(k)}.lo <= s.r / 2147483648.0 * {alias(k)}.total AND s.r / 2147483648.0 * {alias(k)}.total < {alias(k)}.hi"
-    joins = " ".join(f"LEFT JOIN {table} {alias(k)} ON {alias(k)}.prefix = right(s.text, {k}) AND length(s.text) >= {k}{hit(k)}" for k in range(block, -1, -1))
+    joins = " ".join(f"LEFT JOIN {table} {alias(k)} ON {alias(k)}.prefix = {last(k)} AND {size} >= {k}{hit(k)}" for k in range(block, -1, -1))
     pick = "coalesce(" + ", ".join(f"{alias(k)}.successor" for k in range(block, -1, -1)) + ")"
-    step = "CAST((s.r * 1103515245 + 12345) % 2147483648 AS BIGINT)"
+    longer = f"concat(s.text, {pick})" if not tokens else f"concat(s.text, array({pick}))" if spark else f"list_append(s.text, {pick})"
+    step = f"CAST((s.r * {MULTIPLIER} + {INCREMENT}) % {MODULUS} AS BIGINT)"
     limit = f" MAX RECURSION LEVEL {steps + 2}" if spark else ""
     return f"""
 WITH RECURSIVE g(sample, step, r, text){limit} AS (
-  SELECT CAST(sample AS BIGINT), 0, CAST((CAST(sample AS BIGINT) * 1103515245 + 12345) % 2147483648 AS BIGINT), text FROM {prompts}
+  SELECT CAST(sample AS BIGINT), 0, CAST(r AS BIGINT), text FROM {prompts}
   UNION ALL
-  SELECT s.sample, s.step + 1, {step}, concat(s.text, {pick}) FROM g s {joins} WHERE s.step < {steps})
-SELECT sample, text FROM g WHERE step = {steps}"""
+  SELECT s.sample, s.step + 1, {step}, {longer} FROM g s {joins} WHERE s.step < {steps})
+SELECT sample, r, text FROM g WHERE step = {steps}"""
 
 
 def generate(prompts: DataFrame, model: DataFrame, steps: int, block: int, greedy: bool = False) -> DataFrame:
-    """``sample, text`` -> the prompt followed by ``steps`` characters.
+    """``sample, text`` -> the prompt followed by ``steps`` tokens, drawn under the sample's number as seed.
 
-    A prompt of unknown characters starts from the unigram counts.
+    A prompt of unknown tokens starts from the unigram counts.  ``text`` is a
+    string for a model of characters and an array for a model of tokens.
     """
-    steps_table = most_likely(model) if greedy else cdf(model).select("prefix", "successor", "lo", "hi", "total")
-    spark = model.sparkSession
-    prompts.createOrReplaceTempView("gramlake_prompts")
-    steps_table.select(*[c for c in steps_table.columns if c not in ("k", "n")]).persist().createOrReplaceTempView("gramlake_steps")
-    return spark.sql(generate_sql("gramlake_prompts", "gramlake_steps", steps, block, greedy, spark=True))
+    kind = prefixes(model)
+    table = most_likely(model).select("prefix", "successor") if greedy else cdf(model).select("prefix", "successor", "lo", "hi", "total")
+    table = written(table, "generate-steps")
+    state = prompts.select(F.col("sample").cast("long").alias("sample"), lcg(F.col("sample").cast("long")).alias("r"), F.col("text").cast(kind.type).alias("text"))
+    while True:
+        now = min(steps, ROUND)
+        state.createOrReplaceTempView("gramlake_prompts")
+        table.createOrReplaceTempView("gramlake_steps")
+        state = model.sparkSession.sql(generate_sql("gramlake_prompts", "gramlake_steps", now, block, greedy, True, kind.tokens))
+        steps -= now
+        if not steps:
+            return state.select("sample", "text")
+        state = written(state, "generate-state")
 
 
 def generate_long(prompts: DataFrame, model: DataFrame, steps: int, block: int) -> DataFrame:
     """As ``generate`` with draws, for many steps: each task holds the model.
 
-    The model's size is checked before it is sent; a model of more than
-    HELD_ROWS rows has to use ``generate``.
+    The number of its rows is checked before anything is sent; a model of more
+    than HELD_ROWS rows goes through ``generate``.
     """
-    steps_table = cdf(model).select("prefix", "successor", "hi").persist()
-    if steps_table.limit(HELD_ROWS + 1).count() > HELD_ROWS:
-        raise ValueError(f"the model has over {HELD_ROWS} rows; use generate()")
-    per = steps_table.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("hi", "successor"))).alias("s"))
+    kind = prefixes(model)
+    table = written(cdf(model).select("prefix", "successor", "hi"), "generate-model")
+    if table.count() > HELD_ROWS:
+        return generate(prompts, model, steps, block)
+    per = table.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("hi", "successor"))).alias("s"))
     rows = per.select("prefix", F.col("s.hi").alias("hi"), F.col("s.successor").alias("successor")).toArrow()
-    held = dict(zip(rows.column("prefix").to_pylist(), zip(rows.column("hi").to_pylist(), rows.column("successor").to_pylist())))
-    steps_table.unpersist()
+    as_key = tuple if kind.tokens else str
+    held = {as_key(p): x for p, x in zip(rows.column("prefix").to_pylist(), zip(rows.column("hi").to_pylist(), rows.column("successor").to_pylist()))}
     shared = model.sparkSession.sparkContext.broadcast(held)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
         for frame in frames:
-            texts = []
-            for seed, text in zip(frame["sample"], frame["text"]):
-                r, out = (int(seed) * MULTIPLIER + INCREMENT) % MODULUS, list(text)
-                for _ in range(steps):
-                    k = next((k for k in range(min(block, len(out)), -1, -1) if "".join(out[len(out) - k :]) in table), None)
-                    if k is None:
-                        break
-                    his, successors = table["".join(out[len(out) - k :])]
-                    out.append(successors[bisect.bisect_right(his, r / MODULUS * his[-1])])
-                    r = (r * MULTIPLIER + INCREMENT) % MODULUS
-                texts.append("".join(out))
+            texts = [draw(shared.value, kind, int(seed), text, steps, block) for seed, text in zip(frame["sample"], frame["text"])]
             yield pd.DataFrame({"sample": frame["sample"], "text": texts})
 
-    return prompts.select(F.col("sample").cast("long"), "text").mapInPandas(run, "sample long, text string")
+    rows = prompts.select(F.col("sample").cast("long").alias("sample"), F.col("text").cast(kind.type).alias("text"))
+    return rows.mapInPandas(run, f"sample long, {kind.schema('text')}")
+
+
+def draw(table: dict, kind: Prefixes, seed: int, text, steps: int, block: int):
+    """One sample from a held model: prefix -> (cumulative counts, successors)."""
+    key = tuple if kind.tokens else "".join
+    r, out = (seed * MULTIPLIER + INCREMENT) % MODULUS, list(text)
+    for _ in range(steps):
+        found = next((row for k in range(min(block, len(out)), -1, -1) if (row := table.get(key(out[len(out) - k :])))), None)
+        if found is None:
+            break
+        his, successors = found
+        out.append(successors[bisect.bisect_right(his, r / MODULUS * his[-1])])
+        r = (r * MULTIPLIER + INCREMENT) % MODULUS
+    return out if kind.tokens else "".join(out)

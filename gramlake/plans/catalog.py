@@ -61,15 +61,15 @@ def _code_points(df: DataFrame) -> DataFrame:
 
 
 def char_language_encoded(s, d):
-    docs = _docs(s, d)
+    docs = _docs(s, d).select("doc_id", "text")
     tokens = Language.from_corpus(docs).encode(F.col("text"))
-    return docs.select("doc_id", F.array_join(tokens.cast("array<string>"), " ").alias("tokens"))
+    return ngrams.spread(docs).select("doc_id", F.array_join(tokens.cast("array<string>"), " ").alias("tokens"))
 
 
 def decode_roundtrip(s, d):
-    docs = _docs(s, d)
+    docs = _docs(s, d).select("doc_id", "text")
     language = Language.from_corpus(docs)
-    return docs.select("doc_id", language.decode(language.encode(F.col("text"))).alias("decoded"))
+    return ngrams.spread(docs).select("doc_id", language.decode(language.encode(F.col("text"))).alias("decoded"))
 
 
 def encode_greedy_suffix(s, d):
@@ -141,9 +141,10 @@ def model_summary(s, d):
 
 
 def per_document_model_stats(s, d):
-    node = ngrams.sparse_counts(_docs(s, d), BLOCK, by=("doc_id",))
-    per = node.groupBy("doc_id", "k", "prefix").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    return per.groupBy("doc_id").agg(F.count("*").alias("prefixes"), F.sum("c").alias("patterns"), F.sum("n").alias("occurrences"), F.max("k").alias("depth"))
+    node = ngrams.sparse_counts(_docs(s, d).withColumn("in_bytes", F.octet_length("text")), BLOCK, by=("doc_id", "in_bytes"))
+    held = F.sum(F.octet_length("prefix") + F.octet_length("successor") + 8).alias("bytes")
+    per = node.groupBy("doc_id", "in_bytes", "k", "prefix").agg(F.count("*").alias("c"), F.sum("n").alias("n"), held)
+    return per.groupBy("doc_id", "in_bytes").agg(F.count("*").alias("prefixes"), F.sum("c").alias("patterns"), F.sum("n").alias("occurrences"), F.max("k").alias("depth"), F.sum("bytes").alias("out_bytes"))
 
 
 def per_label_models(s, d):
@@ -264,6 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "match_length": lambda s, d: score.longest_suffix(_queries_of(s, d), _node(s, d, "conversations")).groupBy("match_length").agg(F.count("*").alias("n")),
         "suffix_probability": lambda s, d: score.probabilities(_queries_of(s, d), _node(s, d, "conversations"), back_off_at_zero=False),
         "backoff_probability": lambda s, d: score.probabilities(_queries_of(s, d), _node(s, d, "conversations")),
+        "recursive_probability": lambda s, d: score.recursive_probabilities(_queries_of(s, d), _node(s, d, "conversations")),
         "perplexity": lambda s, d: score.perplexity(_t(s, d, "benchmark"), _node(s, d, "documents"), BLOCK, ("item_id",)).select("item_id", "windows", *(F.round(c, 6).alias(c) for c in ("lg_pp", "perplexity", "lg_squared"))),
         "sample_next_token": sample_next_token,
         "sample_backoff": sample_backoff,
@@ -310,7 +312,8 @@ def _with(*parts: str, then: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + then
 
 
-LEAVES = """leaves AS (SELECT * FROM node WHERE k >= 1 AND prefix NOT IN (SELECT substr(prefix, 2) FROM node WHERE k > 1))"""
+LEAVES = """inner_ AS (SELECT DISTINCT k - 1 AS k, substr(prefix, 2) AS prefix FROM node WHERE k > 1),
+leaves AS (SELECT n.* FROM node n ANTI JOIN inner_ i ON n.k = i.k AND n.prefix = i.prefix WHERE n.k >= 1)"""
 WINDOWS = _sparse("windows_s", "benchmark", BLOCK + 1, True, key="item_id") + """,
 windows AS (SELECT item_id, prefix, successor, n AS times FROM windows_s),
 queries AS (SELECT DISTINCT prefix, successor FROM windows)"""
@@ -321,9 +324,18 @@ PROBABILITY = """uni AS (SELECT successor, n, sum(n) OVER () AS everything FROM
 probs AS (SELECT q.prefix, q.successor, f.match_length, coalesce(n.n / f.total, 0) AS own, coalesce(u.n / u.everything, 0) AS unigram
   FROM queries q LEFT JOIN found f ON q.prefix = f.prefix LEFT JOIN node n ON n.prefix = f.match AND n.k = f.match_length AND n.successor = q.successor
   LEFT JOIN uni u ON u.successor = q.successor)"""
+RECURSIVE = """totals AS (SELECT k, prefix, sum(n) AS total FROM node GROUP BY ALL),
+tails AS (SELECT q.prefix, q.successor, unnest(range(0, length(q.prefix) + 1)) AS k FROM queries q),
+hits AS (SELECT q.prefix, q.successor, c.k, c.n / t.total AS p FROM tails q
+  JOIN node c ON c.k = q.k AND c.prefix = right(q.prefix, c.k) AND c.successor = q.successor JOIN totals t ON t.k = c.k AND t.prefix = c.prefix),
+backed AS (SELECT q.prefix, q.successor, coalesce(max(h.k), 0)::INT AS match_length, coalesce(arg_max(h.p, h.k), 0) AS probability
+  FROM queries q LEFT JOIN hits h ON q.prefix = h.prefix AND q.successor = h.successor GROUP BY q.prefix, q.successor)"""
+PERPLEXITY = f"""per AS (SELECT w.item_id, sum(times)::BIGINT AS windows,
+  sum(times * -log2(CASE WHEN greatest(own, unigram) = 0 THEN {score.TINY} WHEN own > 0 THEN own ELSE unigram END)) / sum(times) AS lg_pp
+  FROM windows w JOIN probs p ON w.prefix = p.prefix AND w.successor = p.successor GROUP BY w.item_id)"""
 CDF = """cdf AS (SELECT prefix, k, successor, sum(n) OVER w - n AS lo, sum(n) OVER w AS hi, sum(n) OVER (PARTITION BY prefix) AS total
   FROM node WINDOW w AS (PARTITION BY prefix ORDER BY successor ROWS UNBOUNDED PRECEDING))"""
-PROMPT_ROWS = "prompts AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, '{p}')" for n, p in enumerate(PROMPTS)) + ") AS t(sample, text))"
+PROMPT_ROWS = "prompts AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {(n * sample.MULTIPLIER + sample.INCREMENT) % sample.MODULUS}, '{p}')" for n, p in enumerate(PROMPTS)) + ") AS t(sample, r, text))"
 
 
 def _q(text: str) -> str:
@@ -350,7 +362,7 @@ parts AS (SELECT item_id, j::INT AS segment, c[greatest(1, j * m + least(j, r) +
     vocab = "v AS (SELECT char AS piece, (row_number() OVER (ORDER BY char) - 1)::INT AS token FROM (SELECT DISTINCT char FROM c))"
     seed = "((seed * 1103515245 + 12345) % 2147483648) / 2147483648.0"
     greedy = "steps AS (SELECT prefix, successor FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, successor) AS r FROM node) WHERE r = 1)"
-    generate = lambda g: sample.generate_sql("prompts", "steps", STEPS, BLOCK, g, spark=False).replace("WITH RECURSIVE ", "", 1).strip()
+    generate = lambda g: sample.generate_sql("prompts", "steps", STEPS, BLOCK, g, spark=False).replace("WITH RECURSIVE ", "", 1).replace("SELECT sample, r, text FROM g", "SELECT sample, text FROM g").strip()
     recursive = lambda steps, g: "WITH RECURSIVE " + ", ".join((node, steps, PROMPT_ROWS, generate(g)))
     drawn = recursive(CDF + ", steps AS (SELECT prefix, successor, lo, hi, total FROM cdf)", False)
     sizes = "s AS (SELECT count(*) AS prefixes, sum(c)::BIGINT AS patterns, sum(n)::BIGINT AS occurrences FROM (SELECT prefix, count(*) AS c, sum(n) AS n FROM leaves GROUP BY prefix))"
@@ -402,7 +414,7 @@ SELECT j::INT AS k, CASE j WHEN 0 THEN '' WHEN 1 THEN t1::VARCHAR ELSE t2 || ' '
         "model_memory": _with(node, then="SELECT sum(8 + 6 * c + CASE WHEN k > 0 THEN 2 ELSE 0 END)::BIGINT AS bytes FROM (SELECT k, prefix, count(*) AS c FROM node GROUP BY ALL)"),
         "model_depth": _with(node, then="SELECT max(k) AS depth FROM node"),
         "model_summary": _with(node, LEAVES, sizes, f"ev AS (SELECT sum(length(text) - 2)::BIGINT AS events FROM documents WHERE length(text) > {BLOCK})", then="SELECT prefixes, patterns, occurrences, events, prefixes / events AS prefix_share, patterns / prefixes AS per_prefix FROM s, ev"),
-        "per_document_model_stats": _with(_sparse("s", "documents", key="doc_id"), then="SELECT doc_id, count(DISTINCT prefix) AS prefixes, count(*) AS patterns, sum(n)::BIGINT AS occurrences, max(k) AS depth FROM s GROUP BY doc_id"),
+        "per_document_model_stats": _with(_sparse("s", "documents", key="doc_id"), then="SELECT doc_id, any_value(strlen(d.text))::INT AS in_bytes, count(DISTINCT prefix) AS prefixes, count(*) AS patterns, sum(n)::BIGINT AS occurrences, max(k) AS depth, sum(strlen(prefix) + strlen(successor) + 8)::BIGINT AS out_bytes FROM s JOIN documents d USING (doc_id) GROUP BY doc_id"),
         "per_label_models": _with(_sparse("s", "(SELECT toxic, text FROM documents JOIN labels USING (doc_id))", block=1, key="toxic"), then="SELECT * FROM s"),
         "model_partition_stats": _with(node, then="SELECT right(prefix, 1) AS root, count(*) AS rows, sum(strlen(prefix) + strlen(successor) + 8)::BIGINT AS rawbytes FROM node WHERE k > 0 GROUP BY 1"),
         "unigram_histogram": _with(node, then="SELECT successor, n, n / sum(n) OVER () AS probability FROM node WHERE k = 0"),
@@ -414,9 +426,8 @@ SELECT j::INT AS k, CASE j WHEN 0 THEN '' WHEN 1 THEN t1::VARCHAR ELSE t2 || ' '
         "match_length": _with(conv, WINDOWS, SUFFIX, then="SELECT match_length, count(*) AS n FROM found GROUP BY 1"),
         "suffix_probability": _with(conv, WINDOWS, SUFFIX, PROBABILITY, then="SELECT prefix, successor, match_length, own AS probability FROM probs"),
         "backoff_probability": _with(conv, WINDOWS, SUFFIX, PROBABILITY, then="SELECT prefix, successor, match_length, CASE WHEN own > 0 THEN own ELSE unigram END AS probability FROM probs"),
-        "perplexity": _with(node, WINDOWS, SUFFIX, PROBABILITY, f"""per AS (SELECT w.item_id, sum(times)::BIGINT AS windows,
-  sum(times * -log2(CASE WHEN greatest(own, unigram) = 0 THEN {score.TINY} WHEN own > 0 THEN own ELSE unigram END)) / sum(times) AS lg_pp
-  FROM windows w JOIN probs p ON w.prefix = p.prefix AND w.successor = p.successor GROUP BY w.item_id)""", then="SELECT item_id, windows, round(lg_pp, 6) AS lg_pp, round(pow(2, lg_pp), 6) AS perplexity, round(lg_pp * lg_pp, 6) AS lg_squared FROM per"),
+        "recursive_probability": _with(conv, WINDOWS, RECURSIVE, then="SELECT prefix, successor, match_length, probability FROM backed"),
+        "perplexity": _with(node, WINDOWS, SUFFIX, PROBABILITY, PERPLEXITY, then="SELECT item_id, windows, round(lg_pp, 6) AS lg_pp, round(pow(2, lg_pp), 6) AS perplexity, round(lg_pp * lg_pp, 6) AS lg_squared FROM per"),
         "sample_next_token": _with(node, CDF, "seeds AS (SELECT DISTINCT conv_id * 1000 + turn AS seed FROM conversations)", then=f"SELECT seed, successor FROM seeds JOIN cdf ON k = 0 AND lo <= {seed} * total AND {seed} * total < hi"),
         "sample_backoff": _with(node, CDF, f"queries AS (SELECT item_id AS seed, right(text, {BLOCK}) AS prefix FROM benchmark)", SUFFIX, then=f"SELECT seed, q.prefix, f.match_length, c.successor FROM queries q JOIN found f ON q.prefix = f.prefix JOIN cdf c ON c.prefix = f.match AND lo <= {seed} * c.total AND {seed} * c.total < hi"),
         "generate_greedy": recursive(greedy, True),

@@ -5,11 +5,14 @@ from __future__ import annotations
 import gzip
 import lzma
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramlake.functions.language import Language
+
 #: Fields of an article file.
 ARTICLE = "id string, title string, text string"
 #: Fields of a segment table.
@@ -35,13 +38,18 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """``line``: files by glob; .bz2, .deflate, .gz and .zst by Spark's codecs, .xz and .lzma unpacked here."""
-    if pattern.endswith((".xz", ".lzma")):
-        return xz_lines(spark, pattern)
-    return spark.read.text(pattern).select(F.col("value").alias("line"))
+    """``line``: files by glob; .bz2, .deflate, .gz and .zst by Spark's codecs, .xz and .lzma unpacked here.
+
+    Files of all kinds may be mixed; each is read after its name.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    kinds = [k for k in ("*.xz", "*.lzma") if files.option("pathGlobFilter", k).load(pattern).select("path").take(1)]
+    packed = [xz_lines(spark, pattern, glob=k) for k in kinds]
+    plain = spark.read.option("recursiveFileLookup", "true").text(pattern).where(~F.col("_metadata.file_name").rlike(r"\.(xz|lzma)$"))
+    return reduce(DataFrame.union, packed, plain.select(F.col("value").alias("line")))
 
 
-def xz_lines(spark: SparkSession, pattern: str, skip_bad: bool = True) -> DataFrame:
+def xz_lines(spark: SparkSession, pattern: str, skip_bad: bool = True, glob: str = "*") -> DataFrame:
     """Lines of .xz or .lzma files; a file that cannot be unpacked is left out (or raises)."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +63,8 @@ def xz_lines(spark: SparkSession, pattern: str, skip_bad: bool = True) -> DataFr
                     raise
                 yield pd.DataFrame({"line": text.split("\n")[: -1 if text.endswith("\n") else None]})
 
-    return spark.read.format("binaryFile").load(pattern).select("content").mapInPandas(unpack, "line string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(pattern)
+    return files.select("content").mapInPandas(unpack, "line string")
 
 
 def table_rows(spark: SparkSession, name: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -70,6 +79,11 @@ def parquet_rows(spark: SparkSession, path: str, columns: list[str] | None = Non
     return rows.select(*columns) if columns else rows
 
 
+def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines, compressed or not."""
+    return spark.read.schema(schema).json(path)
+
+
 def in_memory(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -86,6 +100,22 @@ def article_files(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("src"), "id", "title", "text")
 
 
+def language(spark: SparkSession, path: str) -> Language:
+    """A language from a file: JSON, or a protocol buffer message, either gzipped or not."""
+    (row,) = binary_files(spark, path).select("data").collect()
+    data = bytes(row[0])
+    if path.removesuffix(".gz").endswith(".json"):
+        return Language.from_json(data.decode("utf-8"), path)
+    return Language.from_bytes(data)
+
+
+def trees(spark: SparkSession, path: str, compressed: bool = True) -> DataFrame:
+    """``k, prefix, successor, n`` of files that hold one serialized tree each."""
+    from gramlake.operators import interchange
+
+    return interchange.tree_rows(spark.read.format("binaryFile").load(path).select(F.col("content").alias("tree")), compressed)
+
+
 def model(spark: SparkSession, path: str) -> DataFrame:
     """A model written by ``writers.model_by_root``."""
     return spark.read.parquet(path).select("k", "prefix", "successor", "n")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlake.operators.model import root
+from gramlake.functions import wire
+from gramlake.functions.language import Language
+from gramlake.operators.prefixes import prefixes
 
 
 def replace_table(df: DataFrame, name: str) -> None:
@@ -32,15 +34,38 @@ def model_by_root(model: DataFrame, path: str, compress: bool = True) -> DataFra
 
     Returns ``root, rows, rawbytes``: what each part holds.
     """
-    rows = model.withColumn("root", F.when(F.col("k") > 0, root(F.col("prefix"))).otherwise(F.lit("")))
+    kind = prefixes(model)
+    name = kind.root("prefix").cast("string") if kind.tokens else F.hex(kind.root("prefix"))
+    rows = model.withColumn("part", F.when(F.col("k") > 0, name).otherwise(F.lit("")))
     # hashed beforehand by root and prefix: parts of common tokens are written by several tasks
-    rows.withColumn("part", F.hex("root")).drop("root").repartition("part", F.expr("substring(prefix, -3, 2)")).write.mode("overwrite").partitionBy("part").option("compression", "zstd" if compress else "none").parquet(path)
+    rows.repartition("part", F.xxhash64("prefix") % 8).write.mode("overwrite").partitionBy("part").option("compression", "zstd" if compress else "none").parquet(path)
     return part_stats(model)
 
 
 def part_stats(model: DataFrame) -> DataFrame:
-    rows = model.where("k > 0").withColumn("root", root(F.col("prefix")))
-    return rows.groupBy("root").agg(F.count("*").alias("rows"), F.sum(F.octet_length("prefix") + F.octet_length("successor") + 8).alias("rawbytes"))
+    kind = prefixes(model)
+    rows = model.where("k > 0").withColumn("root", kind.root("prefix"))
+    held = 4 * F.col("k") + 4 if kind.tokens else F.octet_length("prefix") + F.octet_length("successor")
+    return rows.groupBy("root").agg(F.count("*").alias("rows"), F.sum(held + 8).alias("rawbytes"))
+
+
+def binary_file(spark: SparkSession, path: str, data: bytes, compress: bool = True) -> str:
+    """Write one file of bytes through Spark's file systems; gzipped and named .gz if ``compress``. Returns its path."""
+    if compress or path.endswith(".gz"):
+        data = wire.zipped(data)
+    if compress and not path.endswith(".gz"):
+        path += ".gz"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(data)
+    finally:
+        stream.close()
+    return path
+
+
+def language(spark: SparkSession, lang: Language, path: str, compress: bool = True) -> str:
+    return binary_file(spark, path, lang.to_bytes(), compress)
 
 
 def generated_text(df: DataFrame, path: str, column: str = "text") -> None:

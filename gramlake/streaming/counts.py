@@ -22,4 +22,4 @@ def sparse_counts(stream: DataFrame, block: int, text: str = "text") -> DataFram
 
 def windowed_transitions(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Event types per window of time, late rows dropped after the watermark."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"))

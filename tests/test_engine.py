@@ -154,13 +154,18 @@ def test_generation(spark):
 
 
 def test_sampling_follows_the_counts(spark):
-    node = spark.createDataFrame([(0, "", "a", 10), (0, "", "b", 30), (0, "", "c", 60)], "k int, prefix string, successor string, n long")
-    got = sample.sample_next(spark.range(20000).select((F.col("id") * 104729).alias("seed"), F.lit("").alias("prefix")), node)
-    share = {r["successor"]: r["count"] / 20000 for r in got.groupBy("successor").count().collect()}
-    assert all(abs(share[s] - p) < 0.02 for s, p in (("a", 0.1), ("b", 0.3), ("c", 0.6)))
+    rng = random.Random(3)
+    weights = {chr(97 + i): rng.randint(1, 100) for i in range(10)}
+    node = spark.createDataFrame([(0, "", t, n) for t, n in weights.items()], "k int, prefix string, successor string, n long")
+    draws = 1_000_000
+    got = sample.sample_next(spark.range(draws).select(F.col("id").alias("seed"), F.lit("").alias("prefix")), node)
+    share = {r["successor"]: r["count"] / draws for r in got.groupBy("successor").count().collect()}
+    total = sum(weights.values())
+    assert max(abs(share[t] - n / total) for t, n in weights.items()) <= 0.001
 
 
-VOCABULARIES = [("aaa", "aab", "aa", "a", "b"), ("aaa", "aab", "aa", "a"), ("aa", "ab", "a"), ("aa", "ba", "a"), ("aaa", "aab", "ab", "a", "b"), ("Ġgazed", "Ġ", "g", "a", "z", "e", "d"), (".", "\\", "a.", "(", "[a", "\n")]
+#: Overlapping pieces; pieces whose parts are no pieces; pieces that only end alike; signs and other scripts.
+VOCABULARIES = [("xyx", "xyy", "yx", "x", "y"), ("mnm", "nm", "m"), ("pq", "qp", "p"), ("st", "tst", "stst", "t"), ("ß→", "→", "ß", "€ß→", "€"), (".", "\\", "a.", "(", "[a", "\n")]
 
 
 def slow_encode(pieces, text):
@@ -241,6 +246,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(r["line"] for r in readers.text_lines(spark, p + "/*.txt*").collect()) == ["x", "y", "z"]
     assert sorted(r["line"] for r in readers.text_lines(spark, p + "/*.xz").collect()) == ["one", "two"]
     assert bytes(readers.binary_files(spark, p + "/b.txt.gz").first()["data"]) == b"z\n"
+    assert sorted(r["line"] for r in readers.text_lines(spark, p + "/[abcd].*").collect()) == ["one", "two", "x", "y", "z"]
     got = readers.article_files(spark, p + "/e.json").orderBy("id").collect()
     assert [r["text"] for r in got] == ["é", ""] and got[0]["src"].endswith("e.json")
     assert readers.list_files(spark, p).count() == 5
@@ -303,6 +309,233 @@ def test_model_and_service(spark, tmp_path):
             s.generate_batch(**bad)
 
 
+TOKENS = [[7, 300, 7, 7, 12, 300, 7, 300, 12, 12, 7, 300], [12, 7, 300, 7], [5] * 9, [], [1, 2, 3]]
+
+
+def token_docs(spark, lists=TOKENS):
+    return spark.createDataFrame(list(enumerate(lists)), "doc_id long, tokens array<int>")
+
+
+def as_tokens(node):
+    """Counts of texts whose characters stand for tokens, with tokens."""
+    return Counter({(k, tuple(map(ord, p)), ord(s)): n for (k, p, s), n in node.items()})
+
+
+def token_texts(lists=TOKENS):
+    return ["".join(map(chr, x)) for x in lists]
+
+
+def test_token_models_equal_brute_force(spark):
+    docs = token_docs(spark)
+    dense = ngrams.token_counts(docs, 3).persist()
+    node = brute(token_texts(), 3)
+    assert counted(dense) == as_tokens(node)
+    assert counted(ngrams.sparsify(dense)) == as_tokens(brute(token_texts(), 3, dense=False))
+    assert counted(ngrams.densify(ngrams.token_counts(docs, 3, dense=False))) == as_tokens(node)
+    assert model.verify(dense).count() == 0
+    inner = {p[1:] for k, p, _ in node if k > 1}
+    leaf = {(p, s): n for (k, p, s), n in node.items() if k and p not in inner}
+    got = model.sizes(dense).first()
+    assert (got["prefixes"], got["patterns"], got["occurrences"]) == (len({p for p, _ in leaf}), len(leaf), sum(leaf.values()))
+    assert model.size(dense).first()[0] == len({p[-1] for k, p, _ in node if k})
+    tails = {r["token"]: r["total"] for r in model.children(dense, [7]).collect()}
+    want = Counter()
+    for (k, p, _), n in node.items():
+        if k == 2 and p[1] == chr(7):
+            want[ord(p[0])] += n
+    assert tails == want
+    queries = [(p, s) for p in ([7], [300, 7], [99], [99, 7], [12, 300, 7], []) for s in (7, 300, 99)]
+    asked = spark.createDataFrame(queries, "prefix array<int>, successor int")
+    rows = {(tuple(r["prefix"]), r["successor"]): (r["match_length"], r["probability"]) for r in score.probabilities(asked, dense).collect()}
+    for p, s in queries:
+        assert rows[tuple(p), s] == pytest.approx(slow_probability(node, "".join(map(chr, p)), chr(s), True))
+    test = [[7, 300, 7, 12, 300], [99, 98, 97, 96]]
+    texts = token_texts(test)
+    got = {r["doc_id"]: r["lg_pp"] for r in score.perplexity(token_docs(spark, test), dense, 3, ("doc_id",), "tokens").collect()}
+    own = {r["doc_id"]: r["lg_pp"] for r in score.perplexity(docs_of(spark, texts), ngrams.dense_counts(docs_of(spark, token_texts()), 3), 3, ("doc_id",)).collect()}
+    assert got == pytest.approx(own)
+    prompts = spark.createDataFrame([(0, [7, 300]), (1, [99]), (2, [])], "sample long, text array<int>")
+    want = {n: list(map(ord, slow_generate(node, n, "".join(map(chr, t)), 25, 3))) for n, t in ((0, [7, 300]), (1, [99]), (2, []))}
+    assert dict(sample.generate(prompts, dense, 25, 3).collect()) == dict(sample.generate_long(prompts, dense, 25, 3).collect()) == want
+
+
+def slow_recursive(node, prefix, successor):
+    for k in range(len(prefix), -1, -1):
+        p = prefix[len(prefix) - k :]
+        total = sum(n for (_, q, _), n in node.items() if q == p)
+        if node.get((k, p, successor)):
+            return k, node[k, p, successor] / total
+    return 0, 0.0
+
+
+def test_recursive_back_off(spark):
+    texts = corpus(5, 5, "abcd", 30)
+    node = brute(texts, 3)
+    queries = [(p, s) for p in ("", "a", "zz", "zab", "dcb", "abz", "bbb", "cab") for s in "abcz"]
+    got = score.recursive_probabilities(spark.createDataFrame(queries, "prefix string, successor string"), ngrams.dense_counts(docs_of(spark, texts), 3))
+    rows = {(r["prefix"], r["successor"]): (r["match_length"], r["probability"]) for r in got.collect()}
+    for q in queries:
+        assert rows[q] == pytest.approx(slow_recursive(node, *q))
+
+
+def test_large_models_generate_in_rounds(spark, monkeypatch):
+    texts = corpus(7, 5, "abcd", 40)
+    prompts = spark.createDataFrame([(0, "ab"), (1, "zz")], "sample long, text string")
+    df = ngrams.dense_counts(docs_of(spark, texts), 2)
+    held = dict(sample.generate_long(prompts, df, 9, 2).collect())
+    monkeypatch.setattr(sample, "HELD_ROWS", 3)
+    monkeypatch.setattr(sample, "ROUND", 4)
+    assert dict(sample.generate_long(prompts, df, 9, 2).collect()) == held
+
+
+def test_messages(spark, tmp_path):
+    from gramlake.functions import wire
+    from gramlake.operators import interchange
+
+    language = Language({"a": 0, "ba": 5, "cba": 300, "é": 2, "😀": 70000}, "small")
+    again = Language.from_bytes(language.to_bytes())
+    assert (again.pieces, again.name) == (language.pieces, "small")
+    path = writers.language(spark, language, f"{tmp_path}/l.pb")
+    assert path.endswith(".pb.gz") and readers.language(spark, path).pieces == language.pieces
+    assert gzip.decompress((tmp_path / "l.pb.gz").read_bytes()) == language.to_bytes()
+    (tmp_path / "l.json").write_text(language.to_json())
+    assert readers.language(spark, f"{tmp_path}/l.json").pieces == language.pieces
+    # a message by hand: one piece "A" with token 1, a field that is not known, and a number for a character
+    assert wire.language_pieces(wire.unpack("Language", bytes([0x1A, 7, 0x0A, 1, 0x41, 0x18, 1, 0x20, 1, 0x78, 3]))) == {"A": 1}
+    assert wire.language_pieces(wire.unpack("Language", bytes([0x1A, 6, 0x08, 0x41, 0x18, 1, 0x20, 1]))) == {"A": 1}
+    for bad in (b"\x1a\x7f", b"\x80", b"\x0b", b"\x0a\x01\xff", b"\x12\x01\x00" + b"\x0d"):
+        with pytest.raises(wire.WireError):
+            wire.unpack("Language", bad)
+    with pytest.raises(wire.WireError):
+        wire.unzipped(b"no gzip")
+    with pytest.raises(wire.WireError):
+        wire.language_pieces({"suffixes": [{"value": c, "token": 1, "atom": True, "prefixes": []} for c in "ab"]})
+    message = {"token": 300, "depth": 0, "sampler": {"total": 5, "counts": [{"token": 1, "count": 5}]}, "prefixes": []}
+    assert wire.pack("SuffixTree", message) == bytes([0x08, 0xAC, 0x02, 0x1A, 8, 0x08, 5, 0x12, 4, 0x08, 1, 0x10, 5])
+    assert wire.from_base64(wire.to_base64(b"abc")) == b"abc"
+    for docs, column, characters in ((docs_of(spark, corpus(3)), "text", True), (token_docs(spark), "tokens", False)):
+        m = Model.parse_all(docs, 3, text=column)
+        for compress in (True, False):
+            back = Model.deserialize(spark, m.serialize(compress), 3, compress, characters)
+            assert counted(back.node) == counted(m.node)
+            trees = m.serialized_trees(compress)
+            assert trees.count() == m.size()
+            part = counted(interchange.tree_rows(trees, compress))
+            want = counted(m.node.where("k > 0"))
+            assert part == (as_tokens(want) if characters else want)
+    m.serialized_trees().select("tree").rdd  # a plan of its own
+    for n, r in enumerate(m.serialized_trees().collect()):
+        writers.binary_file(spark, f"{tmp_path}/trees/{n}.pb", bytes(r["tree"]), compress=False)
+    assert counted(readers.trees(spark, f"{tmp_path}/trees")) == counted(m.node.where("k > 0"))
+
+
+def test_stores_by_scheme(spark, tmp_path):
+    """s3a and gs paths go through Hadoop's file systems; here both schemes are mounted on a folder."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    (tmp_path / "x.txt").write_text("one\ntwo\n")
+    for scheme in ("s3a", "gs"):
+        conf.set(f"fs.{scheme}.impl", "org.apache.hadoop.fs.viewfs.ViewFileSystemOverloadScheme")
+        conf.set("fs.viewfs.overload.scheme.target.file.impl", "org.apache.hadoop.fs.LocalFileSystem")
+        conf.set("fs.viewfs.mounttable.bucket.link./data", f"file://{tmp_path}")
+        base = f"{scheme}://bucket/data"
+        assert readers.whole_texts(spark, base + "/x.txt").first()["text"] == "one\ntwo\n"
+        assert [r["line"] for r in readers.text_lines(spark, base + "/x.txt").collect()] == ["one", "two"]
+        assert readers.list_files(spark, base).count() >= 1
+        node = ngrams.dense_counts(docs_of(spark, corpus(8)), 2)
+        writers.model_by_root(node, f"{base}/{scheme}-model")
+        assert counted(readers.model(spark, f"{base}/{scheme}-model")) == counted(node)
+        path = writers.binary_file(spark, f"{base}/{scheme}.bin", b"bytes")
+        assert bytes(readers.binary_files(spark, path).first()["data"]) == b"bytes"
+
+
+def test_server_and_client(spark):
+    from gramlake.operators.serving import Client, Server
+
+    docs = docs_of(spark, ["hello world, hello there", "the other world"])
+    service = Service(Model.parse_all(docs, 3), Language.from_corpus(docs))
+    server = Server(service)
+    try:
+        client = Client(server.port)
+        assert client.healthy()
+        assert set(next(client.ask("valid_text"))["text"]) == set(service.language.pieces)
+        assert next(client.ask("is_valid_text", text="HELLO")) == {"text": "HELLO", "valid": False}
+        assert next(client.ask("model_block_size")) == {"size": 3}
+        (got,) = client.ask("generate_batch", text="he", batch_size=5, samples=2, instrument=True)
+        assert got["result"] == service.generate_batch(5, 2, text="he") and got["stats"]["gen_time_ns"] >= got["stats"]["gen_freq_ns"] > 0
+        assert len(list(client.ask("generate_stream", text="he", batch_size=4, max_batches=2))) == 2
+        for verb, request in (("generate_batch", {"text": "he", "batch_size": 0}), ("nothing", {}), ("is_valid_text", {})):
+            with pytest.raises(ValueError):
+                list(client.ask(verb, **request))
+    finally:
+        server.close()
+    assert not Client(server.port).healthy()
+
+
+def test_service_over_tokens(spark):
+    pieces = Language({p: n for n, p in enumerate(["the ", "cat ", "sat ", "on ", "mat ", "a"])})
+    docs = docs_of(spark, ["the cat sat on the mat the cat sat on a", "a cat sat on the mat "]).withColumn("tokens", pieces.encode(F.col("text")))
+    m = Model.parse_all(docs, 2, text="tokens")
+    assert m.match([0, 1]) and [0, 1] in m and not m.match([5, 5]) and m.search([9, 0]) == [0] and m.match_length([9, 0]) == 1
+    assert m.get([0, 1]) == {2: 2} and m.probability([0, 1], 2) == m.probability([0, 1], 2, "recursive") == 1.0
+    assert m.sample([0, 1]) == 2 and m.size() == len({r["prefix"][-1] for r in m.node.where("k > 0").collect()})
+    assert m.parse([0, 1], 5).get([0, 1]) == {2: 2, 5: 1} and m.parse([0, 1], 5).remove([0, 1], 5).get([0, 1]) == {2: 2}
+    assert {r["prefix"][-1] for r in m.json(1).collect()} == {1}
+    s = Service(m, pieces)
+    (text,), stats = s.generate_batch(4, text="the cat ", instrument=True)
+    assert text.startswith("the cat sat ") and len(pieces.encode_text(text)) == 6 and stats["gen_time_ns"] > 0
+    assert s.generate_batch(4, tokens=[0, 1])[0] == text
+    assert all(len(pieces.encode_text(c)) == 3 for c in s.generate_stream(3, 2, text="the "))
+    with pytest.raises(ValueError):
+        s.generate_batch(2, text="the dog ")
+
+
+def test_characters_of_the_private_planes_are_no_tokens(spark):
+    docs = docs_of(spark, ["a\U000F0001 \U00100005 b"])
+    assert docs.select(Language({"a": 0, "b": 1}).encode(F.col("text"))).first()[0] == [0, 1]
+    assert docs.select(Language({"a": 0, "\U000F0001": 1}).encode(F.col("text"))).first()[0] == [0, 1]
+
+
+def test_short_sequences_raise_if_strict(spark):
+    tokens = spark.createDataFrame([(0, [1, 2, 3])], "doc_id long, tokens array<int>")
+    assert ngrams.split_segments(tokens, 2, 3).count() == 0
+    with pytest.raises(Exception, match="too short"):
+        ngrams.split_segments(tokens, 2, 3, strict=True).collect()
+
+
+def test_public_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gramlake.functions import tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    docs = docs_of(spark, ["hello world", "", "é😀"]).union(spark.createDataFrame([(9, None)], "doc_id long, text string"))
+    got = tokenizer.encode(docs, path, end=50256)
+    rows = {r["doc_id"]: r for r in tokenizer.decode(got, path).collect()}
+    for d, t in ((0, "hello world"), (1, ""), (2, "é😀")):
+        assert rows[d]["tokens"] == library.encode(t, add_special_tokens=False).ids + [50256]
+        assert rows[d]["decoded"].startswith(t)
+    assert rows[9]["tokens"] is None and rows[9]["decoded"] is None
+    node = ngrams.token_counts(got.where("tokens is not null"), 1)
+    assert node.count() > 0
+    with pytest.raises(ValueError):
+        tokenizer.encode(docs, path, unknown="maybe")
+
+
+def test_spread_leaves_split_scans_alone(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).selectExpr("cast(id as string) text").repartition(2 * cores).write.parquet(str(tmp_path / "many"))
+    spark.range(10).selectExpr("cast(id as string) text").coalesce(1).write.parquet(str(tmp_path / "one"))
+    shuffles = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Repartition")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100000000")
+    try:
+        assert shuffles(ngrams.spread(spark.read.parquet(str(tmp_path / "many")))) == 0
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert shuffles(ngrams.spread(spark.read.parquet(str(tmp_path / "one")))) == 1
+
+
 def test_table_function(spark):
     from gramlake.functions import udtf
 
