@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import gc
 import sys
 import tempfile
@@ -36,8 +38,38 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths made in the present scope, if there is one.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+def adopt(path: str) -> None:
+    """Have the present scope remove a path that was made before it."""
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[set[str]]:
+    """Tables written within the scope are removed at its end, but for the paths put into the set it yields."""
+    made: list[str] = []
+    keep: set[str] = set()
+    token = _made.set(made)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for path in set(made) - keep:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

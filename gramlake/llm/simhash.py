@@ -4,7 +4,9 @@ Equal fingerprints are collapsed to one class before anything is joined, so a
 group of copies costs one row however large it is.  Classes are dealt to
 buckets by each of the six pairs of 16-bit blocks: two fingerprints that
 differ in at most two bits agree in at least two of four blocks, so no link
-can be missed.  Inside a bucket the sorted fingerprints are a binary trie (a
+can be missed.  Larger budgets take more blocks, and larger tables more blocks
+that have to agree, so that buckets stay small; a bucket that is large all the
+same is dealt as pairs of chunks.  Inside a bucket the sorted fingerprints are a binary trie (a
 node is a range that shares a prefix); pairs of nodes are traversed together,
 the bits in which their prefixes differ are added up, and a pair is pruned as
 soon as that exceeds the budget.  Buckets return a spanning forest, never all
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from gramlake.llm.common import free_name, groups, map_slices, written
 from gramlake.llm.components import Forest, connected_components
 
+#: Classes that share a bucket, about, before more blocks have to agree; most blocks that have to.
+BUCKET, MOST_BLOCKS = 4096, 5
+#: Fingerprints of a bucket that one task joins; larger buckets are dealt as pairs of chunks.
+CHUNK = 16_384
 #: Node pairs of at most this many fingerprint pairs are compared at once.
 LEAF_PAIRS = 4096
 WIDTH = 64
@@ -112,13 +118,18 @@ def trie_links(fps: np.ndarray, budget: int, seconds: np.ndarray | None = None)
     return forest.labels()
 
 
+def agreeing(n: int, budget: int) -> int:
+    """Blocks that have to agree (of ``budget`` more) for ``n`` fingerprints to share small buckets."""
+    return next((m for m in range(2, MOST_BLOCKS) if n <= BUCKET * 2 ** (m * WIDTH / (budget + m))), MOST_BLOCKS)
+
+
 def near_links(classes: DataFrame, budget: int = 2, match: int = 2, second: bool = False) -> DataFrame:
     """Spanning edges ``(u, v)`` among distinct ``fp`` (with ``fp2``) that differ in ``budget`` bits or fewer.
 
     Fingerprints meet where ``match`` of ``budget + match`` blocks agree: as
-    ``budget`` bits touch ``budget`` blocks at most, no link can be missed.
-    With ``second`` the ``fp2`` of a link must differ in at most twice the
-    budget too.
+    ``budget`` bits touch ``budget`` blocks at most, no link can be missed,
+    whatever ``match`` is.  With ``second`` the ``fp2`` of a link must differ
+    in at most twice the budget too.
     """
     blocks = budget + match
     ends = [WIDTH * b // blocks for b in range(blocks + 1)]
@@ -132,7 +143,7 @@ def near_links(classes: DataFrame, budget: int = 2, match: int = 2, second: bool
         keys.append(key)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(_shared(batches), ["key"]):
+        for t in groups(_shared(batches), ["key", "i", "j"]):
             if t.num_rows > 1:
                 fps, first = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True)
                 low = trie_links(fps, budget, t.column("fp2").to_numpy().view(np.uint64)[first] if second else None)
@@ -140,22 +151,28 @@ def near_links(classes: DataFrame, budget: int = 2, match: int = 2, second: bool
                 if len(joined):
                     yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (joined, low[joined])], ["u", "v"])
 
-    dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "fp2").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(join, "u long, v long")
+    dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "fp2")
+    large = dealt.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK)
+    large = written(large.select("key", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "simhash-large")
+    # a chunk meets every chunk of its bucket, itself included; buckets of one chunk are as they were
+    dealt = dealt.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "fp2")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(join, "u long, v long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Without the rows whose key certainly occurs once (both neighbours differ)."""
+    """Without the rows whose bucket certainly has no other (both neighbours differ)."""
     for b in batches:
-        k = b.column("key").to_numpy()
+        k, i, j = (b.column(c).to_numpy() for c in ("key", "i", "j"))
         if len(k):
-            same = k[1:] == k[:-1]
+            same = (k[1:] == k[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
             keep = np.r_[True, same] | np.r_[same, True]
             keep[[0, -1]] = True
             yield b.filter(pa.array(keep))
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget: int = 2, match: int = 2, second: bool = False) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget: int = 2, second: bool = False) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (smallest doc_id reachable).
 
     Null or wordless texts have fingerprint 0 and link like any other.  Rows
@@ -165,7 +182,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget
     """
     fps = written(fingerprints(docs, shingle, seed, second=second), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("fp2").alias("fp2"))
-    roots = connected_components(near_links(classes, budget, match, second))
+    roots = connected_components(near_links(classes, budget, agreeing(fps.count(), budget), second))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = written(rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramlake.llm.common import map_slices
@@ -17,13 +17,38 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Terms of which one is enough.
-STRICT = ("porn", "pornhub", "xxx", "xvideos", "hentai", "camgirl", "escorts", "warez", "keygen", "viagra", "cialis", "onlinecasino")
-#: Terms of which SOFT_NEEDED distinct ones are.
-SOFT = ("adult", "sex", "nude", "naked", "casino", "poker", "betting", "gamble", "slots", "jackpot", "loan", "payday", "pharmacy", "pills", "crack", "torrent", "dating", "webcam", "bonus", "free", "cheap", "win")
+#: Terms of which one is enough (the default vocabulary; ``vocabulary`` reads any other from a file).
+STRICT = (
+    "camgirl", "camgirls", "cialis", "escortservice", "escorts", "gangbang", "hentai", "keygen", "keygens", "onlinecasino", "onlinekasino",
+    "porn", "porndude", "pornhub", "porno", "pornos", "pornstar", "pornstars", "redtube", "sexcam", "sexcams", "sexshop", "viagra", "warez",
+    "xhamster", "xnxx", "xvideos", "xxx", "youporn",
+)
+#: Terms of which SOFT_NEEDED distinct ones are, in the languages of the pages.
+SOFT = (
+    "adult", "apuestas", "betting", "bonus", "casino", "cheap", "citas", "crack", "cul", "dating", "desnuda", "desnudas", "erotic", "erotica",
+    "erotik", "erotique", "escort", "fetish", "fick", "free", "gamble", "gambling", "gluecksspiel", "gratis", "gratuit", "hookup", "jackpot",
+    "jeux", "kasino", "kredit", "loan", "loans", "milf", "naked", "nackt", "nude", "nudes", "nue", "nues", "payday", "pharmacy",
+    "pills", "poker", "prestamo", "rencontre", "roulette", "sex", "sexe", "sexo", "sexy", "slots", "spielautomat", "torrent",
+    "torrents", "tragaperras", "webcam", "wetten", "win",
+)
 SOFT_NEEDED = 2
 
 
+def vocabulary(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """``strict`` and ``soft`` terms of a file with a line ``strict<TAB>term`` or ``soft<TAB>term`` each.
+
+    Terms are lower-cased (A-Z); other lines, empty terms and repetitions are
+    ignored.  The result goes to ``filter_urls`` as options; its size is that
+    of a word list, which travels with the function.
+    """
+    found: dict[str, set[str]] = {"strict": set(), "soft": set()}
+    for row in spark.read.text(path).toLocalIterator():
+        kind, _, term = row[0].partition("\t")
+        if kind.strip() in found and term.strip():
+            found[kind.strip()].add(ascii_lower(term.strip()))
+    return {k: tuple(sorted(v)) for k, v in found.items()}
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path; both empty for null or without ``://``."""
     at = -1 if url is None else url.find("://")

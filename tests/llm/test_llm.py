@@ -1,6 +1,7 @@
 """The ten operators against brute force, with nulls, empty tables, ties and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gramlake.llm import bpe, lines, mixing, registry, shards, simhash, sstable, toxicity, urls, vectors
+from gramlake.llm import bpe, common, lines, mixing, registry, shards, simhash, sstable, toxicity, urls, vectors
 from gramlake.llm.components import Forest, connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -259,6 +260,30 @@ def test_near_links_miss_nothing_within_the_budget(spark):
     assert [got.get(u, u) for u in nodes] == [nodes[x] for x in forest.labels()]
 
 
+def test_any_number_of_agreeing_blocks_and_chunks_finds_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    seeds = rng.integers(0, 2**63, 12).astype(np.uint64)
+    fps = np.unique(np.concatenate([s ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 3)).astype(np.uint64), axis=1) for s in seeds]))
+    df = spark.createDataFrame([(int(f), 0) for f in fps.view(np.int64)], "fp long, fp2 long")
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4, 1))
+    forest = Forest(len(fps))
+    forest.add(i, j)
+    signed = fps.view(np.int64).tolist()
+
+    def parts(roots):
+        out = {}
+        for f in signed:
+            out.setdefault(roots.get(f, f), set()).add(f)
+        return sorted(map(sorted, out.values()))
+
+    want = parts({f: signed[x] for f, x in zip(signed, forest.labels())})
+    assert 1 < len(want) < len(signed)
+    for match, chunk in ((2, 16_384), (2, 7), (3, 16_384), (4, 50)):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert parts(dict(connected_components(simhash.near_links(df, 4, match)).collect())) == want
+    assert [simhash.agreeing(n, 8) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [2, 2, 3, 4, 5] and simhash.agreeing(10**12, 2) == 2
+
+
 # --- 4: embeddings -------------------------------------------------------------------------------
 
 
@@ -741,6 +766,78 @@ def test_copies_are_no_boilerplate_in_the_pipeline(spark):
     assert set(articles) <= kept
 
 
+# --- odd tables ----------------------------------------------------------------------------------
+
+
+LONG = " ".join(f"word{n % 977}" for n in range(60_000))
+CLASH = ("ids", "fp", "fp2", "part", "size", "key", "n", "host", "score", "shard", "slot", "copies", "whole", "cut", "place", "hash", "part_", "__simhash_kept", "__line_host", "__mix_source", "__shard_first")
+
+
+def odd_table(spark):
+    """Nulls in all columns, repeated rows, a very long text and clashing names."""
+    data = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (1, "another text of the same id", "en", "t", 3), (None, None, None, None, None), (None, "no id at all", "en", None, 2)]
+    data += [(2, LONG, "en", "s", len(LONG)), (3, LONG + " end", "en", "s", 0), (4, "", "en", "s", 0), (-5, "x\n" * 50_000, "en", "s", 0), (6, "y" * 200_000, "en", "s", 0)]
+    return spark.createDataFrame(data, DOCS).withColumns({c: F.lit("clash") for c in CLASH}), data
+
+
+def test_odd_tables_keep_all_their_rows(spark):
+    df, data = odd_table(spark)
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (None, None, None), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    bpe_path, word_path = (registry.tokenizer_file(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    ids = sorted((repr(d) for d, *_ in data))
+    for name, out in (
+        ("op2", bpe.op2_query(df, bpe_path)),
+        ("op3", simhash.op3_query(df)),
+        ("op5", mixing.op5_query(df)),
+        ("op7", toxicity.op7_query(df, labels)),
+        ("op8", sstable.op8_query(df, word_path)),
+        ("op9", shards.op9_query(df)),
+        ("op10", lines.op10_query(df)),
+    ):
+        assert sorted(repr(r["doc_id"]) for r in out.collect()) == ids, name
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe_path)
+    digests = {hashlib.sha256(np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for _, t, *_ in data}
+    assert {r["ids_sha256"] for r in bpe.op2_query(df, bpe_path).collect()} == digests
+    same = {r["doc_id"]: r["component_id"] for r in simhash.op3_query(df).collect() if r["doc_id"] in (2, 3)}
+    assert set(same) == {2, 3} and len({r["taken"] for r in mixing.op5_query(df).where("doc_id = 1 and size = 6").collect()}) == 1
+    kept = simhash.simhash_dedup(df)
+    assert kept.columns == df.columns and kept.where("doc_id is null").count() == 2
+    assert mixing.mixed_documents(df).columns == df.columns and lines.drop_boilerplate(df).count() == len(data)
+
+
+def test_odd_urls_keep_all_their_rows(spark, tmp_path):
+    data = [(1, "http://h.org/en/1"), (1, "http://h.org/en/1"), (None, "http://h.com/en/1"), (None, None), (2, "http://h.org/" + "a/" * 40_000 + "xxx"), (3, "http://h.org/kasino/gratis")]
+    df = spark.createDataFrame(data, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "verdict", "weight")})
+    got = sorted(((r["page_id"], r["verdict"]) for r in urls.op6_query(df).collect()), key=repr)
+    assert got == sorted([(1, "allow"), (1, "allow"), (None, "block"), (None, "allow"), (2, "block"), (3, "block")], key=repr)
+    (tmp_path / "terms").write_text("strict\tFoo\nsoft\tbar\nsoft\tbaz\n\nother\tx\nsoft\t\nstrict\tfoo\n")
+    own = urls.vocabulary(spark, str(tmp_path / "terms"))
+    assert own == {"strict": ("foo",), "soft": ("bar", "baz")}
+    more = spark.createDataFrame([(n, "http://h/" + u) for n, u in enumerate(["FOO", "bar", "bar/baz", "xxx"])], "page_id long, url string")
+    assert [r["verdict"] for r in urls.filter_urls(more, **own).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    df, data = odd_table(spark)
+    spark.createDataFrame([(1, 0, 1), (1, 0, 0), (None, None, None), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            rows_ = out.count()
+            assert rows_ <= 2 * len(data) and (rows_ > 0) == (docs is df), name
+            if stage is not corpus_pipeline.encode:
+                assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+    df.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = common.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert [x.split("-")[0:2] for x in set(os.listdir(folder)) - before if not re.fullmatch(r"[0-9a-f-]{36}", x)] == [["pipeline", "4"]]
+
+
 # --- all -----------------------------------------------------------------------------------------
 
 
