@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gramlake.llm import bpe, lines, mixing, registry, simhash, toxicity
-from gramlake.llm.common import table, written
+from gramlake.llm.common import adopt, scratch_path, scratch_scope, table
 
 
 #: Options of the near-dedup stage.
@@ -13,7 +13,11 @@ NEAR = {"shingle": 5, "budget": 8, "second": True}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; the field is fitted on the labels of those documents."""
+    """Documents predicted toxic go; the field is fitted on the labels of those documents.
+
+    Null and empty texts, rows without doc_id and repeated rows stay unless
+    their text is toxic; an empty table or one without labels loses nothing.
+    """
     return toxicity.keep_clean(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
@@ -21,7 +25,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the boilerplate lines of their source; no document goes.
 
     Copies are still there at this stage, so they count as one page: a text is
-    no template of its source because it was copied often.
+    no template of its source because it was copied often.  Rows of a null
+    source and null texts stay as they are.
     """
     return lines.drop_boilerplate(docs, copies_once=True)
 
@@ -31,18 +36,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Five-word shingles and up to eight differing bits of 64 (an estimated
     cosine of 0.92), checked by a second fingerprint.  All such links are
-    found: fingerprints meet where two of ten blocks agree.
+    found: fingerprints meet where two or more of the blocks agree.  Texts
+    without words are copies of each other; rows that share a doc_id are one
+    document; rows without doc_id stay.
     """
     return simhash.simhash_dedup(docs, **NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the sources have their target words."""
+    """Documents are repeated or left out so that the sources have their target words.
+
+    A null source is one of its own; texts without words follow their hash.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and the digest of what they decode to."""
+    """Token ids of what is left, and the digest of what they decode to; a null text has no ids."""
     return bpe.op2_query(docs, registry.tokenizer_file("byte_bpe_50k.json"))
 
 
@@ -59,7 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over ``documents``; what a stage wrote is removed once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for n, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{n}")
+        with scratch_scope(spark) as keep:
+            if before:
+                adopt(before)
+            before = scratch_path(spark, f"pipeline-{n}")
+            keep.add(before)
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(before)
+        docs = spark.read.schema(made.schema).parquet(before)
     return docs
