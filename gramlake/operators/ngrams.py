@@ -52,10 +52,13 @@ def char_grams(text: Column, block: int, include_start: bool = True, include_las
     return F.concat(heads, full)
 
 
-def sparse_counts(docs: DataFrame, block: int, text: str = "text", by: tuple[str, ...] = (), **events) -> DataFrame:
-    """``by..., k, prefix, successor, n`` of full-width (and leading) prefixes of characters."""
-    long_enough = docs.where(F.length(text) > block)
-    grams = spread(long_enough.select(*by, text)).select(*by, F.explode(char_grams(F.col(text), block, **events)).alias("gram"))
+def sparse_counts(docs: DataFrame, block: int, text: str = "text", by: tuple[str, ...] = (), dealt: bool = False, **events) -> DataFrame:
+    """``by..., k, prefix, successor, n`` of full-width (and leading) prefixes of characters.
+
+    Rows that are ``dealt`` out already stay where they are.
+    """
+    long_enough = docs.where(F.length(text) > block).select(*by, text)
+    grams = (long_enough if dealt else spread(long_enough)).select(*by, F.explode(char_grams(F.col(text), block, **events)).alias("gram"))
     counts = grams.groupBy(*by, "gram").agg(F.count("*").alias("n"))
     size = F.length("gram")
     return counts.select(*by, (size - 1).alias("k"), F.expr("substring(gram, 1, length(gram) - 1)").alias("prefix"), F.expr("right(gram, 1)").alias("successor"), "n")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gramlake.operators.model import contexts
 from gramlake.operators.ngrams import char_grams, spread, token_events
 from gramlake.operators.prefixes import prefixes
+from gramlake.sources.scratch import written
 
 #: Stands in for a probability of zero under the logarithm.
 TINY = 1e-8
@@ -98,7 +99,8 @@ def perplexity(docs: DataFrame, model: DataFrame, block: int, by: tuple[str, ...
     (zero counts as TINY); the perplexity is 2 ** lg_pp.
     """
     cut = token_windows if prefixes(model).tokens else windows
-    rows = probabilities(cut(docs, block, by, text), model)
+    # written once: contexts, counts and unigrams all come from the same counts
+    rows = probabilities(cut(docs, block, by, text), written(model, "perplexity-model"))
     bits = -F.log2(F.when(F.col("probability") > 0, F.col("probability")).otherwise(F.lit(TINY)))
     per = rows.groupBy(*by).agg(F.sum("times").alias("windows"), (F.sum(bits * F.col("times")) / F.sum("times")).alias("lg_pp"))
     return per.withColumn("perplexity", F.pow(F.lit(2.0), "lg_pp")).withColumn("lg_squared", F.col("lg_pp") * F.col("lg_pp"))

@@ -141,7 +141,9 @@ def model_summary(s, d):
 
 
 def per_document_model_stats(s, d):
-    node = ngrams.sparse_counts(_docs(s, d).withColumn("in_bytes", F.octet_length("text")), BLOCK, by=("doc_id", "in_bytes"))
+    # texts are dealt by document once; nothing that is counted per document moves again
+    docs = _docs(s, d).select("doc_id", "text", F.octet_length("text").alias("in_bytes")).repartition("doc_id")
+    node = ngrams.sparse_counts(docs, BLOCK, by=("doc_id", "in_bytes"), dealt=True)
     held = F.sum(F.octet_length("prefix") + F.octet_length("successor") + 8).alias("bytes")
     per = node.groupBy("doc_id", "in_bytes", "k", "prefix").agg(F.count("*").alias("c"), F.sum("n").alias("n"), held)
     return per.groupBy("doc_id", "in_bytes").agg(F.count("*").alias("prefixes"), F.sum("c").alias("patterns"), F.sum("n").alias("occurrences"), F.max("k").alias("depth"), F.sum("bytes").alias("out_bytes"))
