@@ -19,13 +19,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlake.llm.common import map_slices, slices
 
 #: Most labelled documents the field is fitted on, by label (about; chosen by a hash of doc_id).
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1_500, 5_000
+#: Most bytes of their texts, by label; texts come in the order of a hash until the next would not fit.
+SAMPLE_BYTES = 64_000_000
 #: Clean chains of the first fit, drawn at random (about; twice the toxic side's chains if those are more).
 FIRST_CHAINS = 4_000
 #: Clean words that look most toxic after the first fit, and the chains with such words that the second fit has beside (about).
@@ -399,7 +401,8 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on a sample of the labelled documents that are not held out.
 
     Labels without doc_id or verdict are ignored; a doc_id that is labelled
-    more than once is toxic if any label says so; null texts count as empty.
+    more than once is toxic if any label says so, and of the texts of a
+    repeated doc_id the smallest counts; null texts count as empty.
     Without labels of both kinds nothing is called toxic.
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -408,7 +411,12 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     share = F.when(F.col("toxic") == 1, TOXIC_SAMPLE / max(sizes.get(1, 0), TOXIC_SAMPLE)).otherwise(CLEAN_SAMPLE / max(sizes.get(0, 0), CLEAN_SAMPLE))
     picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("toxic", "text", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    # rows that share a doc_id are one document, so neither rows nor bytes of the sample grow with the table
+    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("upto") <= SAMPLE_BYTES)
+    found = found.select("toxic", "text", "doc_id").toArrow().sort_by([("doc_id", "ascending")])
     texts = {0: [], 1: []}
     for y, t in zip(found.column("toxic").to_pylist(), found.column("text").to_pylist()):
         texts[1 if y == 1 else 0].append(t or "")
