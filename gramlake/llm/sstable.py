@@ -50,7 +50,7 @@ BLOCK_BYTES = 64_000
 BITS_PER_KEY, HASHES = 10, 7
 KEY_BYTES = 9
 #: Text bytes of a file, about.
-FILE_BYTES = 64_000_000
+FILE_BYTES = 32_000_000
 def key_of(doc_id: int | None) -> bytes:
     return bytes(9) if doc_id is None else struct.pack(">BQ", 1, doc_id + 2**63)
 
@@ -333,7 +333,7 @@ def write_tables(docs: DataFrame, path: str, folder: str, end: int = 1) -> DataF
     width = id_width(Tokenizer.from_file(path))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, = docs.agg(F.sum(F.octet_length("text"))).first()
-    parts = max(int(size or 0) // FILE_BYTES + 1, docs.sparkSession.sparkContext.defaultParallelism)
+    parts = int(size or 0) // FILE_BYTES + 1
     # bounds are drawn from these columns, so no text is among them
     order = ["doc_id", "hash", "place"]
     dealt = docs.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
