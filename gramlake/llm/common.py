@@ -117,11 +117,14 @@ class Recent:
 
     def missing(self, keys: set) -> set:
         """Those of the keys that have to be entered into ``now``; all others are in it."""
-        absent, before = keys.difference(self.now), self._before
+        return self.recall(keys.difference(self.now))
+
+    def recall(self, absent: set) -> set:
+        """As ``missing``, for keys that are not in ``now``."""
+        before = self._before
         again = [k for k in absent if k in before] if before else []
-        self.now.update((k, before[k]) for k in again)
-        absent.difference_update(again)
-        return absent
+        self.now.update(zip(again, map(before.__getitem__, again)))
+        return absent.difference(again) if again else absent
 
 
 def free_name(df: DataFrame, name: str) -> str:

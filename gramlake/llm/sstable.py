@@ -182,7 +182,7 @@ class WordEncoder:
     """
 
     #: Distinct words, and pieces of words, whose ids a worker keeps in each of two generations.
-    CACHE = 300_000
+    CACHE = 400_000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -256,7 +256,7 @@ class WordEncoder:
 
     def _unsure(self, words: set[str]) -> set[str]:
         """Words with characters newer than this Python's Unicode: the library knows better which are letters."""
-        met = set("".join(words)) - self._plain
+        met = set("".join([w for w in words if not w.isascii()])) - self._plain
         new = {c for c in met if unicodedata.category(c) == "Cn"}
         if len(self._plain) < 100_000:
             self._plain |= met - new
@@ -272,7 +272,7 @@ class WordEncoder:
         known = self._known.now
         found = list(map(known.get, flat))
         absent = [n for n, ids in enumerate(found) if ids is None]
-        self._learn(self._known.missing({flat[n] for n in absent}))
+        self._learn(self._known.recall({flat[n] for n in absent}))
         for n in absent:
             found[n] = known[flat[n]]
         whole = iter(self._ids([t for t, ws in zip(texts, words) if ws is None], self.tokenizer))
