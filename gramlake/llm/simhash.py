@@ -9,14 +9,16 @@ that have to agree, so that buckets stay small; a bucket that is large all the
 same is dealt as pairs of chunks.  Inside a bucket the sorted fingerprints are a binary trie (a
 node is a range that shares a prefix); pairs of nodes are traversed together,
 the bits in which their prefixes differ are added up, and a pair is pruned as
-soon as that exceeds the budget.  Buckets return a spanning forest, never all
+soon as that exceeds the budget; buckets that are no more than a leaf of this
+traversal are compared many at a time.  Buckets return a spanning forest, never all
 pairs; distributed star contraction then gives the components.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import deque
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +120,19 @@ def trie_links(fps: np.ndarray, budget: int, seconds: np.ndarray | None = None)
     return forest.labels()
 
 
+def leaf_links(fps: np.ndarray, run: np.ndarray, budget: int, seconds: np.ndarray | None = None) -> np.ndarray:
+    """As ``trie_links`` for many buckets at once, each of which is one leaf; ``run`` is ascending and numbers them."""
+    forest = Forest(len(fps))
+    for step in range(1, int(np.bincount(run).max(initial=0))):
+        i = np.flatnonzero(run[step:] == run[:-step])
+        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= budget]
+        if seconds is not None:
+            i = i[np.bitwise_count(seconds[i] ^ seconds[i + step]) <= 2 * budget]
+        if len(i):
+            forest.add(i, i + step)
+    return forest.labels()
+
+
 def agreeing(n: int, budget: int) -> int:
     """Blocks that have to agree (of ``budget`` more) for ``n`` fingerprints to share small buckets."""
     return next((m for m in range(2, MOST_BLOCKS) if n <= BUCKET * 2 ** (m * WIDTH / (budget + m))), MOST_BLOCKS)
@@ -136,20 +151,40 @@ def near_links(classes: DataFrame, budget: int = 2, match: int = 2, second: bool
     parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(ends, ends[1:])]
     width = max(b - a for a, b in zip(ends, ends[1:]))
     keys = []
-    for n, chosen in enumerate(combinations(range(blocks), match)):
+    for n, chosen in enumerate(itertools.combinations(range(blocks), match)):
         key = F.lit(n).cast("long")
         for c in chosen:
             key = F.shiftleft(key, width).bitwiseOR(parts[c])
         keys.append(key)
 
+    def edges(fps: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+        joined = np.flatnonzero(low != np.arange(len(fps)))
+        if len(joined):
+            yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (joined, low[joined])], ["u", "v"])
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(_shared(batches), ["key", "i", "j"]):
-            if t.num_rows > 1:
+        held: deque[pa.RecordBatch] = deque()
+
+        def larger() -> Iterator[pa.RecordBatch]:
+            """The rows of buckets that are no single leaf, or may go on in the next batch."""
+            for b in _shared(batches):
+                run = _runs(b)
+                size = np.bincount(run)
+                one = size * size <= LEAF_PAIRS
+                one[[0, -1]] = False
+                leaf = one[run]
+                if leaf.any():
+                    held.append(b.filter(pa.array(leaf)))
+                yield b.filter(pa.array(~leaf))
+
+        for t in itertools.chain(groups(larger(), ["key", "i", "j"]), [None]):
+            while held:
+                b = held.popleft()
+                fps, fp2 = (b.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+                yield from edges(fps, leaf_links(fps, _runs(b), budget, fp2 if second else None))
+            if t is not None and t.num_rows > 1:
                 fps, first = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True)
-                low = trie_links(fps, budget, t.column("fp2").to_numpy().view(np.uint64)[first] if second else None)
-                joined = np.flatnonzero(low != np.arange(len(fps)))
-                if len(joined):
-                    yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (joined, low[joined])], ["u", "v"])
+                yield from edges(fps, trie_links(fps, budget, t.column("fp2").to_numpy().view(np.uint64)[first] if second else None))
 
     dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "fp2")
     large = dealt.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK)
@@ -161,12 +196,17 @@ def near_links(classes: DataFrame, budget: int = 2, match: int = 2, second: bool
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(join, "u long, v long")
 
 
+def _runs(b: pa.RecordBatch) -> np.ndarray:
+    """Number of each row's bucket among the batch's; rows of a bucket are neighbours."""
+    k, i, j = (b.column(c).to_numpy() for c in ("key", "i", "j"))
+    return np.cumsum(np.r_[False, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Without the rows whose bucket certainly has no other (both neighbours differ)."""
+    """Without the rows whose bucket certainly has no other (both neighbours differ); no empty batches."""
     for b in batches:
-        k, i, j = (b.column(c).to_numpy() for c in ("key", "i", "j"))
-        if len(k):
-            same = (k[1:] == k[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
+        if b.num_rows:
+            same = np.diff(_runs(b)) == 0
             keep = np.r_[True, same] | np.r_[same, True]
             keep[[0, -1]] = True
             yield b.filter(pa.array(keep))
