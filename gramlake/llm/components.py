@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is a minimum per node (partially aggregated before its shuffle) and
-a join back to the edges, so a hub with a third of all edges is pre-aggregated
-and its join is one that adaptive execution can split.  No list of neighbours
+a join back to the edges, so a hub with a third of all edges is pre-aggregated;
+the minima are a table of their own, so both sides of the join are plain
+shuffles, which adaptive execution can split at the hub.  No list of neighbours
 is ever built and nothing but one checksum row reaches the driver.
 """
 
@@ -12,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import checkpointed
+from gramlake.llm.common import checkpointed, written
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -20,7 +21,7 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
         sides = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = written(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low")
     joined = sides.join(low, "u")
     if both_ways:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

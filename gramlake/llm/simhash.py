@@ -224,7 +224,10 @@ def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("fp2").alias("fp2"))
     roots = connected_components(near_links(classes, budget, agreeing(fps.count(), budget), second))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = written(rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id"), "simhash-classes")
+    rooted = written(rooted, "simhash-roots")
+    # written by itself, so that the join is broadcast or, where one component is large, split by its true size
+    lowest = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")).where("members > 1").drop("members"), "simhash-components")
+    named = written(rooted.join(lowest, "root", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-classes")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
