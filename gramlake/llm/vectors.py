@@ -65,12 +65,12 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def whole_vectors(df: DataFrame, scale: float = 256.0) -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of every usable vector, x as double."""
-    rows = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e")).where(F.col("vec_id").isNotNull() & finite(F.col("e")))
+def whole_vectors(df: DataFrame, scale: float = 256.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``vec_id, v``: floor(scale * x) of every usable vector, x as double; and the columns to ``carry``."""
+    rows = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"), *carry).where(F.col("vec_id").isNotNull() & finite(F.col("e")))
     # Spark's floor gives a long; doubles from 2**53 on are whole as they are
     whole = lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)
-    return rows.select("vec_id", F.transform("e", lambda x: whole(x * F.lit(scale))).alias("v"))
+    return rows.select("vec_id", F.transform("e", lambda x: whole(x * F.lit(scale))).alias("v"), *carry)
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray, own: np.ndarray) -> np.ndarray:
