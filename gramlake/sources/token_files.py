@@ -13,6 +13,7 @@ the vocabulary, not by the model.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import json
 import uuid
@@ -88,11 +89,9 @@ class TokenWriter(DataSourceArrowWriter):
             name = f"{folder}/{token}"
             with fs.open_output_stream(name, compression=None) as stream:
                 out, raw = _Counted(stream), 0
-                packed = gzip.GzipFile(fileobj=out, mode="wb", mtime=0, filename="") if self.compress else out
-                for piece in pieces:
-                    raw += packed.write(piece)
-                if self.compress:
-                    packed.close()
+                with gzip.GzipFile(fileobj=out, mode="wb", mtime=0, filename="") if self.compress else contextlib.nullcontext(out) as packed:
+                    for piece in pieces:
+                        raw += packed.write(piece)
             files.append((token, name, raw, out.size))
         return Written(files)
 
