@@ -1,24 +1,29 @@
 """SimHash near-dedup: 64-bit fingerprints, linked by a binary-trie self-join.
 
 Equal fingerprints are collapsed to one class before anything is joined, so a
-group of copies costs one row however large it is.  Classes are dealt to
-buckets by each of the six pairs of 16-bit blocks: two fingerprints that
-differ in at most two bits agree in at least two of four blocks, so no link
-can be missed.  Larger budgets take more blocks, and larger tables more blocks
-that have to agree, so that buckets stay small; a bucket that is large all the
-same is dealt as pairs of chunks.  Inside a bucket the sorted fingerprints are a binary trie (a
-node is a range that shares a prefix); pairs of nodes are traversed together,
-the bits in which their prefixes differ are added up, and a pair is pruned as
-soon as that exceeds the budget; buckets that are no more than a leaf of this
-traversal are compared many at a time.  Buckets return a spanning forest, never all
-pairs; distributed star contraction then gives the components.
+group of copies costs one row however large it is.  Sorted fingerprints are a
+binary trie: a node is a range that shares a prefix.  The join traverses pairs
+of nodes together from the root, a bit at a step; it adds up the bits in which
+the prefixes of a pair differ and prunes a pair as soon as these exceed the
+budget.
+
+The top of the trie is dealt to tasks: a task takes one pair of nodes a few
+bits down whose prefixes are within the budget, and goes on from there.  A
+fingerprint is copied to the pairs of its node, a few tens of them; a node that
+is large all the same is dealt in chunks.
+
+With large budgets the top of a trie prunes nothing, as its few bits may all
+differ.  So a budget of 3 or more takes several tries, each over the bits in
+turned order: of r blocks of bits one differs in budget div r bits at most, and
+the trie that begins with this block prunes by that smaller budget within it.
+Tasks return a spanning forest, never all pairs; distributed star contraction
+then gives the components.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,12 @@ from pyspark.sql import functions as F
 from gramlake.llm.common import free_name, groups, map_slices, written
 from gramlake.llm.components import Forest, connected_components
 
-#: Classes that share a bucket, about, before more blocks have to agree; most blocks that have to.
-BUCKET, MOST_BLOCKS = 4096, 5
-#: Fingerprints of a bucket that one task joins; larger buckets are dealt as pairs of chunks.
-CHUNK = 16_384
-#: Node pairs of at most this many fingerprint pairs are compared at once.
-LEAF_PAIRS = 4096
+#: Fingerprints of a node that is dealt, about; fewest bits down, so that small tables are dealt too.
+NODE, LEAST_BITS = 65_536, 4
+#: Fingerprints of a node that one task joins; larger nodes are dealt as pairs of chunks.
+CHUNK = 131_072
+#: Node pairs of at most this many fingerprint pairs are compared; node pairs that are traversed at once.
+LEAF_PAIRS, FRONT = 16, 1 << 16
 WIDTH = 64
 
 
@@ -76,140 +81,174 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, second: bool
     return map_slices(docs, "text", make, "doc_id long, fp long, fp2 long")
 
 
-def trie_links(fps: np.ndarray, budget: int, seconds: np.ndarray | None = None) -> np.ndarray:
+@dataclass
+class Work:
+    """What a traversal did: node pairs that were looked at, those pruned by the budget, and fingerprint pairs compared."""
+
+    visited: int = 0
+    pruned: int = 0
+    compared: int = 0
+
+
+@dataclass
+class Trie:
+    """The trie over sorted, distinct fingerprints (from bit ``top`` - 1 down), and links found in it.
+
+    ``seconds`` (of the same order) must differ in at most twice the budget too.
+    """
+
+    fps: np.ndarray
+    seconds: np.ndarray | None
+    budget: int
+    forest: Forest
+    work: Work = field(default_factory=Work)
+
+    def join(self, a: tuple[int, int], b: tuple[int, int], bit: int, left: int, until: int, within: int) -> None:
+        """Link the fingerprints of node ``a`` to those of node ``b``, ranges that share the bits above ``bit``.
+
+        ``left`` is what the prefixes leave of the budget, ``within`` what they
+        leave of the smaller budget that holds for the bits down to ``until``.
+        """
+        start = np.array([[*a, *b, left, within]], dtype=np.int64)
+        todo = [(start, bit)]
+        while todo:
+            front, bit = todo.pop()
+            if len(front) > FRONT:  # depth first, so few pairs are held
+                todo.append((front[FRONT:], bit))
+                front = front[:FRONT].copy()
+            if bit == until - 1:
+                front[:, 5] = front[:, 4]
+            front = self._leaves(front, bit)
+            if len(front):
+                todo.append((self._step(front, bit), bit - 1))
+
+    def _leaves(self, front: np.ndarray, bit: int) -> np.ndarray:
+        """Compare the pairs that are small enough (or have no bit left); return the others."""
+        self.work.visited += len(front)
+        many = (front[:, 1] - front[:, 0]) * (front[:, 3] - front[:, 2])
+        small = many <= LEAF_PAIRS if bit >= 0 else np.ones(len(front), dtype=bool)
+        for part in (front[small][s : s + FRONT] for s in range(0, int(small.sum()), FRONT)):
+            width = part[:, 3] - part[:, 2]
+            size = (part[:, 1] - part[:, 0]) * width
+            pair = np.repeat(np.arange(len(part)), size)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+            i, j = part[pair, 0] + place // width[pair], part[pair, 2] + place % width[pair]
+            apart = (part[pair, 0] != part[pair, 2]) | (i < j)
+            self.work.compared += int(apart.sum())
+            i, j = i[apart], j[apart]
+            near = np.bitwise_count(self.fps[i] ^ self.fps[j]) <= self.budget
+            i, j = i[near], j[near]
+            if self.seconds is not None:
+                sure = np.bitwise_count(self.seconds[i] ^ self.seconds[j]) <= 2 * self.budget
+                i, j = i[sure], j[sure]
+            if len(i):
+                self.forest.add(np.minimum(i, j), np.maximum(i, j))
+        return front[~small]
+
+    def _step(self, front: np.ndarray, bit: int) -> np.ndarray:
+        """The pairs of halves of each pair of nodes that are within the budget; halves by the next bit."""
+        ones = np.concatenate([[0], np.cumsum((self.fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]) if self._held != bit else self._ones
+        self._held, self._ones = bit, ones
+        a, b, c, d, left, within = front.T
+        ab, cd = b - (ones[b] - ones[a]), d - (ones[d] - ones[c])
+        same = a == c
+        unlike = (left > 0) & (within > 0)
+        made = [np.stack(x, 1) for x in ((a, ab, c, cd, left, within), (ab, b, cd, d, left, within))]
+        across = [np.stack((a, ab, cd, d, left - 1, within - 1), 1)[unlike], np.stack((ab, b, c, cd, left - 1, within - 1), 1)[unlike & ~same]]
+        self.work.pruned += int((~unlike).sum() + (~unlike & ~same).sum())
+        out = np.concatenate(made + across)
+        return out[(out[:, 1] > out[:, 0]) & (out[:, 3] > out[:, 2])]
+
+    _held: int = -1
+    _ones: np.ndarray | None = None
+
+
+def trie_links(fps: np.ndarray, budget: int, seconds: np.ndarray | None = None, work: Work | None = None) -> np.ndarray:
     """Local component label of each of the sorted, distinct unsigned fingerprints.
 
     Where ``seconds`` are given, these must differ in at most twice the budget too.
     """
     forest = Forest(len(fps))
-
-    def leaf(a: tuple[int, int], b: tuple[int, int]) -> None:
-        near = np.bitwise_count(fps[a[0] : a[1], None] ^ fps[None, b[0] : b[1]]) <= budget
-        if a == b:
-            near = np.triu(near, 1)
-        i, j = np.nonzero(near)
-        i, j = i + a[0], j + b[0]
-        if seconds is not None and len(i):
-            sure = np.bitwise_count(seconds[i] ^ seconds[j]) <= 2 * budget
-            i, j = i[sure], j[sure]
-        if len(i):
-            forest.add(i, j)
-
-    def halves(node: tuple[int, int], bit: int) -> list[tuple[int, int]]:
-        lo, hi = node
-        ones = (fps[lo:hi] >> np.uint64(bit)) & np.uint64(1)
-        mid = lo + int(np.searchsorted(ones, 1))
-        return [(lo, mid), (mid, hi)]
-
-    stack = [((0, len(fps)), (0, len(fps)), WIDTH - 1, budget)]
-    while stack:
-        a, b, bit, left = stack.pop()
-        n, m = a[1] - a[0], b[1] - b[0]
-        if not n or not m or (a == b and n < 2):
-            continue
-        if n * m <= LEAF_PAIRS or bit < 0:
-            leaf(a, b)
-            continue
-        (a0, a1), (b0, b1) = halves(a, bit), halves(b, bit)
-        stack.append((a0, b0, bit - 1, left))
-        stack.append((a1, b1, bit - 1, left))
-        if left:
-            stack.append((a0, b1, bit - 1, left - 1))
-            if a != b:
-                stack.append((a1, b0, bit - 1, left - 1))
+    if len(fps):
+        Trie(fps, seconds, budget, forest, work or Work()).join((0, len(fps)), (0, len(fps)), WIDTH - 1, budget, 0, budget)
     return forest.labels()
 
 
-def leaf_links(fps: np.ndarray, run: np.ndarray, budget: int, seconds: np.ndarray | None = None) -> np.ndarray:
-    """As ``trie_links`` for many buckets at once, each of which is one leaf; ``run`` is ascending and numbers them."""
-    forest = Forest(len(fps))
-    for step in range(1, int(np.bincount(run).max(initial=0))):
-        i = np.flatnonzero(run[step:] == run[:-step])
-        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= budget]
-        if seconds is not None:
-            i = i[np.bitwise_count(seconds[i] ^ seconds[i + step]) <= 2 * budget]
-        if len(i):
-            forest.add(i, i + step)
-    return forest.labels()
+def turns(budget: int) -> list[tuple[int, int]]:
+    """Bits by which each trie is turned, and the width of the block it then begins with."""
+    r = budget // 3 + 1
+    ends = [WIDTH * n // r for n in range(r + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def agreeing(n: int, budget: int) -> int:
-    """Blocks that have to agree (of ``budget`` more) for ``n`` fingerprints to share small buckets."""
-    return next((m for m in range(2, MOST_BLOCKS) if n <= BUCKET * 2 ** (m * WIDTH / (budget + m))), MOST_BLOCKS)
+def turned(fps: np.ndarray, by: int) -> np.ndarray:
+    return fps if not by else (fps << np.uint64(by)) | (fps >> np.uint64(WIDTH - by))
 
 
-def near_links(classes: DataFrame, budget: int = 2, match: int = 2, second: bool = False) -> DataFrame:
+def near_links(classes: DataFrame, budget: int = 2, second: bool = False, bits: int | None = None) -> DataFrame:
     """Spanning edges ``(u, v)`` among distinct ``fp`` (with ``fp2``) that differ in ``budget`` bits or fewer.
 
-    Fingerprints meet where ``match`` of ``budget + match`` blocks agree: as
-    ``budget`` bits touch ``budget`` blocks at most, no link can be missed,
-    whatever ``match`` is.  With ``second`` the ``fp2`` of a link must differ
-    in at most twice the budget too.
+    With ``second`` the ``fp2`` of a link must differ in at most twice the
+    budget too.  Tries are dealt by the pairs of their nodes ``bits`` down
+    (from the number of fingerprints, if not given).
     """
-    blocks = budget + match
-    ends = [WIDTH * b // blocks for b in range(blocks + 1)]
-    parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(ends, ends[1:])]
-    width = max(b - a for a, b in zip(ends, ends[1:]))
-    keys = []
-    for n, chosen in enumerate(itertools.combinations(range(blocks), match)):
-        key = F.lit(n).cast("long")
-        for c in chosen:
-            key = F.shiftleft(key, width).bitwiseOR(parts[c])
-        keys.append(key)
-
-    def edges(fps: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
-        joined = np.flatnonzero(low != np.arange(len(fps)))
-        if len(joined):
-            yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (joined, low[joined])], ["u", "v"])
+    every = turns(budget)
+    least = budget // len(every)
+    if bits is None:
+        bits = min(24, max(LEAST_BITS, (classes.count() // NODE).bit_length()))
+    bits = min(bits, min(width for _, width in every))
+    masks = _masks(bits, least)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: deque[pa.RecordBatch] = deque()
-
-        def larger() -> Iterator[pa.RecordBatch]:
-            """The rows of buckets that are no single leaf, or may go on in the next batch."""
-            for b in _shared(batches):
-                run = _runs(b)
-                size = np.bincount(run)
-                one = size * size <= LEAF_PAIRS
-                one[[0, -1]] = False
-                leaf = one[run]
-                if leaf.any():
-                    held.append(b.filter(pa.array(leaf)))
-                yield b.filter(pa.array(~leaf))
-
-        for t in itertools.chain(groups(larger(), ["key", "i", "j"]), [None]):
-            while held:
-                b = held.popleft()
-                fps, fp2 = (b.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
-                yield from edges(fps, leaf_links(fps, _runs(b), budget, fp2 if second else None))
-            if t is not None and t.num_rows > 1:
-                fps, first = np.unique(t.column("fp").to_numpy().view(np.uint64), return_index=True)
-                yield from edges(fps, trie_links(fps, budget, t.column("fp2").to_numpy().view(np.uint64)[first] if second else None))
-
-    dealt = classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "fp2")
-    large = dealt.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK)
-    large = written(large.select("key", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "simhash-large")
-    # a chunk meets every chunk of its bucket, itself included; buckets of one chunk are as they were
-    dealt = dealt.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "fp2")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(join, "u long, v long")
-
-
-def _runs(b: pa.RecordBatch) -> np.ndarray:
-    """Number of each row's bucket among the batch's; rows of a bucket are neighbours."""
-    k, i, j = (b.column(c).to_numpy() for c in ("key", "i", "j"))
-    return np.cumsum(np.r_[False, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Without the rows whose bucket certainly has no other (both neighbours differ); no empty batches."""
-    for b in batches:
-        if b.num_rows:
-            same = np.diff(_runs(b)) == 0
-            keep = np.r_[True, same] | np.r_[same, True]
-            keep[[0, -1]] = True
-            yield b.filter(pa.array(keep))
+        for t in groups(batches, ["turn", "low", "high", "i", "j"]):
+            turn, low, high, i, j = (t.column(c)[0].as_py() for c in ("turn", "low", "high", "i", "j"))
+            by, width = every[turn]
+            fps = turned(t.column("fp").to_numpy().view(np.uint64), by)
+            side = t.column("side").to_numpy()
+            alone = (low, i) == (high, j)
+            order = np.lexsort((fps, side))
+            fps, side = fps[order], side[order]
+            cut = int(np.searchsorted(side, 1))
+            if not alone and cut in (0, len(fps)):
+                continue
+            seconds = t.column("fp2").to_numpy().view(np.uint64)[order] if second else None
+            forest = Forest(len(fps))
+            differ = (low ^ high).bit_count()
+            a, b = ((0, len(fps)),) * 2 if alone else ((0, cut), (cut, len(fps)))
+            Trie(fps, seconds, budget, forest).join(a, b, WIDTH - bits - 1, budget - differ, WIDTH - width, least - differ)
+            labels = forest.labels()
+            joined = np.flatnonzero(labels != np.arange(len(fps)))
+            if len(joined):
+                back = turned(fps, WIDTH - by) if by else fps
+                yield pa.RecordBatch.from_arrays([pa.array(back[x].view(np.int64)) for x in (joined, labels[joined])], ["u", "v"])
+
+    def top(by: int):
+        """The first ``bits`` bits once turned."""
+        turn = F.col("fp") if not by else F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", WIDTH - by))
+        return F.shiftrightunsigned(turn, WIDTH - bits) if bits else F.lit(0).cast("long")
+
+    tops = F.array(*[F.struct(F.lit(n).alias("turn"), top(by).alias("own")) for n, (by, _) in enumerate(every)])
+    rows = classes.select("fp", "fp2", F.explode(tops).alias("t")).select("fp", "fp2", "t.turn", "t.own")
+    large = rows.groupBy("turn", "own").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK)
+    large = written(large.select("turn", F.col("own").alias("node"), F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "simhash-large")
+    chunks = lambda df, node, name: df.join(large.select("turn", F.col("node").alias(node), F.col("chunks").alias(name)), ["turn", node], "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    rows = chunks(rows, "own", "mine").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("mine")).cast("int"))
+    rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
+    # a chunk meets every chunk of every node that is near enough, its own included
+    rows = chunks(rows, "other", "theirs").withColumn("their", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+    first = (F.col("own") < F.col("other")) | ((F.col("own") == F.col("other")) & (F.col("chunk") <= F.col("their")))
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    dealt = rows.select("turn", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), pick("chunk", "their").alias("i"), pick("their", "chunk").alias("j"), F.when(first, 0).otherwise(1).alias("side"), "fp", "fp2")
+    keys = ["turn", "low", "high", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "u long, v long")
+
+
+def _masks(bits: int, most: int) -> list[int]:
+    """Numbers of that many bits with at most ``most`` ones."""
+    out = {0}
+    for _ in range(most):
+        out |= {m | 1 << b for m in out for b in range(bits)}
+    return sorted(out)
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget: int = 2, second: bool = False) -> DataFrame:
@@ -222,7 +261,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, budget
     """
     fps = written(fingerprints(docs, shingle, seed, second=second), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("fp2").alias("fp2"))
-    roots = connected_components(near_links(classes, budget, agreeing(fps.count(), budget), second))
+    roots = connected_components(near_links(classes, budget, second))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "simhash-roots")
     # written by itself, so that the join is broadcast or, where one component is large, split by its true size

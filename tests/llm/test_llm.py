@@ -260,7 +260,7 @@ def test_near_links_miss_nothing_within_the_budget(spark):
     assert [got.get(u, u) for u in nodes] == [nodes[x] for x in forest.labels()]
 
 
-def test_any_number_of_agreeing_blocks_and_chunks_finds_the_same(spark, monkeypatch):
+def test_nodes_dealt_at_any_depth_and_in_chunks_find_the_same(spark, monkeypatch):
     rng = np.random.default_rng(11)
     seeds = rng.integers(0, 2**63, 12).astype(np.uint64)
     fps = np.unique(np.concatenate([s ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 3)).astype(np.uint64), axis=1) for s in seeds]))
@@ -278,10 +278,58 @@ def test_any_number_of_agreeing_blocks_and_chunks_finds_the_same(spark, monkeypa
 
     want = parts({f: signed[x] for f, x in zip(signed, forest.labels())})
     assert 1 < len(want) < len(signed)
-    for match, chunk in ((2, 16_384), (2, 7), (3, 16_384), (4, 50)):
+    for bits, chunk in ((0, 131_072), (4, 131_072), (9, 131_072), (3, 7), (0, 50), (32, 131_072)):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
-        assert parts(dict(connected_components(simhash.near_links(df, 4, match)).collect())) == want
-    assert [simhash.agreeing(n, 8) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [2, 2, 3, 4, 5] and simhash.agreeing(10**12, 2) == 2
+        assert parts(dict(connected_components(simhash.near_links(df, 4, bits=bits)).collect())) == want
+    monkeypatch.setattr(simhash, "FRONT", 10)
+    monkeypatch.setattr(simhash, "CHUNK", 40)
+    assert parts(dict(connected_components(simhash.near_links(df, 4)).collect())) == want
+
+
+def test_a_family_that_shares_its_first_bits_is_dealt_in_chunks(spark, monkeypatch):
+    """A third of all fingerprints in one node: parts of it meet each other, and nothing is lost."""
+    monkeypatch.setattr(simhash, "CHUNK", 30)
+    rng = np.random.default_rng(3)
+    family = np.unique(np.uint64(0xABCD << 48) | rng.integers(0, 2**12, 300).astype(np.uint64))
+    others = rng.integers(0, 2**63, 600).astype(np.uint64) << np.uint64(1)
+    fps = np.unique(np.concatenate([family, others]))
+    df = spark.createDataFrame([(int(f), 0) for f in fps.view(np.int64)], "fp long, fp2 long")
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2, 1))
+    forest = Forest(len(fps))
+    forest.add(i, j)
+    want = forest.labels()
+    got = dict(connected_components(simhash.near_links(df)).collect())
+    groups = lambda names: sorted(sorted(np.flatnonzero(np.array(names) == x)) for x in set(names))
+    assert groups([got.get(f, f) for f in fps.view(np.int64).tolist()]) == groups(want.tolist())
+
+
+def test_node_pairs_are_traversed_and_pruned():
+    """10,000 unlike fingerprints: pairs beyond the budget are pruned high up, few fingerprints are compared."""
+    rng = np.random.default_rng(10)
+    fps = np.unique(rng.integers(0, 2**63, 10_000).astype(np.uint64) << np.uint64(1))
+    fps = np.unique(np.concatenate([fps, fps[::7] ^ np.uint64(1 << 40), fps[::9] ^ np.uint64(3 << 62)]))
+    work = simhash.Work()
+    low = simhash.trie_links(fps, 2, work=work)
+    near = [np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 2 for i in range(len(fps))]
+    forest = Forest(len(fps))
+    for i, hit in enumerate(near):
+        forest.add(np.full(int(hit.sum()), i), i + 1 + np.flatnonzero(hit))
+    assert low.tolist() == forest.labels().tolist()
+    every = len(fps) * (len(fps) - 1) // 2
+    assert work.visited > len(fps) and work.pruned > len(fps) and work.compared < every / 20
+    assert simhash.Work() == simhash.Work(0, 0, 0)
+
+
+@pytest.mark.parametrize("budget", range(10))
+def test_some_block_differs_little(budget):
+    """The tries of a budget begin with blocks that part the bits; one of them differs in few enough."""
+    every = simhash.turns(budget)
+    assert sum(w for _, w in every) == 64 and [a for a, _ in every] == np.cumsum([0, *(w for _, w in every[:-1])]).tolist()
+    assert budget // len(every) <= 2
+    x = np.array([1, 2**63 + 5], dtype=np.uint64)
+    for by, width in every:
+        back = simhash.turned(simhash.turned(x, by), 64 - by) if by else x
+        assert (back == x).all()
 
 
 # --- 4: embeddings -------------------------------------------------------------------------------
