@@ -1,27 +1,26 @@
 """Languages: pieces of text and their tokens, as a ``vocab(piece, token)`` relation.
 
 Encoding is greedy from the right: at each end the longest piece that ends
-there is taken.  With reversed pieces as alternatives, longest first, one
-regular expression over the reversed text does just that, inside the JVM.
+there is taken.  An automaton does so for whole Arrow batches, one way for
+vocabularies of any size (``functions.automaton``).
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramlake.functions import wire
+from gramlake.functions.automaton import Automaton, distinct_characters
 from gramlake.operators.ngrams import chars, spread
 
-#: Pieces up to which one expression is used; larger vocabularies use a trie in Python.
-REGEX_PIECES = 200
-#: First of the private code points that stand for tokens.
-PLANE = 0xF0000
-
 
 class Language:
     """A small vocabulary known to the driver: ``{piece: token}``."""
@@ -59,6 +58,19 @@ class Language:
             raise ValueError(f"more than {limit} distinct characters")
         return cls({r["piece"]: r["token"] for r in rows})
 
+    @classmethod
+    def from_ranks(cls, path: str) -> Language:
+        """The pieces of a public rank file (base64 and number a line) that are whole characters."""
+        pieces = {}
+        with open(path, encoding="ascii") as lines:
+            for line in lines:
+                raw, token = line.split()
+                try:
+                    pieces[base64.b64decode(raw).decode("utf-8")] = int(token)
+                except UnicodeDecodeError:
+                    continue
+        return cls(pieces, path)
+
     def define(self, piece: str | bytes, token: int) -> Language:
         piece = piece.decode() if isinstance(piece, bytes) else piece
         return Language(self.pieces | {piece: token}, self.name)
@@ -97,25 +109,15 @@ class Language:
         covered = F.aggregate(pieces, F.lit(0), lambda a, p: a + F.length(p)) == F.length(text)
         return F.when(covered, pieces).otherwise(F.raise_error(F.concat(F.lit("not encodable: "), F.substring(text, 1, 40))).cast("array<string>"))
 
-    def _map(self) -> Column:
-        return F.create_map(*[F.lit(x) for p, t in self.pieces.items() for x in (p, t)])
-
     def encode(self, text: Column, strict: bool = False) -> Column:
-        """Array of tokens.
-
-        Single characters are translated to a private code plane by one hash
-        lookup each; longer pieces are found by the pattern, and vocabularies
-        too large for one pattern by a table in Python.
-        """
-        if self.depth <= 1 and not strict and 0 <= min(self.pieces.values(), default=0) and self.max_token < 65_000 and all(ord(p) < PLANE for p in self.pieces):
-            # characters of the private planes would pass for tokens
-            text = F.regexp_replace(text, F.lit(r"[\x{F0000}-\x{10FFFF}]"), F.lit(""))
-            coded = F.translate(text, "".join(self.pieces), "".join(chr(PLANE + t) for t in self.pieces.values()))
-            return F.transform(F.filter(chars(coded), lambda c: F.ascii(c) >= PLANE), lambda c: F.ascii(c) - PLANE)
-        if self.size > REGEX_PIECES:
-            return _trie_udf(self.pieces, strict)(text)
-        lookup = self._map()
-        return F.transform(self.split(text, strict), lambda p: F.element_at(lookup, p))
+        """Array of tokens; unknown characters are skipped, or raise if ``strict``; a null text has null tokens."""
+        automaton = Automaton(self.pieces)
+
+        @F.arrow_udf("array<int>")
+        def encoded(texts: pa.Array) -> pa.Array:
+            return automaton.encode(texts, strict)
+
+        return encoded(text)
 
     def encode_text(self, text: str, strict: bool = False) -> list[int]:
         """The tokens of one text in Python."""
@@ -143,17 +145,6 @@ class Language:
         return F.regexp_replace(F.reverse(text), F.lit("(?s)" + self.pattern()), F.lit("")) == "" if self.pieces else text == ""
 
 
-def _trie_udf(pieces: dict[str, int], strict: bool):
-    """Greedy encoder for vocabularies too large for one expression."""
-    longest, table = max(map(len, pieces)), dict(pieces)
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: None if text is None else greedy(table, longest, text, strict))
-
-    return encode
-
-
 def greedy(table: dict[str, int], longest: int, text: str, strict: bool) -> list[int]:
     """Tokens of a text, from its end: the longest piece that ends there, or nothing for an unknown character."""
     out, end = [], len(text)
@@ -173,8 +164,15 @@ def greedy(table: dict[str, int], longest: int, text: str, strict: bool) -> list
 
 def char_language(docs: DataFrame, text: str = "text") -> DataFrame:
     """``piece, token``: distinct characters in code point order, numbered from 0."""
-    distinct = spread(docs.select(text)).select(F.explode(F.array_distinct(chars(F.col(text)))).alias("piece")).distinct()
-    return distinct.select("piece", (F.row_number().over(Window.orderBy("piece")) - 1).alias("token"))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, dtype=np.uint32)
+        for b in batches:
+            held = np.union1d(held, distinct_characters(b.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in held.tolist()], pa.string())], ["piece"])
+
+    pieces = spread(docs.select(F.col(text).cast("string"))).mapInArrow(distinct, "piece string").distinct()
+    return pieces.select("piece", (F.row_number().over(Window.orderBy("piece")) - 1).alias("token"))
 
 
 def char_language_first_seen(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramlake.functions.language import Language
 from gramlake.operators import interchange, model, ngrams, suffixes
 from gramlake.operators.stored import Stored
 from gramlake.plans import catalog, tokens
@@ -17,6 +18,8 @@ from gramlake.sources.scratch import scratch_path
 #: Blocks of the deep models, of characters and of tokens.
 DEEP, DEEP_TOKENS = 10, 20
 DRAWS = 1_000_000
+#: A public vocabulary file.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -100,6 +103,15 @@ def stored_draws(s, d):
     return rows.groupBy("match_length").agg(F.count("*").alias("draws"), F.count("possible").alias("possible"))
 
 
+def encode_greedy_large(s, d):
+    """Greedy tokens over a public vocabulary of 50,000 pieces, as counts and sums."""
+    import public_tokenizers
+
+    language = Language.from_ranks(public_tokenizers.path(VOCABULARY))
+    tokens = ngrams.spread(_t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.length("text").alias("characters"), language.encode(F.col("text")).alias("t"))
+    return tokens.select("doc_id", "characters", F.size("t").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_tokens"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ngram_counts_deep": ngram_counts_deep,
@@ -108,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "token_counts_deep": token_counts_deep,
         "token_file_statistics": token_file_statistics,
         "merged_trees": merged_trees,
+        "encode_greedy_large": encode_greedy_large,
         "stored_match": lambda s, d: _stored(s, d).matches(catalog._queries_of(s, d)),
         "stored_search": lambda s, d: _stored(s, d).longest_suffix(catalog._queries_of(s, d)),
         "stored_probability": lambda s, d: _stored(s, d).probabilities(catalog._queries_of(s, d)),

@@ -14,7 +14,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gramlake.functions import wire
+from gramlake.functions import automaton, wire
+from gramlake.functions.language import Language, greedy
 from gramlake.operators import interchange, model, ngrams, score, stored, suffixes
 from gramlake.operators.stored import Stored
 from gramlake.sources import readers, token_files
@@ -277,3 +278,31 @@ def test_draws_follow_the_counts(spark, held):
     share = {(r["prefix"], r["successor"]): r["n"] / n for r in got.groupBy("prefix", "successor").agg(F.count("*").alias("n")).collect()}
     assert set(share) <= set(want) and all(abs(p - share.get(x, 0)) < 0.015 for x, p in want.items())
     assert rows(got) == rows(held.stored.sample(asked.repartition(3)))
+
+
+# --- large vocabularies --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("pieces", [{"a": 0}, {"ab": 3, "b": 1, "a": 0, "cab": 7}, {"é": 1, "😀é": 2, "a😀é": -5}, {"abc": 1, "bcab": 2, "\x00": 3}, {}])
+def test_automaton_equals_greedy_encoding(pieces, monkeypatch):
+    rng, machine = random.Random(len(pieces)), automaton.Automaton(pieces)
+    depth = max(map(len, pieces), default=0)
+    for size in (automaton.STEP, 40):
+        monkeypatch.setattr(automaton, "STEP", size)
+        for _ in range(60):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choice("abcé😀x\x00") for _ in range(rng.choice([0, 1, 2, 5, 700]))) for _ in range(rng.randrange(9))]
+            column = pa.array(["left", *texts, "out"], pa.string()).slice(1, len(texts))
+            assert machine.encode(column).to_pylist() == [None if t is None else greedy(pieces, depth, t, False) for t in texts]
+    with pytest.raises(ValueError, match="not encodable"):
+        machine.encode(pa.array(["aö"]), strict=True)
+
+
+def test_a_public_vocabulary(spark):
+    public = pytest.importorskip("public_tokenizers")
+    language = Language.from_ranks(public.path("byte_bpe_50k.tiktoken"))
+    assert language.size > 49_000
+    texts = ["The quick brown fox, über die Straße – 😀!\n\n  indented", "", "x" * 5000, None, "naïve café " * 300]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", language.encode(F.col("text")).alias("t")).collect()
+    assert [r["t"] for r in got] == [None if t is None else greedy(language.pieces, language.depth, t, False) for t in texts]
+    back = {t: p for p, t in language.pieces.items()}
+    assert all("".join(back[t] for t in r["t"]) == r["text"] for r in got if r["text"] is not None and r["text"].isascii())
