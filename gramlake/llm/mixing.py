@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms; built-in functions only.
 
-Every document gets a hash of 3 * 10 bits from its doc_id.  A source that is
+Every document gets a hash of 3 * 10 bits from its doc_id and text.  A source that is
 to give r times its words takes floor(r) copies of each document and one more
 of those whose hash lies below a threshold.  The threshold comes from sums of
 words by source and hash bucket: the bucket in which the running sum passes
@@ -28,10 +28,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def document_hash(doc_id: Column) -> Column:
-    """The first 30 bits of the MD5 of the decimal id (null: of the empty text)."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.shiftright(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), 2)
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """The first 30 bits of the MD5 of ``doc_id:text`` (null: nothing), so rows without ids, or that share one, spread too."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.shiftright(F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("long"), 2)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def thresholds(light: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def _light(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), document_hash(F.col("doc_id")).alias("h"))
+    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def plan_mix(light: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row.
 
     A null text has no words, a null source is a source of its own (last), and
-    rows with equal doc_id share their hash and so their fate.  A source
+    rows with equal doc_id and text share their hash and so their fate.  A source
     without words gets target 0.  An empty table gives an empty result; other
     columns are ignored.
     """
@@ -126,10 +126,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     source, plan, copy = (free_name(docs, "__mix_" + x) for x in ("source", "plan", "copy"))
     found = plan_mix(written(_light(docs), "mix-light")).select(F.col("plan_source").alias(source), F.struct("whole", "cut").alias(plan))
     own = docs.join(found, docs.source.cast("string").eqNullSafe(F.col(source)))
-    extra = (document_hash(docs.doc_id) < F.col(plan)["cut"]) & (F.col(plan)["whole"] < MOST)
+    extra = (document_hash(docs.doc_id, docs.text) < F.col(plan)["cut"]) & (F.col(plan)["whole"] < MOST)
     times = (F.col(plan)["whole"] + F.when(extra, 1).otherwise(0)).cast("int")
     return own.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias(copy)).drop(copy)
 
 
 def op5_query(docs: DataFrame) -> DataFrame:
+    """What the mix takes of every row of ``documents``; cases are those of ``mix``."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
