@@ -76,11 +76,13 @@ class UrlFilter:
         for verdict, host, path in rules:
             self.rules.setdefault(host, []).append((path, verdict))
         self.soft_needed = soft_needed
-        self.terms = ahocorasick.Automaton()
-        for weight, terms in ((1, soft), (self.soft_needed, strict)):
-            for t in terms:
-                self.terms.add_word(t, (t, weight))
-        self.terms.make_automaton()
+        words = {t: weight for weight, terms in ((1, soft), (self.soft_needed, strict)) for t in terms if t}
+        #: None without terms: an empty automaton finds nothing, and the library refuses to search with it.
+        self.terms = ahocorasick.Automaton() if words else None
+        for t, weight in words.items():
+            self.terms.add_word(t, (t, weight))
+        if words:
+            self.terms.make_automaton()
 
     def rule(self, host: str, path: str) -> tuple[str, str] | None:
         """The longest rule (host and path together) that fits, with its verdict."""
@@ -101,6 +103,8 @@ class UrlFilter:
         characters are borders.
         """
         text, found = ascii_lower(url), {}
+        if self.terms is None:
+            return found
         letter = lambda i: 0 <= i < len(text) and "a" <= text[i] <= "z"
         for end, (term, weight) in self.terms.iter(text):
             if not letter(end + 1) and not letter(end - len(term)):
@@ -121,7 +125,7 @@ def filter_urls(pages: DataFrame, **options) -> DataFrame:
 
     Weight: a strict term counts as many as are needed, a soft one as one,
     each term once.  A null url has empty host and path, fits no rule and is
-    allowed.  Repeated rows and null ids each give a row; no rows give none;
+    allowed.  Without terms (an empty vocabulary) rules alone decide.  Repeated rows and null ids each give a row; no rows give none;
     other columns (the page itself above all) are never read.
     """
 
@@ -142,4 +146,5 @@ def filter_urls(pages: DataFrame, **options) -> DataFrame:
 
 
 def op6_query(pages: DataFrame) -> DataFrame:
+    """The verdict on every url of ``pages``; cases are those of ``filter_urls``."""
     return filter_urls(pages).drop("weight")
