@@ -26,8 +26,8 @@ from gramlake.llm.common import map_slices, slices
 
 #: Most labelled documents the field is fitted on, by label (about; chosen by a hash of doc_id).
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1_500, 5_000
-#: Most bytes of their texts, by label; texts come in the order of a hash until the next would not fit.
-SAMPLE_BYTES = 64_000_000
+#: Most bytes of their texts, by label, in the order of a hash; no text of more than one LONG_SHARE of them is trained on.
+SAMPLE_BYTES, LONG_SHARE = 64_000_000, 16
 #: Clean chains of the first fit, drawn at random (about; twice the toxic side's chains if those are more).
 FIRST_CHAINS = 4_000
 #: Clean words that look most toxic after the first fit, and the chains with such words that the second fit has beside (about).
@@ -414,8 +414,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     # rows that share a doc_id are one document, so neither rows nor bytes of the sample grow with the table
     found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # one very long text must not take the place of all that come after it
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    found = found.where(size <= SAMPLE_BYTES // LONG_SHARE)
     upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("upto") <= SAMPLE_BYTES)
+    found = found.withColumn("upto", F.sum(size).over(upto)).where(F.col("upto") <= SAMPLE_BYTES)
     found = found.select("toxic", "text", "doc_id").toArrow().sort_by([("doc_id", "ascending")])
     texts = {0: [], 1: []}
     for y, t in zip(found.column("toxic").to_pylist(), found.column("text").to_pylist()):
@@ -465,5 +468,6 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def op7_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A score for every row of ``documents``, by a field fitted on labels that are not held out; cases as in ``score_documents``."""
     out = score_documents(docs, fit_on(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
