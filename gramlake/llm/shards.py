@@ -101,6 +101,7 @@ def shuffle_to_shards(docs: DataFrame, folder: str, shards: int = SHARDS, seed:
 
 
 def op9_query(docs: DataFrame) -> DataFrame:
+    """Shard and slot of every row of ``documents`` as the written files hold them; cases as in ``shuffle_to_shards``."""
     docs = docs.select("doc_id", "text")
     out = shuffle_to_shards(docs, scratch_path(docs.sparkSession, "shards"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -281,4 +281,5 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_query(docs: DataFrame) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; cases as in ``simhash_components``."""
     return simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -218,6 +218,7 @@ def _pass(index: DataFrame, width: int, shared: Broadcast, k: int) -> DataFrame:
 
 
 def op1_query(embeddings: DataFrame) -> DataFrame:
+    """The best five of all rows for each query row; cases as in ``whole_vectors`` and ``top_k``."""
     return top_k(whole_vectors(embeddings))
 
 
@@ -435,4 +436,5 @@ def near_duplicates(vectors: DataFrame, at_least: float = 0.98, chosen: tuple[in
 
 
 def op4_query(embeddings: DataFrame) -> DataFrame:
+    """Links and components of whole ``embeddings``; cases as in ``near_duplicates``."""
     return near_duplicates(embeddings)
