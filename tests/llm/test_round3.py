@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from gramlake.llm import common, negatives, spelling, vectors, warc
+from gramlake.llm import common, mixing, negatives, spelling, toxicity, urls, vectors, warc
 
 PAGES = "page_id long, url string, html string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -280,3 +280,36 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     got = {(r["word"], r["near"]) for r in spelling.near_words(vocab).collect()}
     words = [r["word"] for r in vocab.collect()]
     assert got == {(a, b) for a in words for b in words if one_edit(a, b)}
+
+
+# --- mended cases of earlier operators -------------------------------------------------------------
+
+
+def test_mixing_meets_targets_without_ids(spark):
+    """A thousand rows without ids are chosen by their texts, not all alike."""
+    data = [(None, f"w{n} " * 10, "en", "a", 0) for n in range(1000)] + [(7, f"v{n} " * 10, "en", "b", 0) for n in range(300)]
+    data += [(n, "x " * 10, "en", "c", 0) for n in range(100)]
+    df = spark.createDataFrame(data, DOCS)
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 20 for r in got) and len(got) == 3
+
+
+def test_urls_without_terms(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/en/1"), (2, "http://porn.example/"), (3, None)], "page_id long, url string")
+    for options in ({"strict": (), "soft": ()}, {"strict": ("",), "soft": ()}):
+        assert sorted((r["page_id"], r["verdict"], r["weight"]) for r in urls.filter_urls(pages, **options).collect()) == [(1, "block", 0), (2, "allow", 0), (3, "allow", 0)]
+    assert {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, strict=("porn",), soft=()).collect()}[2] == "block"
+
+
+def test_one_huge_text_does_not_empty_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200_000)
+    words = ["good", "river", "stone", "house", "green", "walk", "paper", "light"]
+    rng = random.Random(1)
+    line = lambda bad: " ".join(rng.choices(words, k=12) + (["vilescum", "dreckfink"] if bad else [])) + "."
+    data = [(n, "\n".join(line(n % 2) for _ in range(3)), "en", "s", 0) for n in range(400)]
+    for n in (1, 5, 9):  # longer than all the sample may hold
+        data[n] = (n, "\n".join(line(True) for _ in range(6000)), "en", "s", 0)
+    docs = spark.createDataFrame(data, DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, *_ in data], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.op7_query(docs, labels).collect()}
+    assert sum(got[n] for n in range(1, 400, 2)) >= 190 and sum(got[n] for n in range(0, 400, 2)) == 0
