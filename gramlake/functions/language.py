@@ -185,6 +185,11 @@ def char_language_first_seen(docs: DataFrame, order: str = "doc_id", text: str =
     return first.select("piece", F.row_number().over(Window.orderBy("first")).alias("token"))
 
 
+def renumbered(vocab: DataFrame, after: int) -> DataFrame:
+    """The pieces in the order of their tokens, numbered on from ``after``; a row per piece of a vocabulary."""
+    return vocab.select("piece", (F.row_number().over(Window.orderBy("token")) + after).cast("int").alias("token"))
+
+
 def language_json(vocab: DataFrame) -> DataFrame:
     """One row: the vocabulary as a JSON object."""
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("piece", "token"))))

@@ -14,7 +14,7 @@ from pyspark.sql import Window
 
 from gramlake.functions import language as lang
 from gramlake.functions.language import Language
-from gramlake.operators import charcount, model, ngrams, sample, score
+from gramlake.operators import charcount, documents, model, ngrams, sample, score
 from gramlake.sources import readers, writers
 from gramlake.streaming import counts as streaming
 
@@ -141,12 +141,8 @@ def model_summary(s, d):
 
 
 def per_document_model_stats(s, d):
-    # texts are dealt by document once; nothing that is counted per document moves again
-    docs = _docs(s, d).select("doc_id", "text", F.octet_length("text").alias("in_bytes")).repartition("doc_id")
-    node = ngrams.sparse_counts(docs, BLOCK, by=("doc_id", "in_bytes"), dealt=True)
-    held = F.sum(F.octet_length("prefix") + F.octet_length("successor") + 8).alias("bytes")
-    per = node.groupBy("doc_id", "in_bytes", "k", "prefix").agg(F.count("*").alias("c"), F.sum("n").alias("n"), held)
-    return per.groupBy("doc_id", "in_bytes").agg(F.count("*").alias("prefixes"), F.sum("c").alias("patterns"), F.sum("n").alias("occurrences"), F.max("k").alias("depth"), F.sum("bytes").alias("out_bytes"))
+    rows = documents.document_models(_docs(s, d).select("doc_id", "text"), BLOCK).where("events > 0")
+    return rows.select("doc_id", "in_bytes", "prefixes", "patterns", "occurrences", "depth", "out_bytes")
 
 
 def per_label_models(s, d):

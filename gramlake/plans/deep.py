@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import lzma
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramlake.functions import udtf
 from gramlake.functions.language import Language
-from gramlake.operators import interchange, model, ngrams, suffixes
+from gramlake.operators import combine, documents, interchange, model, ngrams, suffixes
 from gramlake.operators.stored import Stored
 from gramlake.plans import catalog, tokens
 from gramlake.plans.catalog import BLOCK, SUFFIX, PROBABILITY, WINDOWS
 from gramlake.sources import readers, token_files
 from gramlake.sources.scratch import scratch_path
+from gramlake.streaming import upkeep
 
 #: Blocks of the deep models, of characters and of tokens.
 DEEP, DEEP_TOKENS = 10, 20
 DRAWS = 1_000_000
+#: Rows of a limited read.
+LIMIT = 20
 #: A public vocabulary file.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -112,6 +118,90 @@ def encode_greedy_large(s, d):
     return tokens.select("doc_id", "characters", F.size("t").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_tokens"))
 
 
+def stream_model_upkeep(s, d):
+    """The conversations in two arrivals of files, kept up to date batch by batch and added up level by level."""
+    source, path, checkpoint = (scratch_path(s, n) for n in ("upkeep-source", "upkeep-model", "upkeep-checkpoint"))
+    table = _t(s, d, "conversations").select("text")
+    stream = s.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for half in (F.xxhash64("text") % 2 == 0, F.coalesce(F.xxhash64("text") % 2 != 0, F.lit(True))):
+        table.where(half).repartition(3).write.mode("append").parquet(source)
+        upkeep.keep_model(stream, BLOCK, path, checkpoint, fan=2).trigger(availableNow=True).start().awaitTermination()
+    return ngrams.densify(upkeep.kept_model(s, path))
+
+
+def language_upkeep(s, d):
+    """Characters in the order in which three arrivals of documents show them."""
+    docs, path = _t(s, d, "documents").select("doc_id", "text"), scratch_path(s, "upkeep-language")
+    low, high = (docs.agg(F.percentile("doc_id", q)).first()[0] for q in (0.1, 0.6))
+    parts = (docs.where(F.col("doc_id") <= low), docs.where((F.col("doc_id") > low) & (F.col("doc_id") <= high)), docs.where(F.col("doc_id") > high))
+    for n, part in enumerate(parts):
+        held = upkeep.extend_language(part, path, n)
+    return held
+
+
+def timed_documents(s, d):
+    """What each document's model has, and whether its count took any time; task totals are observed."""
+    rows = documents.document_models(_t(s, d, "documents").select("doc_id", "text"), BLOCK)
+    return rows.where("events > 0").select("doc_id", "in_bytes", "events", "patterns", (F.col("seconds") > 0).alias("timed"))
+
+
+def combined_top_successors(s, d):
+    """The three commonest successors of every prefix by a combiner of states."""
+    return combine.combine(_conversations(s, d), ["k", "prefix"], ["successor", "n"], combine.TopSuccessors(3), "successor string, n long, place int")
+
+
+def ngram_counts_function(s, d):
+    """Counts of the benchmark's texts by a table function over Arrow batches."""
+    view = "gramlake_function_texts"
+    udtf.register_counts(s, BLOCK)
+    _t(s, d, "benchmark").select("text").createOrReplaceTempView(view)
+    return s.sql(f"select k, prefix, successor, sum(n) as n from ngram_counts(table(select text from {view})) group by k, prefix, successor")
+
+
+def _packed(s, d) -> str:
+    """Every benchmark item as an .xz file of its own, written by tasks into the session's shared folder."""
+    folder = scratch_path(s, "xz")
+
+    def write(batches):
+        for b in batches:
+            fs, base = token_files.file_system(folder)
+            fs.create_dir(base, recursive=True)
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = lzma.compress((text + "\n").encode("utf-8"))
+                with fs.open_output_stream(f"{base}/item-{item}.xz", compression=None) as out:
+                    out.write(data if item % 10 else data[: len(data) // 2])  # every tenth file is cut short
+                yield pa.RecordBatch.from_arrays([pa.array([item], pa.int64())], ["item_id"])
+
+    _t(s, d, "benchmark").select("item_id", "text").mapInArrow(write, "item_id long").count()
+    return folder
+
+
+def xz_files(s, d):
+    """Lines of packed files, of which every tenth is damaged and left out."""
+    return readers.xz_lines(s, _packed(s, d)).groupBy("line").agg(F.count("*").alias("n"))
+
+
+def xz_file_report(s, d):
+    rows = readers.xz_report(s, _packed(s, d))
+    return rows.select(F.regexp_extract("path", r"item-(\d+)", 1).cast("long").alias("item_id"), "lines", F.col("error").isNotNull().alias("bad"))
+
+
+def limited_rows(s, d):
+    """How many rows a limited read of a table gives, and that all are its rows."""
+    name = "gramlake_limited_" + scratch_path(s, "table").rsplit("-", 1)[1]
+    _t(s, d, "labels").select("doc_id", "quality").write.option("path", scratch_path(s, "limited")).saveAsTable(name)
+    rows = readers.table_rows(s, name, ["doc_id"], LIMIT)
+    return rows.join(_t(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("n"))
+
+
+def short_texts(s, d):
+    """Events of texts by whether they are longer than a block of the longest benchmark item: short ones have none."""
+    texts = _t(s, d, "benchmark").select("text")
+    (longest,) = texts.agg(F.max(F.length("text"))).first()
+    rows = [ngrams.sparse_counts(texts, block).agg(F.lit(longest - block).alias("less"), F.coalesce(F.sum("n"), F.lit(0)).alias("events")) for block in (longest, longest - 1)]
+    return rows[0].union(rows[1])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ngram_counts_deep": ngram_counts_deep,
@@ -121,6 +211,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "token_file_statistics": token_file_statistics,
         "merged_trees": merged_trees,
         "encode_greedy_large": encode_greedy_large,
+        "stream_model_upkeep": stream_model_upkeep,
+        "language_upkeep": language_upkeep,
+        "timed_documents": timed_documents,
+        "combined_top_successors": combined_top_successors,
+        "ngram_counts_function": ngram_counts_function,
+        "xz_files": xz_files,
+        "xz_file_report": xz_file_report,
+        "limited_rows": limited_rows,
+        "short_texts": short_texts,
         "stored_match": lambda s, d: _stored(s, d).matches(catalog._queries_of(s, d)),
         "stored_search": lambda s, d: _stored(s, d).longest_suffix(catalog._queries_of(s, d)),
         "stored_probability": lambda s, d: _stored(s, d).probabilities(catalog._queries_of(s, d)),
@@ -156,6 +255,15 @@ node AS (SELECT k, c[pos - k:pos - 1] AS prefix, c[pos] AS successor, count(*)::
         "token_counts_deep": with_(listed, then=summary),
         "token_file_statistics": with_(conv, then="SELECT unicode(right(prefix, 1))::BIGINT AS token, unicode(right(prefix, 1)) || '.proto.bin.gz' AS file, true AS packed, count(*) AS patterns, count(DISTINCT prefix) AS prefixes, sum(n)::BIGINT AS n, true AS plausible FROM node WHERE k > 0 GROUP BY right(prefix, 1)"),
         "merged_trees": with_(*three, every, then=f"SELECT k, {code('prefix')} AS prefix, unicode(successor)::INT AS successor, n FROM node WHERE k > 0"),
+        "stream_model_upkeep": with_(conv, then="SELECT * FROM node"),
+        "language_upkeep": catalog.oracle_sql()["char_language_first_seen"],
+        "timed_documents": with_(catalog._sparse("s", "documents", key="doc_id"), then="SELECT doc_id, any_value(strlen(d.text))::INT AS in_bytes, sum(n)::BIGINT AS events, count(*) AS patterns, true AS timed FROM s JOIN documents d USING (doc_id) GROUP BY doc_id"),
+        "combined_top_successors": with_(conv, then="SELECT k, prefix, successor, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY k, prefix ORDER BY n DESC, successor) AS place FROM node) WHERE place <= 3"),
+        "ngram_counts_function": with_(catalog._sparse("s", "benchmark"), then="SELECT * FROM s"),
+        "xz_files": "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark WHERE item_id % 10 <> 0) GROUP BY line",
+        "xz_file_report": "SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS lines, item_id % 10 = 0 AS bad FROM benchmark",
+        "limited_rows": f"SELECT least(count(*), {LIMIT}) AS n FROM labels",
+        "short_texts": "SELECT less::INT AS less, CASE less WHEN 0 THEN 0 ELSE (SELECT sum(length(text) - 2) FROM benchmark WHERE length(text) = (SELECT max(length(text)) FROM benchmark)) END::BIGINT AS events FROM (VALUES (0), (1)) AS t(less)",
         "stored_match": with_(conv, WINDOWS, then="SELECT prefix, successor FROM queries WHERE prefix IN (SELECT prefix FROM node WHERE k > 0)"),
         "stored_search": with_(conv, WINDOWS, SUFFIX, then="SELECT prefix, match, match_length, total FROM found"),
         "stored_probability": with_(conv, WINDOWS, SUFFIX, PROBABILITY, then="SELECT prefix, successor, match_length, CASE WHEN own > 0 THEN own ELSE unigram END AS probability FROM probs"),

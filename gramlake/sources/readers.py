@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import codecs
 import gzip
+import io
+import json
 import lzma
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramlake.functions.language import Language
 
+#: Bytes that are unpacked, and characters that are handed on, at once.
+STEP = 1 << 20
 #: Fields of an article file.
 ARTICLE = "id string, title string, text string"
 #: Fields of a segment table.
@@ -49,22 +56,72 @@ def text_lines(spark: SparkSession, pattern: str) -> DataFrame:
     return reduce(DataFrame.union, packed, plain.select(F.col("value").alias("line")))
 
 
+def _texts(content: bytes, opened: Callable) -> Iterator[str]:
+    """A packed file's text in parts of about STEP characters; bytes that are no UTF-8 raise."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    with opened(io.BytesIO(content)) as stream:
+        while data := stream.read(STEP):
+            yield decoder.decode(data)
+    yield decoder.decode(b"", final=True)
+
+
+def _lines(parts: Iterator[str]) -> Iterator[list[str]]:
+    """Lines of a text that comes in parts; a line may be longer than a part."""
+    held: list[str] = []
+    for part in parts:
+        first, *rest = part.split("\n")
+        held.append(first)
+        if rest:
+            yield ["".join(held), *rest[:-1]]
+            held = [rest[-1]]
+    if any(held):
+        yield ["".join(held)]
+
+
+def _whole(content: bytes, opened: Callable) -> str | None:
+    """What is wrong with a packed file, if anything; it is unpacked once, and nothing is kept."""
+    try:
+        for _ in _texts(content, opened):
+            pass
+    except (lzma.LZMAError, UnicodeDecodeError, EOFError, OSError, zlib.error) as e:
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
 def xz_lines(spark: SparkSession, pattern: str, skip_bad: bool = True, glob: str = "*") -> DataFrame:
-    """Lines of .xz or .lzma files; a file that cannot be unpacked is left out (or raises)."""
+    """Lines of .xz or .lzma files; a file that cannot be unpacked is left out (or raises).
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                try:
-                    text = lzma.decompress(content).decode("utf-8")
-                except (lzma.LZMAError, UnicodeDecodeError):
-                    if skip_bad:
-                        continue
-                    raise
-                yield pd.DataFrame({"line": text.split("\n")[: -1 if text.endswith("\n") else None]})
+    Files are unpacked a part at a time, so a task holds a file as it is stored
+    and about a megabyte of its text.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                if skip_bad and _whole(content, lzma.open):
+                    continue
+                for lines in _lines(_texts(content, lzma.open)):
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["line"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(pattern)
+    return files.select("content").mapInArrow(unpack, "line string")
+
+
+def xz_report(spark: SparkSession, pattern: str, glob: str = "*") -> DataFrame:
+    """``path, lines, characters, error`` of packed files: what ``xz_lines`` reads of each, and why it skips one."""
+    names, kinds = ["path", "lines", "characters", "error"], [pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                error, lines, size = _whole(content, lzma.open), 0, 0
+                for part in _lines(_texts(content, lzma.open)) if error is None else ():
+                    lines += len(part)
+                    size += sum(map(len, part))
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((path, lines, size, error), kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(pattern)
-    return files.select("content").mapInPandas(unpack, "line string")
+    return files.select("path", "content").mapInArrow(look, "path string, lines long, characters long, error string")
 
 
 def table_rows(spark: SparkSession, name: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -94,10 +151,101 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     return files.select("path", "length")
 
 
-def article_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """``src, id, title, text``: JSON files that hold one array of articles each, gzipped or not."""
-    rows = spark.read.schema(ARTICLE).json(pattern, multiLine=True)
-    return rows.select(F.col("_metadata.file_path").alias("src"), "id", "title", "text")
+def _items(parts: Iterator[str]) -> Iterator[object]:
+    """The items of one JSON array that comes in parts; anything else raises.
+
+    More is read only while an item is not whole, twice as much each time, so
+    about two items are held.
+    """
+    decoder, text, at = json.JSONDecoder(), "", 0
+
+    def more(least: int) -> bool:
+        """Read on by so many characters at least; what is behind goes."""
+        nonlocal text, at
+        fresh = []
+        while least > 0 and (part := next(parts, None)) is not None:
+            fresh.append(part)
+            least -= len(part)
+        if fresh:
+            text, at = text[at:] + "".join(fresh), 0
+        return bool(fresh)
+
+    def ahead() -> str:
+        """The next character that is not blank, not taken; nothing at the end."""
+        nonlocal at
+        while True:
+            while at < len(text) and (text[at].isspace() or text[at] == "\ufeff"):
+                at += 1
+            if at < len(text) or not more(1):
+                return text[at : at + 1]
+
+    if ahead() != "[":
+        raise ValueError("no JSON array")
+    at += 1
+    mark = ahead()
+    while mark != "]":
+        if not ahead():
+            raise ValueError("the array does not end")
+        while True:
+            try:
+                item, end = decoder.raw_decode(text, at)
+                if end < len(text) or not more(1):  # a number at the end of a part may go on
+                    break
+            except json.JSONDecodeError:
+                if not more(len(text) - at):
+                    raise
+        at = end
+        yield item
+        mark = ahead()
+        if mark not in (",", "]"):
+            raise ValueError("items of the array are not parted")
+        at += mark == ","
+    at += 1
+    if ahead():
+        raise ValueError("something follows the array")
+
+
+def article_files(spark: SparkSession, pattern: str, skip_bad: bool = False) -> DataFrame:
+    """``src, id, title, text``: JSON files that hold one array of articles each, gzipped or not.
+
+    Arrays are read an article at a time; a file that is no such array raises,
+    or is left out whole.  Fields that are no text are given as JSON.
+    """
+    names = [c.split()[0] for c in ARTICLE.split(", ")]
+
+    def text(value: object) -> str | None:
+        return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+    def items(content: bytes) -> Iterator[object]:
+        return _items(_texts(content, gzip.open if content[:2] == b"\x1f\x8b" else lambda stream: stream))
+
+    def bad(content: bytes) -> bool:
+        try:
+            return not all(isinstance(x, dict) for x in items(content))
+        except (ValueError, EOFError, OSError, zlib.error):
+            return True
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            columns = [[path] * len(held), *([text(x.get(n)) for x in held] for n in names)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["src", *names])
+
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if skip_bad and bad(content):
+                    continue
+                held, size = [], 0
+                for item in items(content):
+                    held.append(item)
+                    size += len(item.get("text") or "") if isinstance(item.get("text"), str) else 0
+                    if len(held) >= 1000 or size >= STEP:
+                        yield made()
+                        held, size = [], 0
+                if held:
+                    yield made()
+
+    files = spark.read.format("binaryFile").load(pattern)
+    return files.select("path", "content").mapInArrow(read, f"src string, {ARTICLE}")
 
 
 def language(spark: SparkSession, path: str) -> Language:
