@@ -117,7 +117,9 @@ def combine(df: DataFrame, keys: list[str], values: list[str], combiner: Combine
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = {}
         for key, state in merged(batches, [*keys, "__salt"]):
-            now[key[:-1]] = state
+            # a task may have several salts of a key
+            mine = key[:-1]
+            now[mine] = combiner.merge(now[mine], state) if mine in now else state
             if len(now) >= held:
                 yield packed(now, 0)
                 now = {}

@@ -10,7 +10,8 @@ which are then joined as bytes.  A tree is one value (or one file, see
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from gramlake.sources.scratch import written
 HELD_ROWS = 1_000_000
 #: Trees that are merged at once, about.
 FAN = 8
+#: Rows of messages.
+ROWS = "k int, prefix array<int>, successor int, n long"
 
 
 def _numbered(node: DataFrame) -> DataFrame:
@@ -164,24 +167,85 @@ def merged_trees(trees: DataFrame, compressed: bool = True, fan: int = FAN) -> D
 
 def tree_rows(trees: DataFrame, compressed: bool = True, column: str = "tree") -> DataFrame:
     """``k, prefix (array<int>), successor, n`` of serialized trees; bytes that are none raise."""
-    kinds = [pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        return ((len(p), p, s, n) for p, s, n in wire.tree_rows(wire.unzipped(data) if compressed else data))
+
+    return _unpacked(trees, column, rows, ROWS)
+
+
+def _unpacked(messages: DataFrame, column: str, rows: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of messages, some tens of thousands at a time."""
+    kinds = messages.sparkSession.createDataFrame([], schema).toArrow().schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def part() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["k", "prefix", "successor", "n"])
+        for b in batches:
+            made = (row for data in b.column(column).to_pylist() if data is not None for row in rows(data))
+            while held := list(itertools.islice(made, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], kinds.names)
+
+    return messages.select(column).mapInArrow(read, schema)
+
+
+def set_messages(node: DataFrame, compress: bool = True) -> DataFrame:
+    """``message (binary)``: a model as messages that are one when their bytes are put one after the other.
 
-        held = []
+    One holds the unigram counts, size and depth, each other one a root's tree;
+    every row is a message of a set by itself, so no task has them all.
+    """
+    rows = _numbered(node)
+    facts = rows.agg(F.count_distinct(F.when(F.col("k") > 0, F.element_at("prefix", -1))).alias("size"), F.coalesce(F.max("k"), F.lit(0)).alias("depth"), F.sort_array(F.collect_list(F.when(F.col("k") == 0, F.struct("successor", "n")))).alias("counts"))
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(column).to_pylist():
-                for p, s, n in wire.tree_rows(wire.unzipped(data) if compressed else data):
-                    held.append((len(p), p, s, n))
-                    if len(held) == 50_000:
-                        yield part()
-                        held = []
-        if held:
-            yield part()
+            made = []
+            for size, depth, counts in zip(*(b.column(c).to_pylist() for c in ("size", "depth", "counts"))):
+                sampler = wire.sampler_message({c["successor"]: c["n"] for c in counts})
+                made.append(wire.pack("SuffixTreeSet", {"size": size, "depth": depth, "sampler": sampler}))
+            yield pa.RecordBatch.from_arrays([pa.array([wire.zipped(m) if compress else m for m in made], pa.binary())], ["message"])
+
+    def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [wire.framed(wire.BELOW, t) for t in b.column("tree").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([wire.zipped(m) if compress else m for m in made], pa.binary())], ["message"])
+
+    return facts.mapInArrow(head, "message binary").union(serialized_trees(node, compress=False).mapInArrow(tree, "message binary"))
+
+
+def set_rows(messages: DataFrame, compressed: bool = True, column: str = "message") -> DataFrame:
+    """``k, prefix (array<int>), successor, n`` of messages of sets, whole ones or parts."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        data = wire.unzipped(data) if compressed else data
+        _, _, counts, below = wire.tree_parts(data)
+        yield from ((0, [], s, n) for s, n in counts.items())
+        yield from ((len(p), p, s, n) for a, b in below for p, s, n in wire.tree_rows(data, a, b))
+
+    return _unpacked(messages, column, rows, ROWS)
+
+
+def sampler_messages(node: DataFrame) -> DataFrame:
+    """``k, prefix, message (binary)``: the counts of every prefix as a message of a sampler; tokens as numbers."""
+    per = _numbered(node).groupBy("k", "prefix").agg(F.collect_list(F.struct("successor", "n")).alias("counts"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [wire.pack("Sampler", wire.sampler_message({c["successor"]: c["n"] for c in counts})) for counts in b.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("prefix"), pa.array(made, pa.binary())], ["k", "prefix", "message"])
+
+    return per.mapInArrow(pack, "k int, prefix array<long>, message binary")
+
+
+def sampler_rows(messages: DataFrame) -> DataFrame:
+    """The counts of ``sampler_messages``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(k, p, s, n) for k, p, m in zip(*(b.column(c).to_pylist() for c in ("k", "prefix", "message"))) for s, n in wire.sampler_counts(wire.unpack("Sampler", m)).items()]
+            columns = zip(*made) if made else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64()))], ["k", "prefix", "successor", "n"])
 
-    return trees.select(column).mapInArrow(read, "k int, prefix array<int>, successor int, n long")
+    return messages.mapInArrow(read, "k int, prefix array<long>, successor long, n long")
 
 
 def model_bytes(node: DataFrame, compress: bool = True) -> bytes:

@@ -77,6 +77,12 @@ def encode_greedy_suffix(s, d):
     return ngrams.spread(_docs(s, d).select("doc_id", "text")).select("doc_id", F.array_join(tokens.cast("array<string>"), " ").alias("tokens"))
 
 
+def language_valid_text(s, d):
+    """The pieces that the language accepts, and how often the documents use them."""
+    used = ngrams.spread(_docs(s, d).select("text")).select(F.explode(_greedy().encode(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return _greedy().vocab(s).join(used, "token", "left").select("piece", "token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def tokenize_documents(s, d):
     ids = F.concat(_greedy().encode(F.col("text")), F.array(F.lit(len(PIECES))))
     return ngrams.spread(_docs(s, d).select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("id"), F.array_join(ids.cast("array<string>"), " ").alias("encoded"))
@@ -220,7 +226,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "char_language": lambda s, d: lang.char_language(_docs(s, d)),
         "char_language_first_seen": lambda s, d: lang.char_language_first_seen(_docs(s, d)),
         "language_json": lambda s, d: lang.vocab_from_json(lang.language_json(lang.char_language(_docs(s, d)))),
-        "language_valid_text": lambda s, d: _greedy().vocab(s),
+        "language_valid_text": language_valid_text,
         "encode_chars": char_language_encoded,
         "decode_roundtrip": decode_roundtrip,
         "encode_greedy_suffix": encode_greedy_suffix,
@@ -350,6 +356,21 @@ def _tokens_sql(extra: str = "") -> str:
     return f"list_reverse(list_transform(regexp_extract_all(reverse(text), '{_rx(PIECES)}'), lambda p: {names}[reverse(p)])){extra}"
 
 
+def generated_sql(steps: int, greedy: bool, lists: bool = False) -> str:
+    """Recursive query ``g(sample, step, r, text)`` over ``prompts`` and ``steps``: of all prefixes that a text ends in, the longest decides."""
+    size = "len(g.text)" if lists else "length(g.text)"
+    last = f"g.text[{size} - s.k + 1:{size}]" if lists else "right(g.text, s.k)"
+    longer = "list_append(g.text, s.successor)" if lists else "g.text || s.successor"
+    drawn = "" if greedy else " AND s.lo <= g.r / 2147483648.0 * s.total AND g.r / 2147483648.0 * s.total < s.hi"
+    return f"""g(sample, step, r, text) AS (
+  SELECT sample::BIGINT, 0, r::BIGINT, text FROM prompts
+  UNION ALL
+  (SELECT sample, step, r, text FROM (
+    SELECT g.sample, g.step + 1 AS step, (g.r * 1103515245 + 12345) % 2147483648 AS r, {longer} AS text,
+           row_number() OVER (PARTITION BY g.sample ORDER BY s.k DESC) AS place
+    FROM g JOIN steps s ON s.k <= {size} AND s.prefix = {last}{drawn} WHERE g.step < {steps}) WHERE place = 1))"""
+
+
 def oracle_sql() -> dict[str, str]:
     node = _dense("node", "documents")
     conv = _dense("node", "conversations")
@@ -359,10 +380,9 @@ parts AS (SELECT item_id, j::INT AS segment, c[greatest(1, j * m + least(j, r) +
     first = "f AS (SELECT doc_id, pos, char FROM (SELECT doc_id, unnest(string_split(text, '')) AS char, unnest(range(1, len(string_split(text, '')) + 1)) AS pos FROM documents WHERE text <> ''))"
     vocab = "v AS (SELECT char AS piece, (row_number() OVER (ORDER BY char) - 1)::INT AS token FROM (SELECT DISTINCT char FROM c))"
     seed = "((seed * 1103515245 + 12345) % 2147483648) / 2147483648.0"
-    greedy = "steps AS (SELECT prefix, successor FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, successor) AS r FROM node) WHERE r = 1)"
-    generate = lambda g: sample.generate_sql("prompts", "steps", STEPS, BLOCK, g, spark=False).replace("WITH RECURSIVE ", "", 1).replace("SELECT sample, r, text FROM g", "SELECT sample, text FROM g").strip()
-    recursive = lambda steps, g: "WITH RECURSIVE " + ", ".join((node, steps, PROMPT_ROWS, generate(g)))
-    drawn = recursive(CDF + ", steps AS (SELECT prefix, successor, lo, hi, total FROM cdf)", False)
+    greedy = "steps AS (SELECT k, prefix, successor FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, successor) AS r FROM node) WHERE r = 1)"
+    recursive = lambda steps, g: "WITH RECURSIVE " + ", ".join((node, steps, PROMPT_ROWS, generated_sql(STEPS, g))) + f" SELECT sample, text FROM g WHERE step = {STEPS}"
+    drawn = recursive(CDF + ", steps AS (SELECT k, prefix, successor, lo, hi, total FROM cdf)", False)
     sizes = "s AS (SELECT count(*) AS prefixes, sum(c)::BIGINT AS patterns, sum(n)::BIGINT AS occurrences FROM (SELECT prefix, count(*) AS c, sum(n) AS n FROM leaves GROUP BY prefix))"
     merged = "merged AS (SELECT k, prefix, successor, sum(n)::BIGINT AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)"
     two = (_dense("a", "benchmark"), _dense("b", "conversations"))
@@ -377,7 +397,7 @@ parts AS (SELECT item_id, j::INT AS segment, c[greatest(1, j * m + least(j, r) +
         "char_language": _with(chars, vocab, then="SELECT * FROM v"),
         "language_json": _with(chars, vocab, then="SELECT * FROM v"),
         "char_language_first_seen": _with(first, then="SELECT char AS piece, (row_number() OVER (ORDER BY m))::INT AS token FROM (SELECT char, min({'d': doc_id, 'p': pos}) AS m FROM f GROUP BY char)"),
-        "language_valid_text": "SELECT * FROM (VALUES " + ", ".join(f"('{_q(p)}', {n})" for n, p in enumerate(PIECES)) + ") AS t(piece, token)",
+        "language_valid_text": f"WITH u AS (SELECT reverse(p) AS piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(reverse(text), '{_rx(PIECES)}')) AS p FROM documents) GROUP BY 1) SELECT piece, token, coalesce(n, 0)::BIGINT AS n FROM (VALUES " + ", ".join(f"('{_q(p)}', {n})" for n, p in enumerate(PIECES)) + ") AS t(piece, token) LEFT JOIN u USING (piece)",
         "encode_chars": _with(chars, vocab, first, then="SELECT doc_id, string_agg(token::VARCHAR, ' ' ORDER BY pos) AS tokens FROM f JOIN v ON f.char = v.piece GROUP BY doc_id UNION ALL SELECT doc_id, '' FROM documents WHERE text = ''"),
         "decode_roundtrip": "SELECT doc_id, text AS decoded FROM documents",
         "encode_greedy_suffix": f"SELECT doc_id, array_to_string({_tokens_sql()}, ' ') AS tokens FROM documents",

@@ -11,19 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlake.functions import udtf, wire
+from gramlake.functions import language as functions
+from gramlake.functions import udtf
 from gramlake.functions.language import Language
-from gramlake.operators import charcount, interchange, model, ngrams, sample
-from gramlake.operators.service import Model, Service
+from gramlake.operators import charcount, interchange, model, ngrams, requests, sample
+from gramlake.operators.service import MAX_SAMPLES
 from gramlake.plans import catalog
 from gramlake.plans.catalog import BLOCK, CDF
 from gramlake.sources import readers, writers
 from gramlake.sources.scratch import scratch_path
 from gramlake.streaming import counts as streaming
 
-#: Texts that the service is asked about.
-PROBES = ("the", "a!", "\u0001", "0")
-PROMPT, DRAWS = "th", 1_000_000
+#: Characters of a prompt, draws of a request, and characters and number of the chunks of a stream.
+PROMPT, SAMPLES, CHUNK, CHUNKS = 6, 2, 5, 3
+DRAWS = 1_000_000
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -121,16 +122,20 @@ def tree_base64(s, d):
 
 
 def model_message(s, d):
-    """A whole model as one message, and back."""
-    data = interchange.model_bytes(_node(s, d, "benchmark"))
-    return interchange.model_from_bytes(s, data, characters=True)
+    """A whole model as a message in parts, and back."""
+    rows = interchange.set_rows(interchange.set_messages(_node(s, d, "benchmark"))).withColumn("successors", F.array("successor"))
+    return rows.select("k", _characters("prefix"), _characters("successors").alias("successor"), "n")
+
+
+def _characters(numbers: str):
+    """Numbers of code points as a text."""
+    return F.array_join(F.transform(numbers, lambda c: F.decode(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")), "UTF-32")), "").alias(numbers)
 
 
 def sampler_message(s, d):
-    """The unigram sampler as a message, and back."""
-    counts = {ord(r["successor"]): r["n"] for r in _node(s, d).where("k = 0").collect()}
-    back = wire.sampler_counts(wire.unpack("Sampler", wire.unzipped(wire.zipped(wire.pack("Sampler", wire.sampler_message(counts))))))
-    return s.createDataFrame([(chr(t), n) for t, n in back.items()], "successor string, n long")
+    """The sampler of every prefix as a message, and back."""
+    rows = interchange.sampler_rows(interchange.sampler_messages(_node(s, d)))
+    return rows.select("k", F.array_join(F.col("prefix").cast("array<string>"), " ").alias("prefix"), F.col("successor").cast("int").alias("successor"), "n")
 
 
 def sampling_accuracy(s, d):
@@ -142,32 +147,43 @@ def sampling_accuracy(s, d):
     return rows.select("successor", "draws", (F.abs(F.col("draws") / DRAWS - F.col("probability")) <= 0.001).alias("near"))
 
 
-def _service(s, d) -> Service:
-    docs = _t(s, d, "conversations")
-    return Service(Model.parse_all(docs, BLOCK), Language.from_corpus(docs))
-
-
 def service_valid_text(s, d):
-    return s.createDataFrame([(t,) for t in _service(s, d).get_valid_text()], "text string")
+    return requests.valid_text(_t(s, d, "conversations"))
 
 
 def service_is_valid(s, d):
-    service = _service(s, d)
-    return s.createDataFrame([service.is_valid_text(t) for t in PROBES], "text string, valid boolean")
+    """Every document as a request: whether the language of the conversations has all its characters."""
+    return requests.are_valid(_t(s, d, "documents"), requests.valid_text(_t(s, d, "conversations")), "doc_id")
 
 
 def service_block_size(s, d):
-    return s.createDataFrame([(_service(s, d).get_model_block_size(),)], "size int")
+    return requests.block_size(_node(s, d))
+
+
+def _requests(s, d) -> DataFrame:
+    """Every benchmark item as a request: its last characters are the prompt."""
+    return _t(s, d, "benchmark").select(F.col("item_id").alias("request"), F.expr(f"right(text, {PROMPT})").alias("text"))
 
 
 def service_batch(s, d):
-    texts = _service(s, d).generate_batch(catalog.STEPS, samples=3, text=PROMPT)
-    return s.createDataFrame(list(enumerate(texts)), "sample long, text string")
+    return requests.generate_batches(_requests(s, d), _node(s, d), BLOCK, catalog.STEPS, SAMPLES).select("request", "draw", "text")
 
 
 def service_stream(s, d):
-    chunks = list(_service(s, d).generate_stream(catalog.STEPS, 1, text=PROMPT))
-    return s.createDataFrame(list(enumerate(chunks)), "batch long, text string")
+    return requests.generate_streams(_requests(s, d), _node(s, d), BLOCK, CHUNK, CHUNKS)
+
+
+def language_define(s, d):
+    """The benchmark encoded by a language with two further pieces."""
+    language = catalog._greedy().define("qu", 90).define(b"\xc3\xa9", 91)
+    rows = _t(s, d, "benchmark").select("item_id", language.encode(F.col("text")).alias("t"))
+    return rows.select("item_id", F.array_join(F.col("t").cast("array<string>"), " ").alias("tokens"))
+
+
+def language_memory(s, d):
+    """Bytes of the language of the documents, from the vocabulary as a table."""
+    vocab = functions.char_language(_t(s, d, "documents"))
+    return vocab.agg(F.sum(F.octet_length("piece") + 4).cast("long").alias("bytes"))
 
 
 def stream_sparse_counts(s, d):
@@ -222,8 +238,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_sink": text_sink,
         "model_files": model_files,
         "language_file": language_file,
-        "language_define": lambda s, d: catalog._greedy().define("qu", 90).define(b"\xc3\xa9", 91).vocab(s),
-        "language_memory": lambda s, d: s.createDataFrame([(Language.from_corpus(_t(s, d, "documents")).memory(),)], "bytes long"),
+        "language_define": language_define,
+        "language_memory": language_memory,
         "serialized_trees": serialized_trees,
         "tree_base64": tree_base64,
         "model_message": model_message,
@@ -251,12 +267,18 @@ def oracle_sql() -> dict[str, str]:
     conv, bench, docs = dense("node", "conversations"), dense("node", "benchmark"), dense("node", "documents")
     chars = lambda table: f"c AS (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM {table} WHERE text <> '')"
     vocab = "SELECT char AS piece, (row_number() OVER (ORDER BY char) - 1)::INT AS token FROM c"
-    pieces = ", ".join(f"('{catalog._q(p)}', {n})" for n, p in [*enumerate(catalog.PIECES), (90, "qu"), (91, "é")])
-    probes = ", ".join(f"('{p}')" if p.isprintable() else f"(chr({ord(p)}))" for p in PROBES)
-    starts = ", ".join(f"({n}, {(n * sample.MULTIPLIER + sample.INCREMENT) % sample.MODULUS}, '{PROMPT}')" for n in range(3))
     codes = "array_to_string(list_transform(list_filter(string_split(prefix, ''), lambda x: x <> ''), lambda x: unicode(x)), ' ')"
-    body = sample.generate_sql("prompts", "steps", catalog.STEPS, BLOCK, False, False).replace("WITH RECURSIVE ", "", 1).strip()
-    drawn = "WITH RECURSIVE " + ", ".join((conv, CDF, "steps AS (SELECT prefix, successor, lo, hi, total FROM cdf)", f"prompts AS (SELECT * FROM (VALUES {starts}) AS t(sample, r, text))", body))
+    more = {p: n for n, p in enumerate(catalog.PIECES)} | {"qu": 90, "é": 91}
+    named = "MAP {" + ", ".join(f"'{catalog._q(p)}': {n}" for p, n in more.items()) + "}"
+    defined = f"list_reverse(list_transform(regexp_extract_all(reverse(text), '{catalog._rx(more)}'), lambda p: {named}[reverse(p)]))"
+    first = lambda seed: f"(({seed}) * 1103515245 + 12345) % 2147483648"
+    steps = "steps AS (SELECT k, prefix, successor, lo, hi, total FROM cdf)"
+    asked = f"asked AS (SELECT item_id, draw, right(text, {PROMPT}) AS text, item_id * {MAX_SAMPLES} + draw AS sample FROM benchmark, range({SAMPLES}) AS t(draw)), prompts AS (SELECT sample, {first('sample')} AS r, text FROM asked)"
+    batch = "WITH RECURSIVE " + ", ".join((conv, CDF, steps, asked, catalog.generated_sql(catalog.STEPS, False))) + f" SELECT item_id AS request, draw::INT AS draw, g.text FROM g JOIN asked USING (sample) WHERE step = {catalog.STEPS}"
+    # a chunk starts its own sequence of numbers at the request's number plus the chunk's
+    chunk = catalog.generated_sql(CHUNK * CHUNKS, False).replace("(g.r * 1103515245 + 12345) % 2147483648 AS r", f"CASE WHEN (g.step + 1) % {CHUNK} = 0 THEN {first(f'g.sample + (g.step + 1) // {CHUNK}')} ELSE {first('g.r')} END AS r")
+    starts = f"prompts AS (SELECT item_id AS sample, {first('item_id')} AS r, right(right(text, {PROMPT}), {BLOCK}) AS text FROM benchmark)"
+    stream = "WITH RECURSIVE " + ", ".join((conv, CDF, steps, starts, chunk)) + f" SELECT sample AS request, (step // {CHUNK} - 1)::INT AS batch, right(text, {CHUNK}) AS text FROM g WHERE step > 0 AND step % {CHUNK} = 0"
     draws = f"""draws AS (SELECT successor, count(*) AS draws FROM (SELECT ((i * 1103515245 + 12345) % 2147483648) / 2147483648.0 AS u FROM range({DRAWS}) t(i))
   JOIN cdf ON k = 0 AND lo <= u * total AND u * total < hi GROUP BY successor)"""
     return {
@@ -270,18 +292,18 @@ def oracle_sql() -> dict[str, str]:
         "text_sink": "SELECT char || ': ' || count(*) AS line FROM (SELECT unnest(string_split(text, '')) AS char FROM benchmark WHERE text <> '') WHERE char NOT IN (chr(10), chr(13)) GROUP BY char",
         "model_files": with_(conv, then="SELECT * FROM node"),
         "language_file": with_(chars("documents"), then=vocab),
-        "language_define": f"SELECT * FROM (VALUES {pieces}) AS t(piece, token)",
+        "language_define": f"SELECT item_id, array_to_string({defined}, ' ') AS tokens FROM benchmark",
         "language_memory": with_(chars("documents"), then="SELECT sum(strlen(char) + 4)::BIGINT AS bytes FROM c"),
         "serialized_trees": with_(conv, then=f"SELECT k, {codes} AS prefix, unicode(successor)::INT AS successor, n FROM node WHERE k > 0"),
         "tree_base64": _tokens_by_root(),
         "model_message": with_(bench, then="SELECT * FROM node"),
-        "sampler_message": with_(conv, then="SELECT successor, n FROM node WHERE k = 0"),
+        "sampler_message": with_(conv, then=f"SELECT k, {codes} AS prefix, unicode(successor)::INT AS successor, n FROM node"),
         "sampling_accuracy": with_(conv, CDF, draws, then=f"SELECT successor, coalesce(draws, 0) AS draws, abs(coalesce(draws, 0) / {DRAWS} - n / sum(n) OVER ()) <= 0.001 AS near FROM (SELECT * FROM node WHERE k = 0) LEFT JOIN draws USING (successor)"),
         "service_valid_text": with_(chars("conversations"), then="SELECT char AS text FROM c"),
-        "service_is_valid": with_(chars("conversations"), f"p AS (SELECT text, unnest(string_split(text, '')) AS ch FROM (VALUES {probes}) AS t(text))", then="SELECT text, count(*) = count(char) AS valid FROM p LEFT JOIN c ON ch = char GROUP BY text"),
+        "service_is_valid": with_(chars("conversations"), then="SELECT doc_id, len(list_filter(string_split(text, ''), lambda x: x <> '' AND NOT list_contains(v, x))) = 0 AS valid FROM documents, (SELECT list(char) AS v FROM c)"),
         "service_block_size": with_(conv, then="SELECT max(k) AS size FROM node"),
-        "service_batch": drawn.replace("SELECT sample, r, text FROM g", "SELECT sample, text FROM g"),
-        "service_stream": drawn.replace("SELECT sample, r, text FROM g WHERE", f"SELECT sample AS batch, substr(text, {len(PROMPT) + 1}) AS text FROM g WHERE sample = 0 AND"),
+        "service_batch": batch,
+        "service_stream": stream,
         "stream_sparse_counts": with_(conv, then="SELECT * FROM node"),
         "stream_transitions": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
         "ngrams_function": with_(catalog._sparse("s", "benchmark"), then="SELECT * FROM s"),

@@ -117,10 +117,10 @@ queries AS (SELECT DISTINCT prefix, successor FROM windows)"""
     ranked = "(SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, successor) AS place FROM node)"
 
     def recursive(steps: str, greedy: bool) -> str:
-        body = sample.generate_sql("prompts", "steps", STEPS, BLOCK, greedy, False, True).replace("WITH RECURSIVE ", "", 1).strip()
-        return "WITH RECURSIVE " + ", ".join((node, steps, prompts, body.replace("SELECT sample, r, text FROM g", "SELECT sample, array_to_string(text, ' ') AS text FROM g")))
+        body = catalog.generated_sql(STEPS, greedy, lists=True)
+        return "WITH RECURSIVE " + ", ".join((node, steps, prompts, body)) + f" SELECT sample, array_to_string(text, ' ') AS text FROM g WHERE step = {STEPS}"
 
-    drawn = recursive(CDF + ", steps AS (SELECT prefix, successor, lo, hi, total FROM cdf)", False)
+    drawn = recursive(CDF + ", steps AS (SELECT k, prefix, successor, lo, hi, total FROM cdf)", False)
     seed = "((seed * 1103515245 + 12345) % 2147483648) / 2147483648.0"
     merged = "merged AS (SELECT k, prefix, successor, sum(n)::BIGINT AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)"
     return {
@@ -143,5 +143,5 @@ queries AS (SELECT DISTINCT prefix, successor FROM windows)"""
         "token_sample": with_(node, CDF, f"queries AS (SELECT item_id AS seed, c[greatest(len(c) - {BLOCK}, 0) + 1:len(c)] AS prefix FROM (SELECT item_id, {catalog._tokens_sql()} AS c FROM benchmark))", suffix, then=f"SELECT seed, {text('q.prefix')}, f.match_length, c.successor FROM queries q JOIN found f ON q.prefix = f.prefix JOIN cdf c ON c.prefix = f.match AND lo <= {seed} * c.total AND {seed} * c.total < hi"),
         "token_generate": drawn,
         "token_generate_long": drawn,
-        "token_generate_greedy": recursive(f"steps AS (SELECT prefix, successor FROM {ranked} WHERE place = 1)", True),
+        "token_generate_greedy": recursive(f"steps AS (SELECT k, prefix, successor FROM {ranked} WHERE place = 1)", True),
     }

@@ -189,7 +189,8 @@ def _items(parts: Iterator[str]) -> Iterator[object]:
         while True:
             try:
                 item, end = decoder.raw_decode(text, at)
-                if end < len(text) or not more(1):  # a number at the end of a part may go on
+                # what is not yet followed by a mark may go on in the next part, as numbers do
+                if text[end : end + 1].isspace() or text[end : end + 1] in (",", "]") or not more(1):
                     break
             except json.JSONDecodeError:
                 if not more(len(text) - at):
