@@ -39,7 +39,7 @@ NODE, LEAST_BITS = 65_536, 4
 #: Fingerprints of a node that one task joins; larger nodes are dealt as pairs of chunks.
 CHUNK = 131_072
 #: Node pairs of at most this many fingerprint pairs are compared; node pairs that are traversed at once.
-LEAF_PAIRS, FRONT = 16, 1 << 16
+LEAF_PAIRS, FRONT = 16, 1 << 13
 WIDTH = 64
 
 
@@ -195,16 +195,18 @@ def near_links(classes: DataFrame, budget: int = 2, second: bool = False, bits:
     every = turns(budget)
     least = budget // len(every)
     if bits is None:
-        bits = min(24, max(LEAST_BITS, (classes.count() // NODE).bit_length()))
-    bits = min(bits, min(width for _, width in every))
+        bits = max(LEAST_BITS, (classes.count() // NODE).bit_length())
+    # two prefixes and the turn share a number
+    bits = min(bits, 24, *(width for _, width in every))
     masks = _masks(bits, least)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["turn", "low", "high", "i", "j"]):
-            turn, low, high, i, j = (t.column(c)[0].as_py() for c in ("turn", "low", "high", "i", "j"))
+        for t in groups(batches, ["pair", "chunk"]):
+            pair, chunk = (t.column(c)[0].as_py() for c in ("pair", "chunk"))
+            turn, low, high, i, j = pair >> 48, pair >> 24 & (1 << 24) - 1, pair & (1 << 24) - 1, chunk >> 32, chunk & (1 << 32) - 1
             by, width = every[turn]
             fps = turned(t.column("fp").to_numpy().view(np.uint64), by)
-            side = t.column("side").to_numpy()
+            side = t.column("side").to_numpy().astype(np.int8)
             alone = (low, i) == (high, j)
             order = np.lexsort((fps, side))
             fps, side = fps[order], side[order]
@@ -238,9 +240,11 @@ def near_links(classes: DataFrame, budget: int = 2, second: bool = False, bits:
     rows = chunks(rows, "other", "theirs").withColumn("their", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
     first = (F.col("own") < F.col("other")) | ((F.col("own") == F.col("other")) & (F.col("chunk") <= F.col("their")))
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    dealt = rows.select("turn", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), pick("chunk", "their").alias("i"), pick("their", "chunk").alias("j"), F.when(first, 0).otherwise(1).alias("side"), "fp", "fp2")
-    keys = ["turn", "low", "high", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "u long, v long")
+    both = lambda high, low, by: F.shiftleft(high.cast("long"), by).bitwiseOR(low.cast("long"))
+    pair = both(F.col("turn"), both(F.least("own", "other"), F.greatest("own", "other"), 24), 48)
+    # numbers of a pair and of its chunks are packed: these rows are all that is shuffled
+    dealt = rows.select(pair.alias("pair"), both(pick("chunk", "their"), pick("their", "chunk"), 32).alias("chunk"), (~first).alias("side"), "fp", *(["fp2"] if second else []))
+    return dealt.repartition("pair", "chunk").sortWithinPartitions("pair", "chunk").mapInArrow(join, "u long, v long")
 
 
 def _masks(bits: int, most: int) -> list[int]:
