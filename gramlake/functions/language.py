@@ -75,6 +75,10 @@ class Language:
         piece = piece.decode() if isinstance(piece, bytes) else piece
         return Language(self.pieces | {piece: token}, self.name)
 
+    def define_all(self, pieces: dict[str, int]) -> Language:
+        """Many pieces at once; none may have a token that another has."""
+        return Language(self.pieces | pieces, self.name)
+
     def to_json(self) -> str:
         return json.dumps(self.pieces, ensure_ascii=False)
 

@@ -9,6 +9,7 @@ recursive queries of a few steps each, between which the lineage is cut.
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,13 +105,15 @@ def generate_long(prompts: DataFrame, model: DataFrame, steps: int, block: int)
     than HELD_ROWS rows goes through ``generate``.
     """
     kind = prefixes(model)
-    table = written(cdf(model).select("prefix", "successor", "hi"), "generate-model")
-    if table.count() > HELD_ROWS:
+    entries = F.array_sort(F.collect_list(F.struct("successor", "n")))
+    table = written(model.groupBy("prefix").agg(entries.alias("e")).select("prefix", F.col("e.successor").alias("successor"), F.col("e.n").alias("n")), "generate-model")
+    (many,) = table.agg(F.coalesce(F.sum(F.size("n")), F.lit(0))).first()
+    if many > HELD_ROWS:
         return generate(prompts, model, steps, block)
-    per = table.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("hi", "successor"))).alias("s"))
-    rows = per.select("prefix", F.col("s.hi").alias("hi"), F.col("s.successor").alias("successor")).toArrow()
+    rows = table.toArrow()
     as_key = tuple if kind.tokens else str
-    held = {as_key(p): x for p, x in zip(rows.column("prefix").to_pylist(), zip(rows.column("hi").to_pylist(), rows.column("successor").to_pylist()))}
+    columns = (rows.column(c).to_pylist() for c in ("prefix", "n", "successor"))
+    held = {as_key(p): (list(itertools.accumulate(n)), successors) for p, n, successors in zip(*columns)}
     shared = model.sparkSession.sparkContext.broadcast(held)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramlake.functions import language as functions
 from gramlake.functions import udtf
 from gramlake.functions.language import Language
-from gramlake.operators import combine, documents, interchange, model, ngrams, suffixes
+from gramlake.operators import combine, documents, interchange, model, ngrams, requests, suffixes
+from gramlake.operators.service import MAX_SAMPLES, Model
 from gramlake.operators.stored import Stored
 from gramlake.plans import catalog, tokens
 from gramlake.plans.catalog import BLOCK, SUFFIX, PROBABILITY, WINDOWS
-from gramlake.sources import readers, token_files
+from gramlake.sources import readers, token_files, writers
 from gramlake.sources.scratch import scratch_path
 from gramlake.streaming import upkeep
 
@@ -202,6 +204,29 @@ def short_texts(s, d):
     return rows[0].union(rows[1])
 
 
+def parsed_tables(s, d):
+    """The model object's own verbs over the conversations: parsed, made sparse, then dense again."""
+    parsed = Model.parse_all(_t(s, d, "conversations"), BLOCK)
+    return parsed.sparsify().densify().node
+
+
+def language_from_table(s, d):
+    """All characters of the conversations defined at once, from the vocabulary as a table, and what they encode to."""
+    table = _t(s, d, "conversations")
+    pieces = {r["piece"]: 2 * r["token"] for r in functions.char_language(table).collect()}  # a row per character
+    language = Language({}).define_all(pieces)
+    return table.select("conv_id", "turn", F.array_join(language.encode(F.col("text")).cast("array<string>"), " ").alias("tokens"))
+
+
+def generated_files(s, d):
+    """Texts that the model goes on from every benchmark item, written as lines of files and read again."""
+    path = scratch_path(s, "generated")
+    asked = _t(s, d, "benchmark").select(F.col("item_id").alias("request"), F.expr("right(text, 3)").alias("text")).where("text not like '%\n%'")
+    made = requests.generate_batches(asked, _conversations(s, d).where("successor not in ('\n', '\r')"), BLOCK, 6)
+    writers.text_lines(made.select(F.concat(F.col("request").cast("string"), F.lit(":"), "text").alias("line")), path)
+    return readers.text_lines(s, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ngram_counts_deep": ngram_counts_deep,
@@ -219,6 +244,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "xz_files": xz_files,
         "xz_file_report": xz_file_report,
         "limited_rows": limited_rows,
+        "parsed_tables": parsed_tables,
+        "language_from_table": language_from_table,
+        "generated_files": generated_files,
         "short_texts": short_texts,
         "stored_match": lambda s, d: _stored(s, d).matches(catalog._queries_of(s, d)),
         "stored_search": lambda s, d: _stored(s, d).longest_suffix(catalog._queries_of(s, d)),
@@ -263,6 +291,13 @@ node AS (SELECT k, c[pos - k:pos - 1] AS prefix, c[pos] AS successor, count(*)::
         "xz_files": "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark WHERE item_id % 10 <> 0) GROUP BY line",
         "xz_file_report": "SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS lines, item_id % 10 = 0 AS bad FROM benchmark",
         "limited_rows": f"SELECT least(count(*), {LIMIT}) AS n FROM labels",
+        "parsed_tables": with_(conv, then="SELECT * FROM node"),
+        "language_from_table": """WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM conversations WHERE text <> ''),
+v AS (SELECT char, 2 * (row_number() OVER (ORDER BY char) - 1) AS token FROM c),
+f AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS char, unnest(range(1, len(string_split(text, '')) + 1)) AS pos FROM conversations WHERE text <> '')
+SELECT conv_id, turn, string_agg(token::VARCHAR, ' ' ORDER BY pos) AS tokens FROM f JOIN v USING (char) GROUP BY conv_id, turn
+UNION ALL SELECT conv_id, turn, CASE WHEN text = '' THEN '' END FROM conversations WHERE text = '' OR text IS NULL""",
+        "generated_files": "WITH RECURSIVE " + ", ".join((conv.replace("node AS (", "every AS (", 1), "node AS (SELECT * FROM every WHERE successor NOT IN (chr(10), chr(13)))", catalog.CDF, "steps AS (SELECT k, prefix, successor, lo, hi, total FROM cdf)", f"prompts AS (SELECT item_id * {MAX_SAMPLES} AS sample, (item_id * {MAX_SAMPLES} * 1103515245 + 12345) % 2147483648 AS r, right(text, 3) AS text FROM benchmark WHERE NOT contains(right(text, 3), chr(10)))", catalog.generated_sql(6, False))) + f" SELECT sample // {MAX_SAMPLES} || ':' || text AS line FROM g WHERE step = 6",
         "short_texts": "SELECT less::INT AS less, CASE less WHEN 0 THEN 0 ELSE (SELECT sum(length(text) - 2) FROM benchmark WHERE length(text) = (SELECT max(length(text)) FROM benchmark)) END::BIGINT AS events FROM (VALUES (0), (1)) AS t(less)",
         "stored_match": with_(conv, WINDOWS, then="SELECT prefix, successor FROM queries WHERE prefix IN (SELECT prefix FROM node WHERE k > 0)"),
         "stored_search": with_(conv, WINDOWS, SUFFIX, then="SELECT prefix, match, match_length, total FROM found"),
