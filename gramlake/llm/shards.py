@@ -3,7 +3,9 @@
 Pass one scatters records by seeded hashes: the shard is a consistent (jump)
 hash of doc_id, so one more shard takes rows only into itself, and within a
 shard a second hash (of doc_id and text) picks one of several buckets that
-each fit in memory, however many rows share a doc_id or have none.
+each fit in memory, however many rows share a doc_id or have none; rows that
+are alike in all columns, if they are that many, are numbered and hashed by
+their number too.
 Pass two takes a bucket at a time, puts it in Fisher-Yates order under a seed
 of its own and writes it.  Counts per bucket, from ids alone, give each bucket
 its first slot, so slots are gapless without any task seeing a whole shard.
@@ -55,6 +57,24 @@ def bucket_count(total: int, shards: int) -> int:
     return max(1, -(-total // (shards * BUCKET_BYTES)))
 
 
+def numbered_repeats(docs: DataFrame, copy: str) -> DataFrame:
+    """``docs`` with a column ``copy``: 0, or from 1 on for the rows of a (doc_id, text) that alone would fill a bucket.
+
+    Such rows are grouped by all their columns and numbered by their counts, so
+    that none needs a place of its own in the input; columns are of types that
+    can be grouped (no maps).
+    """
+    key = free_name(docs, "__shard_same")
+    hashed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    sizes = hashed.groupBy(key).agg(F.sum(record_size(F.col("text").cast("string"))).alias("bytes"), F.count("*").alias("n"))
+    hot = written(sizes.where((F.col("bytes") > BUCKET_BYTES) & (F.col("n") > 1)).select(key), "shard-repeats")
+    rest = hashed.join(hot, key, "left_anti").drop(key).withColumn(copy, F.lit(0).cast("long"))
+    many = hashed.join(hot, key, "left_semi").drop(key)
+    n = free_name(many, "__shard_n")
+    counted = many.groupBy(*[many[c] for c in many.columns]).agg(F.count("*").alias(n))
+    return rest.unionByName(counted.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(n))
+
+
 def shuffle_to_shards(docs: DataFrame, folder: str, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Write all columns of ``docs`` with ``shard, grown_shard, slot`` as Parquet below ``folder``.
 
@@ -67,18 +87,20 @@ def shuffle_to_shards(docs: DataFrame, folder: str, shards: int = SHARDS, seed:
     slot`` of the input are replaced.
     """
     docs = docs.drop("shard", "grown_shard", "slot")
-    in_bucket, number, first, at, key = (free_name(docs, "__shard_" + x) for x in ("bucket", "number", "first", "at", "key"))
+    in_bucket, number, first, at, key, copy = (free_name(docs, "__shard_" + x) for x in ("bucket", "number", "first", "at", "key", "copy"))
+    names = docs.columns
     spark = docs.sparkSession
     total, = docs.agg(F.sum(record_size(F.col("text").cast("string")))).first()
     buckets = bucket_count(int(total or 0), shards)
+    docs = numbered_repeats(docs, copy)
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    placed = {"shard": jump_shard(doc_id, shards, seed), in_bucket: F.pmod(F.xxhash64(doc_id, text, F.lit(seed + 1)), F.lit(buckets)).cast("int")}
+    own = F.when(F.col(copy) == 0, F.xxhash64(doc_id, text, F.lit(seed + 1))).otherwise(F.xxhash64(doc_id, F.col(copy), F.lit(seed + 1)))
+    placed = {"shard": jump_shard(doc_id, shards, seed), in_bucket: F.pmod(own, F.lit(buckets)).cast("int")}
     counts = docs.select(*[c.alias(n) for n, c in placed.items()]).groupBy("shard", in_bucket).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy(in_bucket).rowsBetween(Window.unboundedPreceding, -1)
     firsts = written(counts.select("shard", in_bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias(first)), "shard-firsts")
-    scattered = docs.withColumns(placed | {"grown_shard": jump_shard(doc_id, shards + 1, seed)})
+    scattered = docs.withColumns(placed | {"grown_shard": jump_shard(doc_id, shards + 1, seed)}).drop(copy)
     scattered = scattered.withColumn(key, F.coalesce(doc_id, F.lit(-(2**63))))
-    names = docs.columns
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["shard", in_bucket]):
