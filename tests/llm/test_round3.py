@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from gramlake.llm import common, mixing, negatives, spelling, toxicity, urls, vectors, warc
+from gramlake.llm import common, mixing, negatives, shards, spelling, toxicity, urls, vectors, warc
 
 PAGES = "page_id long, url string, html string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -313,3 +313,24 @@ def test_one_huge_text_does_not_empty_the_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1, i % 2) for i, *_ in data], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.op7_query(docs, labels).collect()}
     assert sum(got[n] for n in range(1, 400, 2)) >= 190 and sum(got[n] for n in range(0, 400, 2)) == 0
+
+
+def test_alike_rows_fill_many_buckets(spark, monkeypatch):
+    """Half of all rows have no id and no text; no bucket holds them together."""
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 200)
+    data = [(None, "", "en", "s", 0)] * 2000 + [(n, f"text {n}", "en", "s", 0) for n in range(2000)] + [(7, "again", "en", f"s{n % 2}", n % 3) for n in range(60)]
+    df = spark.createDataFrame(data, DOCS)
+    copy = shards.numbered_repeats(df, "copy")
+    assert copy.count() == len(data) and copy.where("copy > 0").count() == 2060
+    buckets = shards.bucket_count(sum(16 + len(t) for _, t, *_ in data), 40)
+    taken = copy.where("doc_id is null").groupBy(F.pmod(F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(shards.SEED + 1)), F.lit(buckets))).count()
+    assert taken.agg(F.max("count")).first()[0] < 2000 * 4 // buckets + 40
+    out = shards.shuffle_to_shards(df, common.scratch_path(spark, "shards-test"))
+    back = out.select(*df.columns).collect()
+    assert sorted(map(tuple, back), key=repr) == sorted(data, key=repr)
+    by = {}
+    for r in out.collect():
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    again = shards.shuffle_to_shards(df.repartition(3), common.scratch_path(spark, "shards-test"))
+    assert sorted((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in again.where("doc_id is not null").collect()) == sorted((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in out.where("doc_id is not null").collect())
