@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from gramlake.operators.prefixes import prefixes
-from gramlake.sources.scratch import scratch_path
 
 #: Directories of a stored model, and its buckets by default.
 PARTS, BUCKETS = 64, 64
@@ -92,14 +91,15 @@ class Stored:
 
     @classmethod
     def write(cls, model: DataFrame, name: str | None = None, path: str | None = None, parts: int = PARTS, buckets: int = BUCKETS) -> Stored:
-        """Store a model as a table of a new name, at a path of its own."""
+        """Store a model as a table, of a new name if none is given, in the warehouse or at ``path``."""
         spark = model.sparkSession
         name = name or "gramlake_model_" + uuid.uuid4().hex
         rows = rows_of(model)
         part = F.when(F.col("k") > 0, cls._part(rows, "prefix", parts)).otherwise(F.lit(-1))
         # a task writes whole buckets, so that a bucket is one file a part and stays sorted
         dealt = rows.withColumn("part", part).repartition(buckets, "prefix").sortWithinPartitions("part", "prefix")
-        writer = dealt.write.partitionBy("part").bucketBy(buckets, "prefix").sortBy("prefix").option("path", path or scratch_path(spark, "model"))
+        writer = dealt.write.partitionBy("part").bucketBy(buckets, "prefix").sortBy("prefix")
+        writer = writer.option("path", path) if path else writer
         writer.format("parquet").saveAsTable(name)
         return cls(spark.table(name), parts)
 

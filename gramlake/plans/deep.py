@@ -17,7 +17,7 @@ from gramlake.operators.service import MAX_SAMPLES, Model
 from gramlake.operators.stored import Stored
 from gramlake.plans import catalog, tokens
 from gramlake.plans.catalog import BLOCK, SUFFIX, PROBABILITY, WINDOWS
-from gramlake.sources import readers, token_files, writers
+from gramlake.sources import readers, scratch, token_files, writers
 from gramlake.sources.scratch import scratch_path
 from gramlake.streaming import upkeep
 
@@ -81,7 +81,7 @@ def merged_trees(s, d):
 
 
 def _stored(s, d) -> Stored:
-    return Stored.write(_conversations(s, d), buckets=8)
+    return Stored.write(_conversations(s, d), path=scratch_path(s, "stored"), buckets=8)
 
 
 def stored_weights(s, d):
@@ -166,7 +166,7 @@ def _packed(s, d) -> str:
 
     def write(batches):
         for b in batches:
-            fs, base = token_files.file_system(folder)
+            fs, base = scratch.file_system(folder)
             fs.create_dir(base, recursive=True)
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = lzma.compress((text + "\n").encode("utf-8"))

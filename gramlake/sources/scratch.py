@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch paths that this process has given out.
+_made: list[str] = []
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset and the master is local."""
@@ -20,7 +26,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(root)
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,7 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Remove what was written at a path."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+@atexit.register
+def remove_made() -> None:
+    """Remove the scratch tables of this process; its end does so too.  What a lazy result still reads goes with them."""
+    while _made:
+        with contextlib.suppress(OSError, ValueError):  # gone already, or a store that Arrow does not reach
+            fs, path = file_system(_made.pop())
+            fs.delete_dir(path)
+
+
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """Arrow's file system and path for a folder as Spark names it."""
+    for alias in ("s3a://", "s3n://"):
+        uri = uri.replace(alias, "s3://", 1) if uri.startswith(alias) else uri
+    return pyarrow.fs.FileSystem.from_uri(uri)

@@ -27,19 +27,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from gramlake.operators.interchange import joined_parts, tree_parts
+from gramlake.sources.scratch import file_system
 
 FORMAT = "gramlake_token_files"
 SUFFIX = ".proto.bin"
 STATISTICS = "token long, location string, rawbytes long, written long"
 
 
-def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """Arrow's file system and path for a folder as Spark names it."""
-    for alias in ("s3a://", "s3n://"):
-        uri = uri.replace(alias, "s3://", 1) if uri.startswith(alias) else uri
-    return pyarrow.fs.FileSystem.from_uri(uri)
-
-
 @dataclass
 class Written(WriterCommitMessage):
     """What one task wrote: ``(token, temporary name, bytes before and after compression)``."""
