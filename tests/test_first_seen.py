@@ -34,3 +34,22 @@ def test_no_text_is_copied_or_sorted(spark):
     """Before, each document's text was repeated for each of its characters, and sorted with them."""
     docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     assert "Generate" not in lang.char_language_first_seen(docs)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("rows", [[], [(3, "cb")], [(n, "abcde"[n % 5 :]) for n in range(40)]])
+def test_language_upkeep_in_three_arrivals(spark, tmp_path, rows):
+    from gramlake.plans import deep
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = deep.language_upkeep(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lang.char_language_first_seen(docs).collect()))
+
+
+def test_language_upkeep_holds_no_table_of_all_ids(spark, tmp_path, monkeypatch):
+    """Before, the arrivals were parted by two exact percentiles, for which one task held every id."""
+    from gramlake.plans import deep
+
+    spark.createDataFrame([(n, "ab") for n in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(deep.F, "percentile", None)
+    assert deep.language_upkeep(spark, str(tmp_path)).count() == 2
